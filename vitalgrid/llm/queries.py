@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import html_extract, sentencepiece_bpe, warc
+from vitalgrid.llm import chat_format, html_extract, sentencepiece_bpe, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -24,6 +24,37 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(rows.unionByName(planted))
+
+
+OP5_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), hit AS (
+  SELECT conv_id, bool_or(CASE WHEN role = 'assistant' THEN contains(text, '</s>') ELSE contains(text, ' [/INST]') END) AS clash
+  FROM turns GROUP BY conv_id
+), sized AS (
+  SELECT t.*, length(text) - length(replace(replace(replace(replace(text, '\\', ''), '[', ''), ']', ''), '<', '')) AS coded,
+         length(role) + length(role) - length(replace(replace(replace(replace(role, '\\', ''), '[', ''), ']', ''), '<', '')) AS role_chars,
+         clash AND (contains(text, '[') OR contains(text, '<') OR contains(text, '\\')) AS coding
+  FROM turns t JOIN hit h ON t.conv_id IS NOT DISTINCT FROM h.conv_id
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(text) + CASE WHEN coding THEN 1 + coded ELSE 0 END
+           + CASE WHEN role = 'assistant' THEN 10 ELSE 16 + role_chars END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
@@ -31,7 +62,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_html_extract": op4_html_extract,
+    "op5_chat_format": op5_chat_format,
     "op8_warc": op8_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
+}
