@@ -66,7 +66,7 @@ def count_text(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     at = lambda i: F.get(F.col("__h"), i)
     starts = F.when(F.size("__h") >= 5, F.sequence(F.lit(0), F.size("__h") - 5)).otherwise(F.array().cast("array<int>"))
     out = out.withColumn("__g", F.transform(starts, lambda i: F.xxhash64(*[at(i + k) for k in range(5)])))
-    pairs = F.array_sort(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("__s", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), pairs))
     same = lambda e, k: F.get(F.col("__s"), k)["h"] == e["h"]
     twice = F.transform("__s", lambda e, k: F.when(F.coalesce(same(e, k - 1), F.lit(False)) | F.coalesce(same(e, k + 1), F.lit(False)), e["i"]))
