@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import chat_format, html_extract, langid, mixing, ngram_join, quality, sentencepiece_bpe, topk, warc
+from vitalgrid.llm import chat_format, html_extract, langid, line_dedup, mixing, ngram_join, quality, sentencepiece_bpe, topk, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -38,6 +38,10 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.mark(_read(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
@@ -117,6 +121,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of r ON r.a = d.doc_
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
+    "op3_line_dedup": op3_line_dedup,
     "op4_html_extract": op4_html_extract,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
