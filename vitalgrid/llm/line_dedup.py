@@ -128,3 +128,21 @@ def mark(docs: DataFrame) -> DataFrame:
     out = out.join(named, "join_key", "left").withColumn("first", F.coalesce("common", "first", F.struct("doc_id", "line_no")))
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
     return out.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), stays.alias("kept"))
+
+
+def rebuild(docs: DataFrame) -> DataFrame:
+    """The documents without the lines that do not stay; text and n_chars change, other columns pass through.
+
+    Blank lines stay where they are.  A document that loses lines and has none left but blank ones goes;
+    one that had no line to begin with stays as it is.
+    """
+    gone = mark(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.col("line_no")).alias("gone"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left")
+    parts = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.col("gone"))
+    out = out.withColumn("parts", parts).withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    text = F.array_join(F.transform("left", lambda i: F.get(F.col("parts"), i - 1)), "\n")
+    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text))
+    out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
+    columns = [F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns)

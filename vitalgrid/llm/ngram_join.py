@@ -340,3 +340,9 @@ def _by_rep(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     p = p.join(named("x", "rx", "nx"), "x").join(named("y", "ry", "ny"), "y")
     p = p.where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
     return p.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest doc_id. Documents without links stay."""
+    later = join_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("later_id")).distinct()
+    return docs.join(later, docs["doc_id"] == F.col("later_id"), "left_anti")
