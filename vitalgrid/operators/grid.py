@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.times import from_us, to_us, window_us
 
-BY_TIME = Window.partitionBy("subject_id").orderBy("t")
-SO_FAR = BY_TIME.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_time():
+    return Window.partitionBy("subject_id").orderBy("t")
+
+
+def so_far():
+    return by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 @dataclass(frozen=True)
@@ -45,7 +50,7 @@ class Input:
 
     def frame(self):
         """(t - window, t]"""
-        return BY_TIME.rangeBetween(-(self.us - 1), 0)
+        return by_time().rangeBetween(-(self.us - 1), 0)
 
 
 @dataclass(frozen=True)
@@ -53,7 +58,7 @@ class Locf(Input):
     """Last known value, for ever."""
 
     def align(self, df, name, value, seen):
-        return df.withColumn(name, F.last(value, True).over(SO_FAR))
+        return df.withColumn(name, F.last(value, True).over(so_far()))
 
 
 @dataclass(frozen=True)
@@ -61,7 +66,7 @@ class WindowedLocf(Input):
     """Last known value, no older than the window (its far end included)."""
 
     def align(self, df, name, value, seen):
-        last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("at"), F.col(value).alias("v"))), True).over(SO_FAR)
+        last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("at"), F.col(value).alias("v"))), True).over(so_far())
         return df.withColumn("__last", last).withColumn(name, F.when(self.recent(F.col("__last.at")), F.col("__last.v"))).drop("__last")
 
 
@@ -104,7 +109,7 @@ class RollingMean(Input):
 
 
 def _last_seen(seen: str) -> Column:
-    return F.max(F.when(F.col(seen), F.col("t"))).over(SO_FAR)
+    return F.max(F.when(F.col(seen), F.col("t"))).over(so_far())
 
 
 @dataclass(frozen=True)
@@ -131,9 +136,9 @@ class SegmentedRollingSum(RollingSum):
 
     def align(self, df, name, value, seen):
         gap = window_us(self.gap or self.window)
-        df = df.withColumn("__last", _last_seen(seen)).withColumn("__before", F.lag("__last").over(BY_TIME))
+        df = df.withColumn("__last", _last_seen(seen)).withColumn("__before", F.lag("__last").over(by_time()))
         opens = F.col(seen) & (F.col("__before").isNull() | (F.col("__before") < F.col("t") - gap))
-        df = df.withColumn("__start", F.max(F.when(opens, F.col("t"))).over(SO_FAR)).withColumn("__sum", F.coalesce(F.sum(value).over(self.frame()), F.lit(0.0)))
+        df = df.withColumn("__start", F.max(F.when(opens, F.col("t"))).over(so_far())).withColumn("__sum", F.coalesce(F.sum(value).over(self.frame()), F.lit(0.0)))
         covered = (F.col("__start") <= F.col("t") - self.us) & (F.col("__last") >= F.col("t") - gap)
         return df.withColumn(name, F.when(covered, F.col("__sum"))).drop("__last", "__before", "__start", "__sum")
 
