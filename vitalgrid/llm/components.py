@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,97 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         edges = fewer
     edges.drop()
     return labels.df
+
+
+LARGE = 16  # a group is large if its open pairs are so many times its members
+BLOCK_ROWS = 1024
+
+
+def blocks(live: DataFrame, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(kind, unit, p, q, own, id, component): members of large groups, dealt so that each pair of blocks of a unit meets once.
+
+    A unit is a group, or, where that is less work, all groups that hang together: near copies share many groups.
+    """
+    least = live.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    cluster = components(live.join(least, "g").select("a", F.col("id").alias("b")), label)
+    of_group = least.join(cluster.withColumnRenamed("id", "a"), "a").select("g", "n", F.col("component").alias("cluster"))
+    whole = live.join(of_group, "g").select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
+    apart = of_group.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    joined = of_group.join(whole, "cluster").join(apart, "cluster").withColumn("kind", (F.col("m") * F.col("m") <= F.col("work")).cast("int"))
+    unit = joined.select("g", "kind", F.when(F.col("kind") == 1, F.col("cluster")).otherwise(F.col("g")).alias("unit"))
+    rows = Written(live.join(unit, "g").select("kind", "unit", "id", "component").distinct(), label).df
+    sizes = rows.groupBy("kind", "unit").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    rows = rows.join(sizes, ["kind", "unit"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return rows.select("kind", "unit", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
+
+
+def link_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    label: str = "groups",
+    rounds: int = 2,
+    verify_blocks: Callable[[DataFrame], DataFrame] | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, component) of the ids that have links, given candidate groups; no link between two members of a group is lost.
+
+    ``members``: (g, id) and the flags indexed and asked; only pairs of an indexed and an asked member of one group may link.
+    ``verify`` keeps the pairs (a, b) that do.  Testing all pairs of large groups is avoided: in each round a
+    group's hub, another one each time, is tested against the members that are not yet in its component.
+    What is still apart after that, or is cheaper to test at once, is tested pair by pair; large groups by
+    ``verify_blocks``, where given: it finds links between components among rows of ``blocks``.
+    """
+    members = Written(members, label).df
+    tested: list[DataFrame] = []
+    labels: DataFrame | None = None
+    for r in range(rounds + 1):
+        named = members.withColumn("component", F.col("id"))
+        if labels is not None:
+            named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        cells = named.groupBy("g", "component").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.sum(F.col("asked").cast("long")).alias("k"), F.count("*").alias("n"))
+        open_groups = cells.groupBy("g").agg(
+            (F.sum("i") * F.sum("k") - F.sum(F.col("i") * F.col("k"))).alias("pairs"), F.sum("n").alias("n"), F.count("*").alias("parts")
+        )
+        open_groups = Written(open_groups.where("parts > 1 and pairs > 0"), label)
+        size = open_groups.df.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        if not size["n"]:
+            break
+        live = named.join(open_groups.df.select("g"), "g", "left_semi")
+        last = r == rounds or size["pairs"] <= 2 * size["n"]
+        in_blocks = None
+        if last:
+            if verify_blocks:
+                large = F.col("pairs") > LARGE * F.col("n")
+                crowd = Written(live.join(open_groups.df.where(large).select("g"), "g", "left_semi"), label).df
+                live = live.join(open_groups.df.where(~large).select("g"), "g", "left_semi")
+                in_blocks = None if crowd.isEmpty() else verify_blocks(blocks(crowd, label, block_rows))
+            x, y = live.where("indexed").alias("x"), live.where("asked").alias("y")
+            pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+        else:
+            hubs = live.groupBy("g").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("component").alias("of")), F.xxhash64("id", F.lit(r))).alias("h"))
+            pairs = live.join(hubs, "g").where("component <> h.of").select(F.col("h.hub").alias("x"), F.col("id").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        tested.append(Written(pairs, label).df)
+        links = verify(tested[-1])
+        links = Written(links if in_blocks is None else links.union(in_blocks), label).df
+        if labels is None:
+            labels = components(links, label)
+        else:
+            of = lambda end, c: links.withColumnRenamed(end, "id").join(labels, "id", "left").withColumn(c, F.coalesce("component", "id"))
+            of_a = of("a", "ca").select(F.col("id").alias("a"), "b", "ca").alias("p")
+            names = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+            ends = of_a.join(names, "b", "left").select("a", "b", "ca", F.coalesce("cb", "b").alias("cb"))
+            merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), label)
+            # ids that had no label yet are components of their own, and so in ``merged`` if they were linked now
+            fresh = merged.join(labels, "id", "left_anti").select("id", "component")
+            older = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left")
+            labels = Written(older.select("id", F.coalesce("up", "component").alias("component")).union(fresh), label).df
+        open_groups.drop()
+        if last:
+            break
+    if labels is None:
+        labels = members.select("id", F.col("id").alias("component")).limit(0)
+    return labels

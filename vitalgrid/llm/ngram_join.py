@@ -8,12 +8,12 @@ with 1 it is equal, with 2 it is equal but for one deletion on either side.
 
 So every set is indexed under all its segments (and, for a share of the segments, under their one-deletion
 neighbourhoods), and looks up the segments that the cheapest allocation picks: cost is how often the
-segment's value occurs in a sample of all sets, so that passages that many documents share are avoided.
+segment's rarest shingle occurs in a sample of all sets, so that passages that many documents share are avoided.
 A set looks up its own band and, where smaller partners may be in it, the band below.
 
 Entries travel as packed arrays, are sorted per partition, and give candidate groups.  Groups are first linked as
-stars; pairs whose ends are still in different components are then tested too, so no link is lost and groups of
-near copies are not expanded.  Every link is verified on the exact sets.
+stars around changing hubs; pairs whose ends are still in different components are then tested too, so no link is
+lost and groups of near copies are not expanded.  Every link is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import Written
-from vitalgrid.llm.components import components
+from vitalgrid.llm.components import link_groups
 
 WORDS = 5
 PERCENT = 80
@@ -38,8 +38,8 @@ BAND_RATIO = 1.6
 SEGMENTS_PER_ELEMENT = 0.3
 SMALL_SET = 32  # up to here all segments have deletion neighbourhoods, beyond it one of DELETION_STEP
 DELETION_STEP = 16
-SAMPLE_OF_CLASSES = 64
-MAX_COSTS = 200_000
+SAMPLE_OF_CLASSES = 16
+MAX_COSTS = 400_000
 ENTRIES_PER_GROUP = 1_500_000
 FLUSH_ENTRIES = 1_000_000
 SALTS = 16
@@ -151,17 +151,17 @@ def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray) -> np.ndarray:
     n = len(s)
     own = band_of(n)
     out = []
+    often = np.zeros(n, np.int64)
+    if len(hot):
+        place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        often = np.where(hot[place] == s, hot_cost[place], 0)
     for k in (own, own - 1):
         low, high, _ = band(k) if k >= 0 else (0, 0, 0)
         if k < 0 or (k < own and 100 * (high - 1) < PERCENT * n):
             continue
         x = Segments(s, k)
         e = x.equal()
-        if len(hot):
-            place = np.minimum(np.searchsorted(hot, e), len(hot) - 1)
-            cost = np.where(hot[place] == e, hot_cost[place], 0)
-        else:
-            cost = np.zeros(len(e), np.int64)
+        cost = np.minimum.reduceat(often, x.at)
         one, two = x.allocate(most_apart(min(n, high - 1), n) + 1, cost)
         looked = np.zeros(len(e), U)
         looked[one] = 1
@@ -178,7 +178,7 @@ def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class, sample): size and name of every row's set; sample holds the entries of some classes."""
+    """(doc_id, n, class, sample): size and name of every row's set; sample holds the shingles of some classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,11 +187,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text.as_py())
                 n.append(len(s))
                 names.append(class_of(s) if len(s) else None)
-                if len(s) and names[-1] % SAMPLE_OF_CLASSES == 0:
-                    k = band_of(len(s))
-                    samples.append(np.concatenate([Segments(s, j).equal() for j in (k, k - 1) if j >= 0]).astype(np.int64).tolist())
-                else:
-                    samples.append(None)
+                samples.append(s.astype(np.int64) if len(s) and names[-1] % SAMPLE_OF_CLASSES == 0 else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "sample"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, sample array<long>")
@@ -260,12 +256,12 @@ def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, parts: int)
     return packed.groupBy("part").applyInPandas(match, "indexed array<long>, asked array<long>")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs of representatives, by the exact sets of both texts."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link, by the exact sets of both texts; ``texts``: (class, n, text)."""
+    side = lambda end: texts.select(F.col("class").alias(end), F.col("n").alias(f"n_{end}"), F.col("text").alias(f"text_{end}"))
+    sized = pairs.join(side("b").drop("text_b"), "b").join(side("a").drop("text_a"), "a")
+    sized = sized.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).select("a", "b")
+    both = sized.join(side("b").drop("n_b"), "b").join(side("a").drop("n_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -277,12 +273,66 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                 other = shingle_set(tb.as_py())
                 common = len(np.intersect1d(held, other, assume_unique=True))
                 ok.append(100 * common >= PERCENT * (len(held) + len(other) - common))
-            keep = pa.array(ok)
+            keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _verify_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components among the rows of components.blocks: for each row one to every other component it reaches."""
+
+    def counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        """Sizes of all intersections, by products of incidence matrices over the shingles that occur twice or more."""
+        every = np.concatenate(left + right)
+        _, place, often = np.unique(every, return_inverse=True, return_counts=True)
+        rank = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
+        owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+        owner, rank = owner[rank >= 0], rank[rank >= 0]
+        out = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int((often > 1).sum()), 2048):
+            some = (rank >= at) & (rank < at + 2048)
+            m = np.zeros((len(left) + len(right), 2048), np.float32)
+            m[owner[some], rank[some] - at] = 1
+            out += m[: len(left)] @ m[len(left) :].T
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in pdf["text"]]
+        own, ids, of = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["component"].to_numpy()
+        x, y = np.flatnonzero(own == pdf["p"].iloc[0]), np.flatnonzero(own == pdf["q"].iloc[0])
+        out: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            common = counts([sets[i] for i in x], [sets[i] for i in y])
+            size = np.array([len(s) for s in sets], np.float32)
+            near = (100 * common >= PERCENT * (size[x][:, None] + size[y][None] - common)) & (of[x][:, None] != of[y][None])
+            for i in np.flatnonzero(near.any(axis=1)):
+                j = y[near[i]]
+                out += [(ids[x[i]], b) for b in ids[j[np.unique(of[j], return_index=True)[1]]]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    with_text = rows.join(texts.select(F.col("class").alias("id"), "text"), "id")
+    return with_text.groupBy("kind", "unit", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur more than once in the sample, with their counts; the commonest MAX_COSTS at most."""
+    sample = sets.where(F.col("sample").isNotNull()).select("class", "sample").dropDuplicates(["class"])
+    counts = sample.select(F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counts = Written(counts, "ngram-costs")
+    least, room = 2, MAX_COSTS
+    for r in counts.df.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect():
+        room -= r["c"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    got = counts.df.where(F.col("n") >= least).limit(MAX_COSTS).toPandas()
+    counts.drop()
+    shingle = got["shingle"].to_numpy(np.int64).astype(U)
+    order = np.argsort(shingle)
+    return shingle[order], got["n"].to_numpy(np.int64)[order]
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """One row per input row (doc_id, text): doc_id, n_shingles, component_id (smallest linked doc_id, itself included).
 
@@ -296,35 +346,24 @@ def join_components(docs: DataFrame) -> DataFrame:
     known = sets.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     classes = Written(known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "ngram-classes").df
 
-    sample = sets.where(F.col("sample").isNotNull()).select("class", "sample").dropDuplicates(["class"])
-    costs = sample.select(F.explode("sample").alias("entry")).groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
-    top = sorted((r["entry"], r["n"]) for r in costs.orderBy(F.desc("n"), "entry").limit(MAX_COSTS).collect())
-    hot, hot_cost = np.array([r[0] for r in top], dtype=U), np.array([r[1] for r in top], dtype=np.int64)
+    hot, hot_cost = _common_shingles(sets)
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(12, ceil(0.6 * total / ENTRIES_PER_GROUP))
     groups = Written(_groups(docs, hot, hot_cost, parts), "ngram-groups")
-
-    # stars: the first indexed class with all that ask, the first that asks with all indexed
-    star = lambda one, many: groups.df.select(F.get(one, F.lit(0)).alias("x"), F.explode(many).alias("y"))
-    pairs = star("indexed", "asked").union(star("asked", "indexed"))
-    tested = Written(_by_rep(pairs, classes), "ngram-pairs")
-    links = Written(_verify(tested.df, classes, docs), "ngram-links")
-    linked = components(links.df, "ngram-components")
-
-    # what stars leave open: pairs of a group whose ends are in different components
-    rep_class = classes.select("class", "rep")
-    label = rep_class.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    wide = groups.df.where((F.size("indexed") > 1) & (F.size("asked") > 1) & (F.size("indexed") + F.size("asked") > 3)).distinct()
-    wide = Written(wide.withColumn("g", F.xxhash64("indexed", "asked")), "ngram-wide")
-    have = wide.df.select("g", F.explode("indexed").alias("class")).join(label, "class").withColumnRenamed("class", "x")
-    ask = wide.df.select("g", F.explode("asked").alias("class")).join(label, "class").withColumnRenamed("class", "y")
-    mixed = have.select("g", "component").union(ask.select("g", "component")).groupBy("g").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-    have, ask = have.join(mixed.select("g"), "g", "left_semi"), ask.join(mixed.select("g"), "g", "left_semi")
-    open_pairs = have.alias("h").join(ask.alias("k"), (F.col("h.g") == F.col("k.g")) & (F.col("h.component") != F.col("k.component"))).select("x", "y")
-    rest = Written(_by_rep(open_pairs, classes).join(tested.df, ["a", "b"], "left_anti"), "ngram-rest")
-    if not rest.df.isEmpty():
-        links = Written(links.df.union(_verify(rest.df, classes, docs)), "ngram-links")
-        linked = components(links.df, "ngram-components")
+    lists = groups.df.groupBy(F.xxhash64("indexed", "asked").alias("g")).agg(F.first(F.struct("indexed", "asked")).alias("x")).select("g", "x.*")
+    both = F.array_union("indexed", "asked")
+    members = lists.select("g", "indexed", "asked", F.explode(both).alias("id"))
+    members = members.select("g", "id", F.array_contains("indexed", F.col("id")).alias("indexed"), F.array_contains("asked", F.col("id")).alias("asked"))
+    members = Written(members, "ngram-members").df
+    groups.drop()
+    # texts of the classes that are in any group, once each
+    wanted = members.select(F.col("id").alias("class")).distinct().join(classes.select("class", "rep", "n"), "class")
+    texts = Written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "n", "text").dropDuplicates(["class"]), "ngram-texts").df
+    named = link_groups(members, lambda pairs: _verify(pairs, texts), "ngram-links", verify_blocks=lambda rows: _verify_blocks(rows, texts))
+    with_rep = classes.select(F.col("class").alias("id"), "rep")
+    linked = named.join(with_rep, "id")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = Written(linked.join(least, "component").select(F.col("rep").alias("id"), F.col("least").alias("component")), "ngram-linked").df
 
     by_rep = classes.where("copies > 1").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     copies = by_rep.select("class", F.coalesce("component", "rep").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -333,15 +372,6 @@ def join_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "component", "doc_id")).alias("component_id"))
 
 
-def _by_rep(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of representatives, a < b, whose sizes allow a link."""
-    named = lambda c, r, n: classes.select(F.col("class").alias(c), F.col("rep").alias(r), F.col("n").alias(n))
-    p = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    p = p.join(named("x", "rx", "nx"), "x").join(named("y", "ry", "ny"), "y")
-    p = p.where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
-    return p.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of linked ones: that with the smallest doc_id. Documents without links stay."""
     later = join_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("later_id")).distinct()
