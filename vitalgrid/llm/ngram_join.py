@@ -250,7 +250,7 @@ def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, parts: int)
             have, ask = np.unique(c[f >= 2]), np.unique(c[(f & U(1)) == 1])
             if len(have) and len(ask) and not (len(have) == 1 and len(ask) == 1 and have[0] == ask[0]):
                 found[have.tobytes() + b"|" + ask.tobytes()] = (have.tolist(), ask.tolist())
-        return pd.DataFrame({"indexed": [x for x, _ in found.values()], "asked": [y for _, y in found.values()]})
+        return pd.DataFrame({c: pd.Series([x[i] for x in found.values()], dtype=object) for i, c in enumerate(("indexed", "asked"))})
 
     packed = docs.select("text").mapInArrow(make, "part long, entries binary, classes binary")
     return packed.groupBy("part").applyInPandas(match, "indexed array<long>, asked array<long>")
