@@ -17,8 +17,9 @@ from vitalgrid.jobs.extraction import Lookup, TableSpec, anchored, extract_table
 from vitalgrid.operators import grid, joins, rows, scores, sharding
 from vitalgrid.operators.rows import EventSpec
 from vitalgrid.schema import as_type
-from vitalgrid.sources.readers import ColumnSpec, typed
-from vitalgrid.sources.writers import union_all
+from vitalgrid.sources.readers import ColumnSpec, read_table, typed
+from vitalgrid.sources.shared import scratch
+from vitalgrid.sources.writers import stage, union_all, write_concept, write_events, write_shards, write_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,6 +455,58 @@ def staged_columns(spark, sf_dir):
     return df.groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+# ---------------------------------------------------------------- written and read back
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice::REAL AS o_totalprice, nullif(o_orderpriority, '') AS o_orderpriority FROM orders
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice::REAL, o_orderpriority FROM orders WHERE o_orderstatus = 'P'"""
+)
+def csv_scan(spark, sf_dir):
+    """Plain and gzip CSV part files under one glob, read with declared types and a datetime format."""
+    path, o = scratch(spark, "csv"), _t(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"))
+    o.write.option("header", True).csv(f"{path}/a")
+    o.where("o_orderstatus = 'P'").write.option("header", True).option("compression", "gzip").csv(f"{path}/b")
+    columns = [ColumnSpec("o_orderkey", "int"), ColumnSpec("o_custkey", "int"), ColumnSpec("o_orderdate", "datetime", "%d.%m.%Y %H:%M"), ColumnSpec("o_totalprice", "float"), ColumnSpec("o_orderpriority")]
+    return read_table(spark, f"{path}/*/part-*", columns, fmt="csv", partitions=8)
+
+
+@query(f"SELECT subject_id, time, code, numeric_value, event FROM ({SHIPMENTS}) UNION ALL SELECT subject_id, time, code, numeric_value, event FROM ({SHIPMENTS}) WHERE event = 'COST'")
+def events_written(spark, sf_dir):
+    """A table's events in one partitioned write; two frames with an event of one name end up in one place."""
+    path, e = scratch(spark, "events"), _shipments(spark, sf_dir).drop("dataset", "version", "table")
+    write_events([e, e.where("event = 'COST'").drop("flag")], path, "tpch", "1", "lineitem")
+    return spark.read.parquet(path).where("dataset = 'tpch' and table = 'lineitem'").select("subject_id", "time", "code", "numeric_value", "event")
+
+
+@query("""SELECT user_id AS subject_id, ts AS time, 'HR//bpm' AS code, value::REAL AS numeric_value, CASE WHEN event_type = 'view' THEN 'a' ELSE 'b' END AS dataset, 'v2' AS version FROM events WHERE event_type IN ('view', 'click')""")
+def concept_written(spark, sf_dir):
+    """Two versions of a concept from two mappings, side by side; one is read."""
+    path = scratch(spark, "concept")
+    parts = [_source(spark, sf_dir, k).withColumns({"code": F.lit("HR//bpm"), "dataset": F.lit(d)}) for k, d in (("view", "a"), ("click", "b"))]
+    for version in ("v1", "v2"):
+        write_concept(parts, path, "hr", version)
+    return spark.read.parquet(path).where("concept = 'hr' and version = 'v2'").select("subject_id", "time", "code", "numeric_value", "dataset", "version")
+
+
+@query("""SELECT 'OBS//' || event_type AS code, count(DISTINCT floor((r - 1) / 50)) AS shards FROM (SELECT event_type, dense_rank() OVER (ORDER BY user_id) AS r FROM events) GROUP BY 1""")
+def shards_written(spark, sf_dir):
+    """Shards and vocabulary written; in how many shards each code of the vocabulary is found."""
+    path, e = scratch(spark, "shards"), _events(spark, sf_dir)
+    write_shards(e, f"{path}/data", per_shard=50)
+    write_vocabulary(e, f"{path}/codes")
+    found = spark.read.parquet(f"{path}/data").groupBy("code").agg(F.count_distinct("shard").alias("shards"))
+    return spark.read.parquet(f"{path}/codes").join(found, "code").select("code", "shards")
+
+
+@query("""SELECT l_suppkey, l_quantity, l_shipdate FROM lineitem""")
+def stage_parquet(spark, sf_dir):
+    """Only the columns that two specs need of a source, staged once."""
+    source, path = f"{sf_dir}/lineitem.parquet", scratch(spark, "stage")
+    first, second = [ColumnSpec("l_suppkey", "int"), ColumnSpec("l_quantity", "float64")], [ColumnSpec("l_suppkey", "int"), ColumnSpec("l_shipdate", "datetime")]
+    return spark.read.parquet(stage(spark, [(source, first), (source, second)], path)[source])
+
+
 # ---------------------------------------------------------------- grid and windows
 
 GRID_INPUTS = {"views": "view", "clicks": "click", "errors": "error"}
