@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE_ENTRIES = 500_000
-PAIR_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
+PAIR_ENTRIES = 500_000
 CACHE_PART_CHARS = 64
 ROWS_PER_BATCH = 256
 
@@ -64,11 +64,7 @@ class PieceCodec:
         self.pieces = pieces
         self.length = [len(x) for x in pieces]
         self._fits: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            if self._merge(piece) == [piece]:  # others never come out of the merges
-                self.automaton.add_word(piece, (i, len(piece)))
-        self.automaton.make_automaton()
+        self._automaton: ahocorasick.Automaton | None = None  # built by the first text; decoding needs none
         self._cache: dict[str, bytes] = {}
         before: dict[str, set[str]] = {c: set() for c in ",.;:!?|)"}  # word characters that a piece joins to these
         for piece in self.ids:
@@ -93,6 +89,17 @@ class PieceCodec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        if self._automaton is None:
+            made = ahocorasick.Automaton()
+            for piece, i in self.ids.items():
+                if self._merge(piece) == [piece]:  # others never come out of the merges
+                    made.add_word(piece, (i, len(piece)))
+            made.make_automaton()
+            self._automaton = made
+        return self._automaton
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the text of both pieces encodes to these two pieces."""
         if len(self._fits) > PAIR_ENTRIES:
