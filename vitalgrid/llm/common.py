@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
@@ -34,3 +35,23 @@ class Written:
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+FILTER_BITS = 1 << 23
+_BITS_IN_BITMAP = 32768  # of bitmap_construct_agg
+
+
+def likely_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the first column of ``ids``: all that are, and few others.
+
+    The ids' hashes set bits in a filter of FILTER_BITS (1 MB, whatever the number of ids), which every task gets;
+    so a join with the ids shuffles little besides their own rows.  Rows with a null are left out.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    place = ids.select(at(F.col(ids.columns[0])).alias("at")).distinct()
+    maps = place.groupBy(F.floor(F.col("at") / _BITS_IN_BITMAP).alias("__map")).agg(F.bitmap_construct_agg(F.col("at") % _BITS_IN_BITMAP).alias("__bits"))
+    rows = df.where(F.col(column).isNotNull()).withColumn("__at", at(F.col(column)))
+    rows = rows.withColumn("__map", F.floor(F.col("__at") / _BITS_IN_BITMAP)).withColumn("__at", (F.col("__at") % _BITS_IN_BITMAP).cast("int"))
+    rows = rows.join(F.broadcast(maps), "__map")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, F.col("__at") % 8) == 1).select(*df.columns)

@@ -11,6 +11,11 @@ from vitalgrid.llm.common import Written
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
+    """The table of ``written_components``."""
+    return written_components(links, label).df
+
+
+def written_components(links: DataFrame, label: str = "components") -> Written:
     """(id, component) for every id of the links (a, b); component is the smallest id reachable.
 
     Each round every id hooks onto its smallest neighbour, paths are halved by pointer jumping, and links are
@@ -44,10 +49,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         jump.drop()
         edges = fewer
     edges.drop()
-    return labels.df
+    return labels
 
 
-LARGE = 16  # a group is large if its open pairs are so many times its members
+LARGE = 16
 BLOCK_ROWS = 1024
 
 
@@ -57,7 +62,7 @@ def blocks(live: DataFrame, label: str, block_rows: int = BLOCK_ROWS) -> DataFra
     A unit is a group, or, where that is less work, all groups that hang together: near copies share many groups.
     """
     least = live.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    cluster = components(live.join(least, "g").select("a", F.col("id").alias("b")), label)
+    cluster = components(live.join(least, "g").select("a", F.col("id").alias("b")), f"{label}-clusters")
     of_group = least.join(cluster.withColumnRenamed("id", "a"), "a").select("g", "n", F.col("component").alias("cluster"))
     whole = live.join(of_group, "g").select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
     apart = of_group.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
@@ -77,6 +82,7 @@ def link_groups(
     rounds: int = 2,
     verify_blocks: Callable[[DataFrame], DataFrame] | None = None,
     block_rows: int = BLOCK_ROWS,
+    large: int | None = None,
 ) -> DataFrame:
     """(id, component) of the ids that have links, given candidate groups; no link between two members of a group is lost.
 
@@ -84,31 +90,34 @@ def link_groups(
     ``verify`` keeps the pairs (a, b) that do.  Testing all pairs of large groups is avoided: in each round a
     group's hub, another one each time, is tested against the members that are not yet in its component.
     What is still apart after that, or is cheaper to test at once, is tested pair by pair; large groups by
-    ``verify_blocks``, where given: it finds links between components among rows of ``blocks``.
+    ``verify_blocks``, where given: it finds links between components among rows of ``blocks``.  A group is large if its
+    open pairs are more than ``large`` (default LARGE) times its members.
     """
-    members = Written(members, label).df
+    kept = Written(members, label)
+    members, old = kept.df, [kept]  # tables to remove at the end
+    keep = lambda df: old.append(Written(df, label)) or old[-1].df
     tested: list[DataFrame] = []
-    labels: DataFrame | None = None
+    labels: Written | None = None
     for r in range(rounds + 1):
         named = members.withColumn("component", F.col("id"))
         if labels is not None:
-            named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            named = members.join(labels.df, "id", "left").withColumn("component", F.coalesce("component", "id"))
         cells = named.groupBy("g", "component").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.sum(F.col("asked").cast("long")).alias("k"), F.count("*").alias("n"))
         open_groups = cells.groupBy("g").agg(
             (F.sum("i") * F.sum("k") - F.sum(F.col("i") * F.col("k"))).alias("pairs"), F.sum("n").alias("n"), F.count("*").alias("parts")
         )
-        open_groups = Written(open_groups.where("parts > 1 and pairs > 0"), label)
-        size = open_groups.df.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        open_groups = keep(open_groups.where("parts > 1 and pairs > 0"))
+        size = open_groups.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not size["n"]:
             break
-        live = named.join(open_groups.df.select("g"), "g", "left_semi")
+        live = named.join(open_groups.select("g"), "g", "left_semi")
         last = r == rounds or size["pairs"] <= 2 * size["n"]
         in_blocks = None
         if last:
             if verify_blocks:
-                large = F.col("pairs") > LARGE * F.col("n")
-                crowd = Written(live.join(open_groups.df.where(large).select("g"), "g", "left_semi"), label).df
-                live = live.join(open_groups.df.where(~large).select("g"), "g", "left_semi")
+                many = F.col("pairs") > (LARGE if large is None else large) * F.col("n")
+                crowd = keep(live.join(open_groups.where(many).select("g"), "g", "left_semi"))
+                live = live.join(open_groups.where(~many).select("g"), "g", "left_semi")
                 in_blocks = None if crowd.isEmpty() else verify_blocks(blocks(crowd, label, block_rows))
             x, y = live.where("indexed").alias("x"), live.where("asked").alias("y")
             pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
@@ -118,24 +127,26 @@ def link_groups(
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        tested.append(Written(pairs, label).df)
+        tested.append(keep(pairs))
         links = verify(tested[-1])
-        links = Written(links if in_blocks is None else links.union(in_blocks), label).df
+        links = keep(links if in_blocks is None else links.union(in_blocks))
         if labels is None:
-            labels = components(links, label)
+            labels = written_components(links, label)
         else:
-            of = lambda end, c: links.withColumnRenamed(end, "id").join(labels, "id", "left").withColumn(c, F.coalesce("component", "id"))
-            of_a = of("a", "ca").select(F.col("id").alias("a"), "b", "ca").alias("p")
-            names = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-            ends = of_a.join(names, "b", "left").select("a", "b", "ca", F.coalesce("cb", "b").alias("cb"))
-            merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), label)
-            # ids that had no label yet are components of their own, and so in ``merged`` if they were linked now
-            fresh = merged.join(labels, "id", "left_anti").select("id", "component")
-            older = labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left")
-            labels = Written(older.select("id", F.coalesce("up", "component").alias("component")).union(fresh), label).df
-        open_groups.drop()
+            names = labels.df.select("id", "component")
+            ends = links.join(names.toDF("a", "ca"), "a", "left").join(names.toDF("b", "cb"), "b", "left")
+            merged = written_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), label)
+            # an id that had no label was a component of its own, and so stands in ``merged`` if it is linked now
+            fresh = merged.df.join(names, "id", "left_anti").select("id", "component")
+            older = names.join(merged.df.toDF("component", "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+            newer = Written(older.union(fresh), label)
+            labels.drop()
+            merged.drop()
+            labels = newer
         if last:
             break
     if labels is None:
-        labels = members.select("id", F.col("id").alias("component")).limit(0)
-    return labels
+        labels = Written(members.select("id", F.col("id").alias("component")).limit(0), label)
+    for t in old:
+        t.drop()
+    return labels.df

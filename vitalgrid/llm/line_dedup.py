@@ -7,8 +7,8 @@ candidates; the exact Jaccard similarity of their shingle sets decides; links ar
 (by doc_id, then line number) of each component stays.
 
 The shingles of a line are cut from short overlapping chunks and reduced within generated code, ``STEP`` at a time.
-Candidates of a bucket are tested against its first line, and after that only those that are still in different
-components against each other, so that large groups are not expanded into all pairs.
+Candidates of a bucket are tested against changing hubs, and after that only those that are still in different
+components against each other, in large groups block by block, so that these are not expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import Written
-from vitalgrid.llm.components import components
+from vitalgrid.llm.common import Written, likely_among
+from vitalgrid.llm.components import link_groups
 
 SHINGLE = 10
 BANDS = 8
@@ -27,6 +27,7 @@ ROWS = 3
 PERCENT = 80
 CHUNK = 64
 STEP = 16
+BLOCK_LINES = 128
 
 
 def _constants(n: int) -> list[int]:
@@ -73,38 +74,53 @@ def _shingles(line: Column) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
+def _similar(common: Column, size_a: Column, size_b: Column) -> Column:
+    return 100 * common >= PERCENT * (size_a + size_b - common)
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose lines' shingle sets are similar enough."""
-    p = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
-    p = p.join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
+    side = lambda end: texts.select(F.col("key").alias(end), F.col("line").alias(f"line_{end}"))
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
     p = p.select("a", "b", _shingles(F.col("line_a")).alias("sa"), _shingles(F.col("line_b")).alias("sb"))
     p = p.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return p.where(100 * F.col("common") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return p.where(_similar(F.col("common"), F.size("sa"), F.size("sb"))).select("a", "b")
+
+
+def verify_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components among the rows of components.blocks: each line of one block against the other block as one array."""
+    keys = ["kind", "unit", "p", "q"]
+    r = rows.join(texts.select(F.col("key").alias("id"), "line"), "id").withColumn("s", _shingles(F.col("line"))).drop("line")
+    other = r.where("own = q").groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "s")).alias("block"))
+    both = r.where("own = p").join(other, keys)
+    once = lambda x: ((F.col("p") != F.col("q")) | (x["id"] > F.col("id"))) & (x["component"] != F.col("component"))
+    sized = lambda x: 100 * F.least(F.size(x["s"]), F.size("s")) >= PERCENT * F.greatest(F.size(x["s"]), F.size("s"))
+    near = lambda x: once(x) & sized(x) & _similar(F.size(F.array_intersect(x["s"], F.col("s"))), F.size(x["s"]), F.size("s"))
+    return both.select(F.col("id").alias("a"), F.explode(F.transform(F.filter("block", near), lambda x: x["id"])).alias("b"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, key), and (key, component, n, first) of the keys that do not stand alone; n: their lines."""
     rows = lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     one = rows.groupBy("key").agg(F.any_value("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
-    texts = Written(one, "lines-distinct").df
-    signed = signatures(one.select("key", "line"))
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{ROWS * b + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    bucket = Window.partitionBy("bucket")
-    buckets = signed.select("key", F.explode(bands).alias("bucket")).select("bucket", "key", F.min("key").over(bucket).alias("lead"), F.max("key").over(bucket).alias("tail"))
-    shared = Written(buckets.where("lead <> tail"), "lines-buckets").df
-    tested = Written(shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "lines-pairs").df
-    links = Written(verify(tested, texts), "lines-links")
-    found = components(links.df, "lines-components")
-
-    named = shared.join(found.select(F.col("id").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket")
-    left = named.join(mixed, "bucket", "left_semi")
-    open_pairs = left.alias("x").join(left.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
-    open_pairs = open_pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    rest = Written(open_pairs.join(tested, ["a", "b"], "left_anti"), "lines-rest").df
-    if not rest.isEmpty():
-        more = verify(rest, texts)
-        found = components(Written(links.df.union(more), "lines-links").df, "lines-components")
+    # the condition always holds; it keeps both uses of ``one`` alike, so that they share one shuffle
+    signed = signatures(one.where("n > 0 and at is not null").select("key", "line")).select("key", bands.alias("bands"))
+    texts = Written(one.join(signed, "key"), "lines-distinct").df  # all dealt by key: one shuffle of the lines
+    bucket = Window.partitionBy("g")
+    buckets = texts.select(F.col("key").alias("id"), F.explode("bands").alias("g")).select("g", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("tail"))
+    members_kept = Written(buckets.where("lead <> tail").select("g", "id"), "lines-members")
+    members = members_kept.df
+    ids = members.select(F.col("id").alias("key")).distinct()
+    near_kept = Written(likely_among(texts.select("key", "line"), "key", ids).join(ids, "key", "left_semi"), "lines-near")
+    near = near_kept.df
+    found = link_groups(
+        members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked")),
+        lambda pairs: verify(pairs, near), "lines-links", verify_blocks=lambda rows: verify_blocks(rows, near), block_rows=BLOCK_LINES,
+        rounds=1, large=2,  # a pair by itself costs two shingle sets, a line in a block one
+    )
+    for t in (near_kept, members_kept):
+        t.drop()
     place = texts.select("key", "at", "n").join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     several = place.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     return rows.select("doc_id", "line_no", "key"), place.select("key", "component", "n").join(several.drop("of"), "component")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import Written
+from vitalgrid.llm.common import Written, likely_among
 from vitalgrid.llm.components import link_groups
 
 WORDS = 5
@@ -354,12 +354,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     both = F.array_union("indexed", "asked")
     members = lists.select("g", "indexed", "asked", F.explode(both).alias("id"))
     members = members.select("g", "id", F.array_contains("indexed", F.col("id")).alias("indexed"), F.array_contains("asked", F.col("id")).alias("asked"))
-    members = Written(members, "ngram-members").df
+    members_kept = Written(members, "ngram-members")
+    members = members_kept.df
     groups.drop()
     # texts of the classes that are in any group, once each
     wanted = members.select(F.col("id").alias("class")).distinct().join(classes.select("class", "rep", "n"), "class")
-    texts = Written(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "n", "text").dropDuplicates(["class"]), "ngram-texts").df
+    texts_kept = Written(likely_among(docs, "doc_id", wanted.select("rep")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "n", "text").dropDuplicates(["class"]), "ngram-texts")
+    texts = texts_kept.df
     named = link_groups(members, lambda pairs: _verify(pairs, texts), "ngram-links", verify_blocks=lambda rows: _verify_blocks(rows, texts))
+    for t in (texts_kept, members_kept):
+        t.drop()
     with_rep = classes.select(F.col("class").alias("id"), "rep")
     linked = named.join(with_rep, "id")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
