@@ -1,5 +1,6 @@
 import random
 
+from vitalgrid.llm.common import likely_among
 from vitalgrid.llm.components import components
 
 
@@ -21,3 +22,11 @@ def test_against_union_find(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_filter_keeps_all_wanted_and_little_else(spark):
+    df = spark.range(20000).selectExpr("id", "'x' as __map")
+    wanted = spark.range(0, 20000, 100).toDF("w")
+    got = {r.id for r in likely_among(df, "id", wanted).collect()}
+    assert set(range(0, 20000, 100)) <= got and len(got) < 300
+    assert likely_among(df, "id", wanted.limit(0)).count() == 0
