@@ -7,7 +7,7 @@ again as the next stage's docs.  All but the last return the columns of document
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import langid, line_dedup, mixing, ngram_join, sentencepiece_bpe
@@ -33,13 +33,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixing schedule."""
+    """All documents in the order of the mixing schedule: files of rising number, each in schedule order."""
     return mixing.mix(docs).orderBy("mix_slot", "mix_offset").select(*docs.columns)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position long``, which rises in the order in which the rows were written: 0, 1, 2, ...
+
+    A reader deals files over its tasks by size, so the order comes from each row's file and place in it.
+    A DataFrame that is not just read from files is taken in the order of its partitions.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2Relation"):
+        file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    else:
+        file, row = F.format_string("part-%d", F.spark_partition_id()), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = docs.select("*", file.alias("__file"), row.alias("__row"))
+    number = F.regexp_extract("__file", r"^part-(\d+)", 1).try_cast("long")
+    in_files = Window.orderBy(number.asc_nulls_last(), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a file
+    before = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n")).select("__file", F.coalesce(F.sum("__n").over(in_files), F.lit(0)).alias("__before"))
+    placed = rows.join(F.broadcast(before), "__file")
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c != "position"], (F.col("__before") + F.col("__row")).alias("position"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of the ids and of what they decode to."""
-    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    """Token ids of every document, digests of the ids and of what they decode to, and its position in the mixing schedule."""
+    docs = in_order(docs)
+    kept = [c for c in ("doc_id", "lang", "source", "position") if c in docs.columns]
     both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, PIECE_MODEL, keep=kept), PIECE_MODEL)
     return both.select(
         *kept,

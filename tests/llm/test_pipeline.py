@@ -1,5 +1,6 @@
 import corpus_pipeline
-from vitalgrid.llm import langid, line_dedup, ngram_join, sentencepiece_bpe
+from vitalgrid.llm import langid, line_dedup, mixing, ngram_join, sentencepiece_bpe
+from vitalgrid.llm.common import Written
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +22,18 @@ def test_stages_decide_as_the_operators(spark):
     out = {r.doc_id: r for r in tokens(spark, docs, SF).collect()}
     codec = sentencepiece_bpe.PieceCodec(open(corpus_pipeline.PIECE_MODEL, "rb").read())
     assert all(out[r.doc_id].token_ids == codec.encode(r.text).tolist() for r in docs.collect())
+
+
+def test_positions_follow_the_schedule(spark):
+    docs = Written(spark.createDataFrame([(i, "word " * (1 + 40 * (i % 50 == 0) * i), "en", f"s{i % 3 * i % 5}") for i in range(2000)], "doc_id long, text string, lang string, source string"), "docs").df
+    schedule = [r.doc_id for r in mixing.mix(docs).select("doc_id", "mix_slot", "mix_offset").orderBy("mix_slot", "mix_offset").collect()]
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else one file
+    try:
+        reread = Written(mixed, "mixed").df
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(reread.inputFiles()) > 1
+    for frame in (reread, mixed):
+        out = sorted((r.position, r.doc_id) for r in corpus_pipeline.tokens(spark, frame, SF).select("doc_id", "position").collect())
+        assert out == list(enumerate(schedule))
