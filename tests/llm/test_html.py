@@ -34,3 +34,26 @@ def test_table(spark):
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in extract(df, keep=["page_id"]).collect())
     assert got[2] == (2, 0, 0) and got[0] == got[1] and got[3][1] == got[3][2] == 249999
     assert extract(df.limit(0)).columns == ["page_id", "html", "text", "n_chars"]
+
+
+LONG = "A long sentence of the main text, with commas and enough words to count as content."
+
+
+def page(*lines):
+    return "\n\n".join(lines)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div id=c><h1>Title</h1><div class=t>{LONG}</div></div>", page("Title", LONG)),
+        (f"<div><div class=by>By me</div><div>{LONG}</div></div>", page("By me", LONG)),
+        (f"<body><div><p>{LONG}</p><blockquote>Short quote</blockquote><p>{LONG}</p></div></body>", page(LONG, "Short quote", LONG)),
+        (f"<div><p>{LONG}</p><table><tr><td>a</td><td>b</td></tr></table><p>{LONG}</p></div>", page(LONG, "a", "b", LONG)),
+        ("<div>" + f"<section><p>{LONG * 9}</p></section><section><h2>Two</h2><p>Short.</p></section>" * 2 + "</div>", page(LONG * 9, "Two", "Short.", LONG * 9, "Two", "Short.")),
+        (f"<div><h1>T</h1><p>{LONG * 5}</p></div><article class=card>Teaser text</article>", page("T", LONG * 5, "Teaser text")),
+        ("<div><a href=1>Link one</a> <a href=2>Link two</a></div>" + f"<div><p>{LONG}</p><p>{LONG}</p></div>", page(LONG, LONG)),
+    ],
+)
+def test_regions_keep_all_of_the_text(html, text):
+    assert extract_text(html) == text

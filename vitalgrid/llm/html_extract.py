@@ -3,9 +3,9 @@
 The standard library's parser sends start, end and text events.  They are cut into one line
 per text block, with the number of tags that the line holds.  The ratio of text to tags
 per line is smoothed by a Gaussian and split by a threshold cluster into content and other lines.
-The content lines vote for the region (an article or main element, else the division) that
-holds them; every line of the regions chosen is returned, short ones too, except for those
-below an element that is boilerplate by its tag, role or name.
+The content lines vote for the article or main element that holds most of their text, else for their
+smallest common block, widened as long as what comes in is not mostly links; every line of it is
+returned, short ones too, except for those below an element that is boilerplate by its tag, role or name.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ BOILER_TAGS = frozenset(
     "head title nav footer aside form button select textarea script style noscript template iframe object svg canvas menu dialog datalist".split()
 )
 REGION_TAGS = frozenset(("article", "main"))
-DIVISION_TAGS = frozenset("section div td body blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|masthead|"
@@ -41,28 +42,37 @@ HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:site-?|page-?|top-?)?header(?:$|[\s_-]
 CLOSES_P = BLOCK - {"body", "html", "head"}
 
 SIGMA_LINES = 1.0
-REGION_SHARE = 0.25
+ARTICLE_SHARE = 0.5  # of the content votes, for an article to be taken
+
+
+class _Node(NamedTuple):
+    tag: str
+    parent: int
+    hard: bool  # boilerplate, its own or inherited
+    article: int  # outermost article or main that it is or is in; 0: none
+    link: bool
 
 
 class _Lines(HTMLParser):
-    """Turns the event stream into lines: text, tags, region id, whether the region is an article, boilerplate."""
+    """Turns the event stream into lines (text, tags, node, characters in links) and nodes, parents first."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.nodes = [_Node("", 0, False, 0, False)]
+        self.stack: list[tuple[str, int]] = [("", 0)]
         self._own: list[tuple[str, bool]] = []  # as stack without its bottom: whether the element itself is boilerplate
-        self.regions = 0
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0
 
     def flush_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            _, boiler, region, article = self.stack[-1]
-            self.lines.append((text, self.tags, region, article, boiler))
+            self.lines.append((text, self.tags, self.stack[-1][1], min(self.linked, len(text))))
             self.tags = 0
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -74,19 +84,17 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, boiler, region, article = self.stack[-1]
-        own = self._boiler(tag, attrs, article)
-        if tag in REGION_TAGS and not own and boiler and not any(b and t not in ("nav", "header", "form", "head", "title") for t, b in self._own):
-            boiler = False  # an article cannot belong to a menu, header or form that was left open
-        if not (boiler or own):
-            if tag in REGION_TAGS and not article:
-                self.regions += 1
-                region, article = self.regions, True
-            elif tag in DIVISION_TAGS and not article:
-                self.regions += 1
-                region = self.regions
+        up = self.stack[-1][1]
+        _, _, hard, article, link = self.nodes[up]
+        own = self._boiler(tag, attrs, bool(article))
+        if tag in REGION_TAGS and not own and hard and not any(b and t not in ("nav", "header", "form", "head", "title") for t, b in self._own):
+            hard = False  # an article cannot belong to a menu, header or form that was left open
+        hard = hard or own
+        if tag in REGION_TAGS and not article and not hard:
+            article = len(self.nodes)
         self._own.append((tag, own))
-        self.stack.append((tag, boiler or own, region, article))
+        self.stack.append((tag, len(self.nodes)))
+        self.nodes.append(_Node(tag, up, hard, article, link or tag == "a"))
 
     @staticmethod
     def _boiler(tag: str, attrs: list, article: bool) -> bool:
@@ -126,6 +134,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] not in ("script", "style"):
             self.parts.append(data)
+            if self.nodes[self.stack[-1][1]].link:
+                self.linked += len(data.strip())
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -158,6 +168,25 @@ def _threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _votes(lines: list[tuple[str, int, int, int]], boiler: list[bool]) -> tuple[list[float], list[bool]]:
+    """Votes of each line, and whether it is content, by the smoothed ratios."""
+    out = [boiler[node] for _, _, node, _ in lines]
+    smooth = _smooth([0.0 if b else len(text) / max(1, tags) for (text, tags, _, _), b in zip(lines, out)])
+    cut = min(_threshold(smooth), sum(smooth) / len(smooth))
+    content = [not b and value >= cut for value, b in zip(smooth, out)]
+    return [0.0 if b else len(line[0]) * (1.0 if c else 0.1) for line, b, c in zip(lines, out, content)], content
+
+
+def _sums(nodes: list[_Node], lines: list[tuple[str, int, int, int]], values: list) -> list:
+    """Sum of the lines' values below each node."""
+    out = [0] * len(nodes)
+    for (_, _, node, _), v in zip(lines, values):
+        out[node] += v
+    for i in range(len(nodes) - 1, 0, -1):
+        out[nodes[i].parent] += out[i]
+    return out
+
+
 def extract_text(html: str | None) -> str:
     """Main text: its blocks with single spaces, joined by an empty line; '' for null, empty or no content."""
     if not html:
@@ -166,26 +195,31 @@ def extract_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush_line()
-    lines = parser.lines
+    nodes, lines = parser.nodes, parser.lines
     if not lines:
         return ""
-    ratio = [0.0 if boiler else len(text) / max(1, tags) for text, tags, _, _, boiler in lines]
-    smooth = _smooth(ratio)
-    cut = min(_threshold(smooth), sum(smooth) / len(smooth))
-    votes: dict[int, float] = {}
-    articles: set[int] = set()
-    for (text, _, region, article, boiler), value in zip(lines, smooth):
-        if boiler:
-            continue
-        if article:
-            articles.add(region)
-        votes[region] = votes.get(region, 0.0) + len(text) * (1.0 if value >= cut else 0.1)
-    if not votes:
+    boiler = [n.hard for n in nodes]
+    votes, content = _votes(lines, boiler)
+    if not any(votes):
         return ""
-    among = {r: v for r, v in votes.items() if r in articles} or votes
-    most = max(among.values())
-    chosen = {r for r, v in among.items() if v >= REGION_SHARE * most}
-    return "\n\n".join(text for text, _, region, _, boiler in lines if region in chosen and not boiler)
+    below = _sums(nodes, lines, votes)
+    chars = _sums(nodes, lines, [0 if boiler[line[2]] else len(line[0]) for line in lines])
+    linked = _sums(nodes, lines, [0 if boiler[line[2]] else line[3] for line in lines])
+    articles = [i for i, n in enumerate(nodes) if n.article == i and i > 0]
+    if any(below[i] > ARTICLE_SHARE * below[0] for i in articles):
+        # cards, whose text is mostly links, are no articles
+        chosen = {i for i in articles if below[i] > ARTICLE_SHARE * below[0] or 2 * linked[i] <= chars[i]}
+        inside = [n.article in chosen for n in nodes]
+    else:
+        core = [not boiler[node] and (c or nodes[node].tag == "h1") for (_, _, node, _), c in zip(lines, content)]
+        held = _sums(nodes, lines, [int(c) for c in core])
+        top = max(i for i, h in enumerate(held) if h == held[0] and (i == 0 or nodes[i].tag in BLOCK))
+        while top and 2 * (linked[nodes[top].parent] - linked[top]) <= chars[nodes[top].parent] - chars[top]:
+            top = nodes[top].parent
+        inside = [False] * len(nodes)
+        for i, n in enumerate(nodes):
+            inside[i] = i == top or (i > 0 and inside[n.parent])
+    return "\n\n".join(line[0] for line in lines if inside[line[2]] and not boiler[line[2]])
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
