@@ -57,3 +57,24 @@ def page(*lines):
 )
 def test_regions_keep_all_of_the_text(html, text):
     assert extract_text(html) == text
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "post category-social", "tag-search", "comment-open", "sidebar", "widget"])
+@pytest.mark.parametrize("tag", ["article", "div", "wrapper"])
+def test_name_of_the_main_text(name, tag):
+    text = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p>"
+    html = f"<div class='{name}'><article>{text}</article></div>" if tag == "wrapper" else f"<{tag} class='{name}'>{text}</{tag}>"
+    assert extract_text(html + "<div class='cookie-notice'>We use cookies.</div>") == page("Title", LONG, "Short.")
+
+
+@pytest.mark.parametrize("part", ["section id='related-work'", "h2 id='Social_structure'", "h2 id='Search_and_rescue'", "h2 id='Recommendations'", "div id='Recommendations'", "div class='informed-consent'"])
+def test_name_of_a_part_of_the_text(part):
+    body = f"<p>{LONG * 2}</p><{part}>{LONG}</{part.split()[0]}><p>{LONG}</p>"
+    assert extract_text(f"<article>{body}</article>") == extract_text(f"<div>{body}</div>") == page(LONG * 2, LONG, LONG)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "side-bar", "cookie-notice", "main-nav", "comments-area", "site-footer", "share_buttons", "ads", "related-posts"])
+def test_names_of_boilerplate(name):
+    links = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    for body in (f"<article><p>{LONG}</p><p>{LONG}</p></article><div class='x {name}'>{links}</div>", f"<div><p>{LONG}</p><p>{LONG}</p><div class='{name}'>{links}</div></div>"):
+        assert extract_text(body) == page(LONG, LONG)

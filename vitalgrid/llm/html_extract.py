@@ -6,6 +6,7 @@ per line is smoothed by a Gaussian and split by a threshold cluster into content
 The content lines vote for the article or main element that holds most of their text, else for their
 smallest common block, widened as long as what comes in is not mostly links; every line of it is
 returned, short ones too, except for those below an element that is boilerplate by its tag, role or name.
+A name alone does not make boilerplate of the element that is or holds the main text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -32,23 +34,46 @@ BOILER_TAGS = frozenset(
 REGION_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|breadcrumbs?|footer|masthead|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|sign-?up|"
-    r"related|recommend\w*|shar(?:e|ing)|social|toolbar|widgets?|log-?in|search|pagination|pager|skip-?link|disclaimer)(?:$|[\s_-])",
-    re.I,
+# a class or id names boilerplate if all its parts are of these three kinds, and one of the first two
+BOILER_PART = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|"
+    r"repl(?:y|ies)|cookies?|gdpr|popup|newsletter|subscribe|sign-?up|shar(?:e|ing)|toolbar|widgets?|log-?in|pagination|pager|skip"
 )
-HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:site-?|page-?|top-?)?header(?:$|[\s_-])", re.I)
+#: These also name parts of a text; alone they need a low text-to-tag ratio besides.
+WEAK_PART = re.compile(r"banner|respond|consent|notices?|modal|overlay|related|recommend\w*|social|search|disclaimer")
+PLACE_PART = re.compile(
+    r"|site|page|top|bottom|left|right|main|global|primary|secondary|header|head|box|bar|list|links?|buttons?|icons?|items?|section|area|wrap|wrapper|container|"
+    r"block|panel|inner|outer|body|text|title|content|form|side|up|in|log|sign|row|col|column|group|module|post|posts|articles?|stories|media|bread|crumbs?|\d+"
+)
+HEADER_NAMES = frozenset(f"{a}{b}header" for a in ("", "site", "page", "top") for b in ("", "-", "_"))
+NOT_NAMED = HEADINGS | {"html", "body", "main"}
+STRONG, WEAK = 2, 1
 CLOSES_P = BLOCK - {"body", "html", "head"}
 
 SIGMA_LINES = 1.0
 ARTICLE_SHARE = 0.5  # of the content votes, for an article to be taken
+WEAK_RATIO = 0.5  # of the least ratio of content: below it a weak name counts
+REGION_SHARE = 0.25  # of a named element's votes, in an article outside, for the name to count
+
+
+@lru_cache(maxsize=4096)
+def _named(token: str) -> int:
+    """Whether a class or id names boilerplate: STRONG, WEAK or 0."""
+    parts = [x for x in re.split(r"[-_]+", token.lower()) if x]
+    if "side" in parts and "bar" in parts:
+        return STRONG
+    strong = sum(bool(BOILER_PART.fullmatch(x)) for x in parts)
+    weak = sum(bool(WEAK_PART.fullmatch(x)) for x in parts)
+    if not strong + weak or any(not (BOILER_PART.fullmatch(x) or WEAK_PART.fullmatch(x) or PLACE_PART.fullmatch(x)) for x in parts):
+        return 0
+    return STRONG if strong or weak > 1 else WEAK
 
 
 class _Node(NamedTuple):
     tag: str
     parent: int
-    hard: bool  # boilerplate, its own or inherited
+    hard: bool  # boilerplate by tag, role or attributes, its own or inherited
+    soft: int  # its own name: STRONG, WEAK or 0
     article: int  # outermost article or main that it is or is in; 0: none
     link: bool
 
@@ -59,7 +84,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.nodes = [_Node("", 0, False, 0, False)]
+        self.nodes = [_Node("", 0, False, 0, 0, False)]
         self.stack: list[tuple[str, int]] = [("", 0)]
         self._own: list[tuple[str, bool]] = []  # as stack without its bottom: whether the element itself is boilerplate
         self.parts: list[str] = []
@@ -85,8 +110,8 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         up = self.stack[-1][1]
-        _, _, hard, article, link = self.nodes[up]
-        own = self._boiler(tag, attrs, bool(article))
+        _, _, hard, _, article, link = self.nodes[up]
+        own, soft = self._boiler(tag, attrs, bool(article))
         if tag in REGION_TAGS and not own and hard and not any(b and t not in ("nav", "header", "form", "head", "title") for t, b in self._own):
             hard = False  # an article cannot belong to a menu, header or form that was left open
         hard = hard or own
@@ -94,24 +119,27 @@ class _Lines(HTMLParser):
             article = len(self.nodes)
         self._own.append((tag, own))
         self.stack.append((tag, len(self.nodes)))
-        self.nodes.append(_Node(tag, up, hard, article, link or tag == "a"))
+        self.nodes.append(_Node(tag, up, hard, soft, article, link or tag == "a"))
 
     @staticmethod
-    def _boiler(tag: str, attrs: list, article: bool) -> bool:
+    def _boiler(tag: str, attrs: list, article: bool) -> tuple[bool, int]:
+        """Whether the element is boilerplate by tag, role or attributes, and what its names say."""
         if tag in BOILER_TAGS or (tag == "header" and not article):
-            return True
+            return True, 0
         if not attrs or tag in ("html", "body", "main"):
-            return False
+            return False, 0
+        soft = 0
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if value and name in ("class", "id") and (BOILER_NAME.search(value) or (not article and HEADER_NAME.search(value))):
-                return True
+                return True, 0
+            if value and name in ("class", "id") and tag not in NOT_NAMED:
+                for token in value.split():
+                    soft = max(soft, _named(token), STRONG if not article and token.lower() in HEADER_NAMES else 0)
             if value and name == "role" and value.lower() in BOILER_ROLES:
-                return True
+                return True, 0
             if value and name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        return False
+                return True, 0
+        return False, soft
 
     def _close(self, tag: str, stop: frozenset = frozenset()) -> None:
         """Close the nearest open element of this tag, and those left open in it."""
@@ -168,22 +196,54 @@ def _threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _votes(lines: list[tuple[str, int, int, int]], boiler: list[bool]) -> tuple[list[float], list[bool]]:
-    """Votes of each line, and whether it is content, by the smoothed ratios."""
+def _votes(lines: list[tuple[str, int, int, int]], boiler: list[bool]) -> tuple[list[float], list[bool], float]:
+    """Votes of each line, whether it is content by the smoothed ratios, and the least ratio of content."""
     out = [boiler[node] for _, _, node, _ in lines]
     smooth = _smooth([0.0 if b else len(text) / max(1, tags) for (text, tags, _, _), b in zip(lines, out)])
     cut = min(_threshold(smooth), sum(smooth) / len(smooth))
     content = [not b and value >= cut for value, b in zip(smooth, out)]
-    return [0.0 if b else len(line[0]) * (1.0 if c else 0.1) for line, b, c in zip(lines, out, content)], content
+    return [0.0 if b else len(line[0]) * (1.0 if c else 0.1) for line, b, c in zip(lines, out, content)], content, cut
 
 
-def _sums(nodes: list[_Node], lines: list[tuple[str, int, int, int]], values: list) -> list:
-    """Sum of the lines' values below each node."""
+def _sums(nodes: list[_Node], lines: list[tuple[str, int, int, int]], values: list, stop: list[int] | None = None) -> list:
+    """Sum of the lines' values below each node; what is below a node of ``stop`` does not count further up."""
     out = [0] * len(nodes)
     for (_, _, node, _), v in zip(lines, values):
         out[node] += v
     for i in range(len(nodes) - 1, 0, -1):
-        out[nodes[i].parent] += out[i]
+        if not (stop and stop[i]):
+            out[nodes[i].parent] += out[i]
+    return out
+
+
+def _boilerplate(nodes: list[_Node], lines: list[tuple[str, int, int, int]]) -> list[bool]:
+    """Whether each node is boilerplate, its own or inherited."""
+    hard = [n.hard for n in nodes]
+    soft = [0 if n.hard else n.soft for n in nodes]
+    if any(soft):
+        votes, _, cut = _votes(lines, hard)
+        chars = [0 if hard[node] else len(text) for text, _, node, _ in lines]
+        every = _sums(nodes, lines, chars)
+        tags = _sums(nodes, lines, [line[1] for line in lines])
+        soft = [0 if s == WEAK and every[i] >= WEAK_RATIO * cut * tags[i] else s for i, s in enumerate(soft)]
+        free = _sums(nodes, lines, votes, soft)  # votes below each node that no name inside it takes away
+        regions = [i for i, n in enumerate(nodes) if n.tag in REGION_TAGS and not n.hard]
+        named = [False] * len(nodes)  # is or is in a node of soft
+        for i, n in enumerate(nodes):
+            named[i] = bool(soft[i]) or (i > 0 and named[n.parent])
+        outside = max((free[i] for i in regions if not named[i]), default=0.0)
+        main = [i for i in sorted(regions, key=free.__getitem__)[-1:] if named[i] and free[i] > free[0]]
+        if not main:
+            main = [i for i, s in enumerate(soft) if s and free[i] > free[0] and outside < REGION_SHARE * free[i]]
+            main = [max(main, key=free.__getitem__)] if main else []
+        for i in main:
+            while i:
+                soft[i] = 0
+                i = nodes[i].parent
+    out: list[bool] = []
+    for i, n in enumerate(nodes):
+        # hard holds what is inherited, or was lifted by an article
+        out.append(hard[i] or bool(soft[i]) or (i > 0 and out[n.parent] and not hard[n.parent]))
     return out
 
 
@@ -198,8 +258,8 @@ def extract_text(html: str | None) -> str:
     nodes, lines = parser.nodes, parser.lines
     if not lines:
         return ""
-    boiler = [n.hard for n in nodes]
-    votes, content = _votes(lines, boiler)
+    boiler = _boilerplate(nodes, lines)
+    votes, content, _ = _votes(lines, boiler)
     if not any(votes):
         return ""
     below = _sums(nodes, lines, votes)
