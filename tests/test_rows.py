@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vitalgrid.jobs.concepts import ConceptSpec, extract_derived
+from vitalgrid.jobs.concepts import ConceptSpec, Mapping, extract_derived, extract_many, extract_simple
 from vitalgrid.operators import joins, rows
 from vitalgrid.operators.rows import EventSpec
 from vitalgrid.operators.sharding import shards, vocabulary
@@ -56,3 +56,18 @@ def test_shards_and_vocabulary(spark):
     assert shards(e, 2, [3]).count() == 1
     assert sorted(r.code for r in vocabulary(e).collect()) == ["c0", "c1"]
     assert shards(e.limit(0), 2).count() == 0
+
+
+def test_patterns_meet_codes_without_event_name(spark):
+    rows = [("LAB//glucose//mg", "LAB"), ("LAB//glucose//mg", "OTHER"), ("glucose//A.b+(c)", "A.b+(c)"), ("glucose//Axb", "A.b"), ("glucose", None), ("LAB//x//glucose", "LAB"), ("x//LAB//glucose", "LAB"), (None, "LAB")]
+    df = spark.createDataFrame([(i, c, e, "t") for i, (c, e) in enumerate(rows)], "subject_id long, code string, event string, table string")
+    df = df.selectExpr("subject_id", "timestamp_ntz '2024-01-01' as time", "code", "event", "table", "1f as numeric_value", "'' as text_value")
+    patterns = spark.createDataFrame([("a", "^glucose(//.*)?$"), ("b", "^x//glucose$"), ("c", "^glucose$")], "concept string, pattern string")
+    many = extract_many(df, patterns)
+    found = {c: sorted(r.subject_id for r in many.collect() if r.concept == c) for c in "abc"}
+    assert found == {"a": [0, 2, 3, 4], "b": [5, 6], "c": [2, 4]} and many.columns == ["code", *[c for c in df.columns if c != "code"], "concept"]
+    for r in patterns.collect():
+        one = extract_simple(df, ConceptSpec(r.concept), [Mapping("t", r.pattern)]).collect()
+        assert sorted(x.subject_id for x in one) == found[r.concept]
+        named = [x.subject_id for e in {e for _, e in rows if e} for x in extract_simple(df, ConceptSpec(r.concept), [Mapping("t", r.pattern, e)]).collect()]
+        assert sorted(named) == [i for i in found[r.concept] if rows[i][1]]

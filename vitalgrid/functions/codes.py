@@ -24,14 +24,20 @@ def build_code(parts: list[Column], name: str | None = None, prefix: list[Column
     return F.concat_ws(SEPARATOR, *[p.cast("string") for p in prefix], *head, *parts, *[s.cast("string") for s in suffix])
 
 
-def without_name(code: Column, name: str) -> Column:
-    """The code less the event's name: in the middle once, at the start and at the end."""
-    n = re.escape(name)
-    out = F.regexp_replace(code, rf"^(.*?)//{n}//", r"$1//")
-    return F.regexp_replace(F.regexp_replace(out, rf"^{n}//", ""), rf"//{n}$", "")
+def without_name(code: Column, name: str | Column) -> Column:
+    """The code less the event's name: in the middle once, at the start and at the end. Null where the name is."""
+    if isinstance(name, str):
+        n = F.lit(re.escape(name))
+    else:
+        n = F.regexp_replace(name, r"([^\p{L}\p{N}_\s])", r"\\$1")
+    out = F.regexp_replace(code, F.concat(F.lit("^(.*?)//"), n, F.lit("//")), F.lit(r"$1//"))
+    return F.regexp_replace(F.regexp_replace(out, F.concat(F.lit("^"), n, F.lit("//")), F.lit("")), F.concat(F.lit("//"), n, F.lit("$")), F.lit(""))
 
 
-def matches(code: Column, pattern: str, name: str | None = None) -> Column:
+def matches(code: Column, pattern: str, name: str | Column | None = None) -> Column:
     """Whether the pattern is found in the code, or in the code less the event's name."""
     found = code.rlike(pattern)
-    return found if name is None else found | without_name(code, name).rlike(pattern)
+    if name is None:
+        return found
+    bare = without_name(code, name).rlike(pattern)
+    return found | (bare if isinstance(name, str) else F.coalesce(bare, F.lit(False)))

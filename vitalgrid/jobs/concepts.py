@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.codes import matches
+from vitalgrid.functions.codes import matches, without_name
 from vitalgrid.operators.joins import join_concepts
 from vitalgrid.operators.rows import keep, limited
 from vitalgrid.schema import CORE, EVENT
@@ -60,7 +60,7 @@ def extract_simple(events: DataFrame, spec: ConceptSpec, mappings: list[Mapping]
             df = df.where(F.col("event") == m.event)
             df = df.where(matches(F.col("code"), m.pattern, m.event))
         else:
-            df = df.where(F.col("code").rlike(m.pattern))
+            df = df.where(matches(F.col("code"), m.pattern, F.col("event")))
         df = keep(df, *[F.col(c).rlike(p) for c, p in m.patterns.items()])
         df = df.withColumns(m.extensions) if m.extensions else df
         numeric = F.lit(None) if m.numeric_value is None else m.numeric_value
@@ -80,13 +80,17 @@ def extract_derived(tables: list[DataFrame], spec: ConceptSpec, numeric_value: C
 
 
 def extract_many(events: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All concepts in one pass: events with the column ``concept`` for each pattern (concept, pattern) that their code meets.
+    """All concepts in one pass: events with the column ``concept`` for each pattern (concept, pattern) that their code meets,
+    as it is or less the name in the column ``event``.
 
-    Patterns are tried on the distinct codes only, and the codes that hit are joined back.
+    Patterns are tried on the distinct codes of each event only, and those that hit are joined back.
     """
-    codes = events.select("code").where(F.col("code").isNotNull()).distinct()
-    hits = codes.join(F.broadcast(patterns), F.expr("code rlike pattern")).select("code", "concept").distinct()
-    return events.join(hits, "code")
+    codes = events.select("code", "event").where(F.col("code").isNotNull()).distinct()
+    codes = codes.withColumn("bare", without_name(F.col("code"), F.col("event")))
+    hits = codes.join(F.broadcast(patterns), F.expr("code rlike pattern or coalesce(bare rlike pattern, false)"))
+    hits = hits.select(F.col("code").alias("__code"), F.col("event").alias("__event"), "concept").distinct()
+    same = (F.col("code") == F.col("__code")) & F.col("event").eqNullSafe(F.col("__event"))
+    return events.join(hits, same).select("code", *[F.col(f"`{c}`") for c in events.columns if c != "code"], "concept")
 
 
 def harmonise(df: DataFrame, units: DataFrame, unit: str = "unit") -> DataFrame:
