@@ -27,6 +27,6 @@ def test_against_union_find(spark):
 def test_filter_keeps_all_wanted_and_little_else(spark):
     df = spark.range(20000).selectExpr("id", "'x' as __map")
     wanted = spark.range(0, 20000, 100).toDF("w")
-    got = {r.id for r in likely_among(df, "id", wanted).collect()}
+    got = {r.id for r in likely_among(df, "id", wanted, 200).collect()}
     assert set(range(0, 20000, 100)) <= got and len(got) < 300
-    assert likely_among(df, "id", wanted.limit(0)).count() == 0
+    assert likely_among(df, "id", wanted.limit(0), 0).count() == 0

@@ -37,8 +37,7 @@ def expected(docs):
 @pytest.mark.parametrize("large", [False, True])
 def test_lines_against_all_pairs(spark, monkeypatch, large):
     if large:
-        monkeypatch.setattr(components, "LARGE", 0.1)
-        monkeypatch.setattr(line_dedup, "BLOCK_LINES", 8)
+        monkeypatch.setattr(components, "FEW", 0)
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
     bases = [[rng.choice(words) for _ in range(25)] for _ in range(4)]

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by a session on one machine that names no shared folder, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_SHARED_DIR).rstrip("/")
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -37,21 +41,23 @@ class Written:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-FILTER_BITS = 1 << 23
+MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 29  # 128 KB to 64 MB
 _BITS_IN_BITMAP = 32768  # of bitmap_construct_agg
 
 
-def likely_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+def likely_among(df: DataFrame, column: str, ids: DataFrame, n_ids: int) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among the first column of ``ids``: all that are, and few others.
 
-    The ids' hashes set bits in a filter of FILTER_BITS (1 MB, whatever the number of ids), which every task gets;
-    so a join with the ids shuffles little besides their own rows.  Rows with a null are left out.
+    The ids' hashes set bits in a filter of about 16 bits for each of ``n_ids`` (64 MB at most; beyond that it lets
+    more rows through, but loses none), which every task gets; so a join with the ids shuffles little
+    besides their own rows.  Rows with a null are left out.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    place = ids.select(at(F.col(ids.columns[0])).alias("at")).distinct()
-    maps = place.groupBy(F.floor(F.col("at") / _BITS_IN_BITMAP).alias("__map")).agg(F.bitmap_construct_agg(F.col("at") % _BITS_IN_BITMAP).alias("__bits"))
+    bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (16 * max(1, n_ids)).bit_length()))
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    place = ids.select(at(F.col(ids.columns[0])).alias("at"))
+    maps = place.groupBy(F.shiftright("at", 15).alias("__map")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(_BITS_IN_BITMAP - 1))).alias("__bits"))
     rows = df.where(F.col(column).isNotNull()).withColumn("__at", at(F.col(column)))
-    rows = rows.withColumn("__map", F.floor(F.col("__at") / _BITS_IN_BITMAP)).withColumn("__at", (F.col("__at") % _BITS_IN_BITMAP).cast("int"))
+    rows = rows.withColumn("__map", F.shiftright("__at", 15)).withColumn("__at", F.col("__at").bitwiseAND(F.lit(_BITS_IN_BITMAP - 1)).cast("int"))
     rows = rows.join(F.broadcast(maps), "__map")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.getbit(byte, F.col("__at") % 8) == 1).select(*df.columns)
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__at", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, F.col("__at").bitwiseAND(F.lit(7))) == 1).select(*df.columns)

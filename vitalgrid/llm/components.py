@@ -18,17 +18,21 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 def written_components(links: DataFrame, label: str = "components") -> Written:
     """(id, component) for every id of the links (a, b); component is the smallest id reachable.
 
-    Each round every id hooks onto its smallest neighbour, paths are halved by pointer jumping, and links are
-    rewritten between what is left, so that their number falls geometrically.  Null ends, loops and repeated links
-    are ignored; no links give an empty table.  Rounds are written to the shared folder; the driver sees only counts.
+    Each round every id hooks onto that of itself and its neighbours with the smallest hash, another hash each round,
+    paths are halved by pointer jumping, and links are rewritten between what is left.  As the hashes are
+    drawn anew, a constant share of the ids is expected to go in each round, whatever their order (chains, stars).
+    Null ends, loops and repeated links are ignored; no links give an empty table.  Rounds are written to the
+    shared folder; the driver sees only whether links are left.
     """
     a, b = F.col("a"), F.col("b")
     edges = Written(links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), label)
     labels: Written | None = None
-    while labels is None or not edges.df.isEmpty():
+    rounds = 0
+    while not edges.df.isEmpty():
         both = edges.df.union(edges.df.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("up"))
-        hook = Written(hook, label)
+        order = lambda c: F.xxhash64(F.lit(rounds), c)
+        near = both.groupBy("a").agg(F.min_by("b", order("b")).alias("b"), F.min(order("b")).alias("m"))
+        hook = Written(near.select(F.col("a").alias("id"), F.when(order("a") <= F.col("m"), F.col("a")).otherwise(F.col("b")).alias("up")), label)
         jump = Written(
             hook.df.alias("x").join(hook.df.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left")
             .select("id", F.coalesce("upper", "up").alias("up")), label,
@@ -47,51 +51,31 @@ def written_components(links: DataFrame, label: str = "components") -> Written:
         fewer = Written(left.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), label)
         edges.drop()
         jump.drop()
-        edges = fewer
+        edges, rounds = fewer, rounds + 1
+    if labels is None:
+        empty = Written(edges.df.select(F.col("a").alias("id"), F.col("b").alias("component")), label)
+        edges.drop()
+        return empty
     edges.drop()
-    return labels
-
+    smallest = labels.df.groupBy("component").agg(F.min("id").alias("least"))
+    named = Written(labels.df.join(smallest, "component").select("id", F.col("least").alias("component")), label)
+    labels.drop()
+    return named
 
-LARGE = 16
-BLOCK_ROWS = 1024
 
-
-def blocks(live: DataFrame, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(kind, unit, p, q, own, id, component): members of large groups, dealt so that each pair of blocks of a unit meets once.
-
-    A unit is a group, or, where that is less work, all groups that hang together: near copies share many groups.
-    """
-    least = live.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    cluster = components(live.join(least, "g").select("a", F.col("id").alias("b")), f"{label}-clusters")
-    of_group = least.join(cluster.withColumnRenamed("id", "a"), "a").select("g", "n", F.col("component").alias("cluster"))
-    whole = live.join(of_group, "g").select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
-    apart = of_group.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
-    joined = of_group.join(whole, "cluster").join(apart, "cluster").withColumn("kind", (F.col("m") * F.col("m") <= F.col("work")).cast("int"))
-    unit = joined.select("g", "kind", F.when(F.col("kind") == 1, F.col("cluster")).otherwise(F.col("g")).alias("unit"))
-    rows = Written(live.join(unit, "g").select("kind", "unit", "id", "component").distinct(), label).df
-    sizes = rows.groupBy("kind", "unit").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    rows = rows.join(sizes, ["kind", "unit"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return rows.select("kind", "unit", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
+MAX_HUB_ROUNDS = 6
+FEW = 16  # pairs for each member: so many are tested pair by pair
 
 
-def link_groups(
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    label: str = "groups",
-    rounds: int = 2,
-    verify_blocks: Callable[[DataFrame], DataFrame] | None = None,
-    block_rows: int = BLOCK_ROWS,
-    large: int | None = None,
-) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str = "groups", rounds: int = MAX_HUB_ROUNDS) -> DataFrame:
     """(id, component) of the ids that have links, given candidate groups; no link between two members of a group is lost.
 
     ``members``: (g, id) and the flags indexed and asked; only pairs of an indexed and an asked member of one group may link.
-    ``verify`` keeps the pairs (a, b) that do.  Testing all pairs of large groups is avoided: in each round a
-    group's hub, another one each time, is tested against the members that are not yet in its component.
-    What is still apart after that, or is cheaper to test at once, is tested pair by pair; large groups by
-    ``verify_blocks``, where given: it finds links between components among rows of ``blocks``.  A group is large if its
-    open pairs are more than ``large`` (default LARGE) times its members.
+    ``verify`` keeps the pairs (a, b) that do.  Testing all pairs of a group is avoided: in each round each
+    group's hub is tested against the members that are not yet in its component, and then leaves the group, as all its
+    pairs are settled; so a round makes no more pairs than there are members.  A group is done when its members
+    are in one component.  When the pairs still open are no more than ``FEW`` for each member, or after ``rounds`` rounds, they are
+    tested pair by pair.
     """
     kept = Written(members, label)
     members, old = kept.df, [kept]  # tables to remove at the end
@@ -110,26 +94,24 @@ def link_groups(
         size = open_groups.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not size["n"]:
             break
-        live = named.join(open_groups.select("g"), "g", "left_semi")
-        last = r == rounds or size["pairs"] <= 2 * size["n"]
-        in_blocks = None
+        live = keep(named.join(open_groups.select("g"), "g", "left_semi"))
+        last = r == rounds or size["pairs"] <= FEW * size["n"]
         if last:
-            if verify_blocks:
-                many = F.col("pairs") > (LARGE if large is None else large) * F.col("n")
-                crowd = keep(live.join(open_groups.where(many).select("g"), "g", "left_semi"))
-                live = live.join(open_groups.where(~many).select("g"), "g", "left_semi")
-                in_blocks = None if crowd.isEmpty() else verify_blocks(blocks(crowd, label, block_rows))
             x, y = live.where("indexed").alias("x"), live.where("asked").alias("y")
             pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
         else:
-            hubs = live.groupBy("g").agg(F.min_by(F.struct(F.col("id").alias("hub"), F.col("component").alias("of")), F.xxhash64("id", F.lit(r))).alias("h"))
-            pairs = live.join(hubs, "g").where("component <> h.of").select(F.col("h.hub").alias("x"), F.col("id").alias("y"))
+            # the same hub in all groups of a set of near copies: that with the smallest hash, another one each round
+            first = lambda c: F.min_by(c, F.xxhash64("id", F.lit(r)))
+            hubs = live.groupBy("g").agg(first("id").alias("hub"), first("component").alias("of"), first("indexed").alias("i"), first("asked").alias("k"))
+            hubs = keep(hubs)
+            met = live.join(hubs, "g")
+            pairs = met.where("component <> of and ((i and asked) or (k and indexed))").select(F.col("hub").alias("x"), F.col("id").alias("y"))
+            members = met.where("id <> hub").select("g", "id", "indexed", "asked")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         tested.append(keep(pairs))
-        links = verify(tested[-1])
-        links = keep(links if in_blocks is None else links.union(in_blocks))
+        links = keep(verify(tested[-1]))
         if labels is None:
             labels = written_components(links, label)
         else:

@@ -1,21 +1,25 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash, exact verification and union-find.
 
-Equal lines (without outer blanks) become one line first.  A line's shingles are its runs of ``SHINGLE`` characters
-(UTF-16 units; a shorter line is one shingle).  One 64-bit hash of each shingle serves all signature places: place p
-is the least value of hash XOR c(p), so that a shingle is hashed once.  Lines that agree in all places of a band are
-candidates; the exact Jaccard similarity of their shingle sets decides; links are joined to components; and the first line
-(by doc_id, then line number) of each component stays.
+Equal lines (without outer blanks) count as one line.  A line's shingles are its runs of ``SHINGLE`` UTF-16 units
+(a shorter line is one shingle), as 64-bit hashes.  One hash of each shingle serves all signature places: place p
+is the least value of its upper 32 bits XOR c(p).  Lines that agree in all places of a band are
+candidates; the exact Jaccard similarity of their shingle sets decides; links are joined to components; and the first
+line (by doc_id, then line number) of each component stays.
 
-The shingles of a line are cut from short overlapping chunks and reduced within generated code, ``STEP`` at a time.
-Candidates of a bucket are tested against changing hubs, and after that only those that are still in different
-components against each other, in large groups block by block, so that these are not expanded into all pairs.
+Signatures are made where the texts are read, many lines at once, and only their bands are kept; lines are fetched
+again for candidates alone.  Candidates of a bucket are tested against changing hubs, so near copies are not expanded
+into all pairs.  Signatures and verification are numpy inside Arrow batches; all joins, groups and components are DataFrame functions.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import Written, likely_among
@@ -25,105 +29,185 @@ SHINGLE = 10
 BANDS = 8
 ROWS = 3
 PERCENT = 80
-CHUNK = 64
-STEP = 16
-BLOCK_LINES = 128
+BLANKS = " \t\n\x0b\f\r"
+PIECE_UNITS = 1 << 15  # hashed at once, so that arrays stay in the cache
+
+U = np.uint64
+_STEP = [U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 3)]  # odd multipliers
 
 
 def _constants(n: int) -> list[int]:
     made = random.Random(20240607)
-    return [made.getrandbits(64) - (1 << 63) for _ in range(n)]
+    return [made.getrandbits(32) for _ in range(n)]
+
+
+_PLACES = np.array(_constants(BANDS * ROWS), np.uint32)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from 1, line, key) of all lines of the texts that are not blank; key is a 64-bit hash of the line."""
     at = F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")
     out = docs.where(F.col("text").isNotNull()).select("doc_id", at)
-    out = out.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line"))
+    out = out.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANKS)).alias("line"))
     return out.where(F.length("line") > 0).withColumn("key", F.xxhash64("line"))
 
 
-def _chunks(line: Column) -> Column:
-    """Overlapping pieces of CHUNK shingles each, as UTF-16 bytes."""
-    units = F.encode(line, "UTF-16BE")
-    last = F.floor((F.greatest(F.octet_length(units) / 2 - SHINGLE, F.lit(0))) / CHUNK).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(units, i * (2 * CHUNK) + 1, F.lit(2 * (CHUNK + SHINGLE - 1))))
-
-
-def _last_start(chunk: Column) -> Column:
-    """Number of shingles of a chunk, one at least."""
-    return F.greatest((F.octet_length(chunk) / 2).cast("int") - (SHINGLE - 1), F.lit(1))
-
-
-def _hash(chunk: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(chunk, 2 * i - 1, F.lit(2 * SHINGLE)))
-
-
-def signatures(distinct: DataFrame) -> DataFrame:
-    """(key, m0 ...) for rows (key, line) that are dealt by key."""
-    c = distinct.select("key", F.explode(_chunks(F.col("line"))).alias("chunk")).withColumn("top", _last_start(F.col("chunk")))
-    c = c.select("key", "chunk", "top", F.explode(F.sequence(F.lit(1), F.col("top"), F.lit(STEP))).alias("i"))
-    # a chunk's last shingle repeats to fill the step: a minimum does not mind
-    c = c.select("key", *[_hash(F.col("chunk"), F.least(F.col("i") + j, F.col("top"))).alias(f"h{j}") for j in range(STEP)])
-    least = lambda k: F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(k)) for j in range(STEP)]))
-    return c.groupBy("key").agg(*[least(k).alias(f"m{p}") for p, k in enumerate(_constants(BANDS * ROWS))])
-
-
-def _shingles(line: Column) -> Column:
-    cut = F.transform(_chunks(line), lambda c: F.transform(F.sequence(F.lit(1), _last_start(c)), lambda i: _hash(c, i)))
-    return F.array_distinct(F.flatten(cut))
-
-
-def _similar(common: Column, size_a: Column, size_b: Column) -> Column:
-    return 100 * common >= PERCENT * (size_a + size_b - common)
+def line_key(line: str) -> int:
+    """The same hash as ``lines`` gives."""
+    return int(np.array(xxhash.xxh64_intdigest(line.encode(), seed=42), U).astype(np.int64))
+
+
+def _runs(units: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of SHINGLE units: four units fit in 64 bits, so a run is two such words and one of two units."""
+    x = units.astype(U)
+    two = (x[:-1] << U(16)) | x[1:]
+    four = (two[:-2] << U(32)) | two[2:]
+    n = len(units) - SHINGLE + 1
+    h = four[:n] * _STEP[0]
+    h ^= h >> U(31)
+    h += four[4 : 4 + n]
+    h *= _STEP[1]
+    h ^= h >> U(29)
+    h += two[8 : 8 + n]
+    h *= _STEP[2]
+    h ^= h >> U(32)
+    return h
+
+
+def shingle_hashes(line: str) -> np.ndarray:
+    """Sorted distinct hashes of the line's shingles."""
+    units = np.frombuffer(line.encode("utf-16-le"), np.uint16)
+    if len(units) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(line.encode())], U)
+    h = _runs(units)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def _bands(some: list[str]) -> np.ndarray:
+    """The bands of each line, one row of BANDS hashes a line; lines may be of any length."""
+    units = [np.frombuffer(x.encode("utf-16-le"), np.uint16) for x in some]
+    least = np.empty((len(some), BANDS * ROWS), np.uint32)
+    piece, owners, held = [], [], 0
+
+    def reduce() -> None:
+        h = (_runs(np.concatenate(piece)) >> U(32)).astype(np.uint32)
+        n = np.array([len(x) for x in piece])
+        start = np.cumsum(n) - n
+        # runs across the border of two lines belong to none
+        edges = np.stack([start, start + n - SHINGLE + 1], 1).ravel()
+        edges = edges if edges[-1] < len(h) else edges[:-1]
+        for p, c in enumerate(_PLACES):
+            least[owners, p] = np.minimum(least[owners, p], np.minimum.reduceat(h ^ c, edges)[::2])
+
+    for i, x in enumerate(units):
+        if len(x) < SHINGLE:
+            least[i] = np.uint32(xxhash.xxh32_intdigest(some[i].encode())) ^ _PLACES
+            continue
+        least[i] = 0xFFFFFFFF
+        for at in range(0, len(x) - SHINGLE + 1, PIECE_UNITS):
+            part = x[at : at + PIECE_UNITS + SHINGLE - 1]
+            if owners and owners[-1] == i:
+                reduce()
+                piece, owners, held = [], [], 0
+            piece.append(part)
+            owners.append(i)
+            held += len(part)
+            if held >= PIECE_UNITS:
+                reduce()
+                piece, owners, held = [], [], 0
+    if piece:
+        reduce()
+    out = np.zeros((len(some), BANDS), U)
+    for r in range(ROWS):
+        out = (out ^ least[:, r::ROWS].astype(U)) * U(0x9E3779B97F4A7C15)
+        out ^= out >> U(31)
+    return out + np.arange(BANDS, dtype=U) * U(0xC2B2AE3D27D4EB4F)
+
+
+def signed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, key, bands array<long>) of all lines that are not blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
+            where: dict[str, int] = {}
+            at = [where.setdefault(line, len(where)) for _, _, line in rows]
+            names = list(where)
+            keys = np.array([xxhash.xxh64_intdigest(x.encode(), seed=42) for x in names], U).astype(np.int64)[at]
+            bands = _bands(names).astype(np.int64)[at]
+            offsets = pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32))
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(keys), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "key", "bands"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, raw in enumerate((text.as_py() or "").split("\n"), 1):
+                    if line := raw.strip(BLANKS):
+                        rows.append((doc_id, k, line))
+                        held += len(line)
+                if held >= 4 << 20:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, key long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose lines' shingle sets are similar enough."""
     side = lambda end: texts.select(F.col("key").alias(end), F.col("line").alias(f"line_{end}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    p = p.select("a", "b", _shingles(F.col("line_a")).alias("sa"), _shingles(F.col("line_b")).alias("sb"))
-    p = p.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return p.where(_similar(F.col("common"), F.size("sa"), F.size("sb"))).select("a", "b")
-
 
-def verify_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components among the rows of components.blocks: each line of one block against the other block as one array."""
-    keys = ["kind", "unit", "p", "q"]
-    r = rows.join(texts.select(F.col("key").alias("id"), "line"), "id").withColumn("s", _shingles(F.col("line"))).drop("line")
-    other = r.where("own = q").groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "s")).alias("block"))
-    both = r.where("own = p").join(other, keys)
-    once = lambda x: ((F.col("p") != F.col("q")) | (x["id"] > F.col("id"))) & (x["component"] != F.col("component"))
-    sized = lambda x: 100 * F.least(F.size(x["s"]), F.size("s")) >= PERCENT * F.greatest(F.size(x["s"]), F.size("s"))
-    near = lambda x: once(x) & sized(x) & _similar(F.size(F.array_intersect(x["s"], F.col("s"))), F.size(x["s"]), F.size("s"))
-    return both.select(F.col("id").alias("a"), F.explode(F.transform(F.filter("block", near), lambda x: x["id"])).alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            ok = []
+            for a, la, lb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, held = a, shingle_hashes(la.as_py())
+                other = shingle_hashes(lb.as_py())
+                small, large = sorted((len(held), len(other)))
+                common = 0
+                if 100 * small >= PERCENT * large:
+                    both = np.concatenate((held, other))
+                    both.sort(kind="stable")  # two sorted runs: a merge
+                    common = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * common >= PERCENT * (small + large - common))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "line_a", "line_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, key), and (key, component, n, first) of the keys that do not stand alone; n: their lines."""
-    rows = lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    one = rows.groupBy("key").agg(F.any_value("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{ROWS * b + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    # the condition always holds; it keeps both uses of ``one`` alike, so that they share one shuffle
-    signed = signatures(one.where("n > 0 and at is not null").select("key", "line")).select("key", bands.alias("bands"))
-    texts = Written(one.join(signed, "key"), "lines-distinct").df  # all dealt by key: one shuffle of the lines
-    bucket = Window.partitionBy("g")
-    buckets = texts.select(F.col("key").alias("id"), F.explode("bands").alias("g")).select("g", "id", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("tail"))
-    members_kept = Written(buckets.where("lead <> tail").select("g", "id"), "lines-members")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = Written(signed_lines(docs), "lines-all").df
+    buckets = every.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
+    met = Written(buckets.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "lines-met")
+    members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g", "left_semi").distinct()
+    members_kept = Written(members, "lines-members")
+    met.drop()
     members = members_kept.df
-    ids = members.select(F.col("id").alias("key")).distinct()
-    near_kept = Written(likely_among(texts.select("key", "line"), "key", ids).join(ids, "key", "left_semi"), "lines-near")
+    # buckets that hold but one line, repeated, go
+    several = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    members = members.join(several.select("g"), "g", "left_semi")
+    members = members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked"))
+    ids = Written(members.select(F.col("id").alias("key")).distinct(), "lines-wanted")
+    texts = likely_among(lines(docs).select("key", "line"), "key", ids.df, ids.df.count())
+    near_kept = Written(texts.join(ids.df, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
+    ids.drop()
     near = near_kept.df
-    found = link_groups(
-        members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked")),
-        lambda pairs: verify(pairs, near), "lines-links", verify_blocks=lambda rows: verify_blocks(rows, near), block_rows=BLOCK_LINES,
-        rounds=1, large=2,  # a pair by itself costs two shingle sets, a line in a block one
-    )
+    found = link_groups(members, lambda pairs: verify(pairs, near), "lines-links")
     for t in (near_kept, members_kept):
         t.drop()
-    place = texts.select("key", "at", "n").join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    one = every.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
+    place = one.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    place = Written(place, "lines-place").df
     several = place.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
-    return rows.select("doc_id", "line_no", "key"), place.select("key", "component", "n").join(several.drop("of"), "component")
+    return every.select("doc_id", "line_no", "key"), place.select("key", "component", "n").join(several.drop("of"), "component")
 
 
 def mark(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ A document's set is its distinct 5-word shingles, as 64-bit hashes.  Sets x, y w
 Jaccard t differ in at most H = (1 - t) / (1 + t) * (|x| + |y|) elements.  Sets are put into size bands; each band
 cuts the hashed universe into m segments, the same for all its sets.  If a set y gives each segment i
 an allowance v_i of 0, 1 or 2 that sum to H + 1, then some segment differs from x's in less than v_i elements:
-with 1 it is equal, with 2 it is equal but for one deletion on either side.
+with 1 it is equal, with 2 it is equal but for one deletion on either side.  Segments in which y is empty
+get none, so where y's elements crowd into few segments the allowances can fall short of H + 1.  Such sets are
+found beforehand; they look up instead, as a whole, their n - ceil(t n) + 1 rarest shingles, one of which any partner of at most their
+size holds; every set is indexed under those of its shingles that such sets have (told by a hash filter of bounded size).
 
 So every set is indexed under all its segments (and, for a share of the segments, under their one-deletion
 neighbourhoods), and looks up the segments that the cheapest allocation picks: cost is how often the
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import Written, likely_among
+from vitalgrid.llm.common import MAX_FILTER_BITS, MIN_FILTER_BITS, Written, likely_among
 from vitalgrid.llm.components import link_groups
 
 WORDS = 5
@@ -136,8 +139,9 @@ class Segments:
         """Entries that find indexed sets whose segment has one element more."""
         return _tag(self.value[of], self.segment[of], self.k, 1)
 
-    def allocate(self, need: int, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Segments with allowance 1 and 2 that sum to ``need`` at the least cost; long segments first."""
+    def allocate(self, need: int, cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Segments with allowance 1 and 2 that sum to ``need``, if they can, at the least cost; long segments first."""
+        cost = np.zeros(len(self.length), np.int64) if cost is None else cost
         order = np.lexsort((-self.length, cost))
         if need <= len(order):
             return order[:need], order[:0]
@@ -146,8 +150,33 @@ class Segments:
         return np.setdiff1d(order, two), two
 
 
-def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray) -> np.ndarray:
-    """Packed entries of a set: value << 2 | indexed << 1 | looked up."""
+def _bands_of(n: int) -> list[int]:
+    """Bands that a set of n elements looks up: its own, and the one below if partners may be in it."""
+    own = band_of(n)
+    return [own] + [own - 1] * (own > 0 and 100 * (band(own - 1)[1] - 1) >= PERCENT * n)
+
+
+def _need(n: int, k: int) -> int:
+    return most_apart(min(n, band(k)[1] - 1), n) + 1
+
+
+def falls_short(s: np.ndarray) -> bool:
+    """Whether the allowances of a set cannot sum to what the pigeonhole needs, in any band that it looks up."""
+    for k in _bands_of(len(s)):
+        seg = ((s >> U(32)) * U(band(k)[2])) >> U(32)
+        need = _need(len(s), k)
+        if 1 + int((seg[1:] != seg[:-1]).sum()) < need:
+            one, two = Segments(s, k).allocate(need, None)
+            if len(one) + 2 * len(two) < need:
+                return True
+    return False
+
+
+def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray, crowded: np.ndarray | None = None) -> np.ndarray:
+    """Packed entries of a set: value << 2 | indexed << 1 | looked up.
+
+    ``crowded``: bits at the hashes of the shingles of all sets that fall short; None if there are none.
+    """
     n = len(s)
     own = band_of(n)
     out = []
@@ -155,14 +184,26 @@ def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray) -> np.ndarray:
     if len(hot):
         place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
         often = np.where(hot[place] == s, hot_cost[place], 0)
-    for k in (own, own - 1):
-        low, high, _ = band(k) if k >= 0 else (0, 0, 0)
-        if k < 0 or (k < own and 100 * (high - 1) < PERCENT * n):
-            continue
+    short = falls_short(s)
+    if crowded is not None:
+        token = _mix(s)
+        singles = _tag(token, np.zeros(n, U), 0, 2)
+        at = _mix(s) & U(8 * len(crowded) - 1)
+        met = (crowded[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1
+        out.append(singles[met == 1] << U(2) | U(2))
+        if short:
+            rarest = np.argsort(often, kind="stable")[: n - ceil(PERCENT * n / 100) + 1]
+            out.append(singles[rarest] << U(2) | U(1))
+    for k in _bands_of(n):
         x = Segments(s, k)
         e = x.equal()
         cost = np.minimum.reduceat(often, x.at)
-        one, two = x.allocate(most_apart(min(n, high - 1), n) + 1, cost)
+        need = _need(n, k)
+        one, two = x.allocate(need, cost)
+        if short:  # found by single shingles
+            one, two = one[:0], two[:0]
+        else:
+            assert len(one) + 2 * len(two) >= need
         looked = np.zeros(len(e), U)
         looked[one] = 1
         looked[two] = 1
@@ -178,28 +219,57 @@ def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class, sample): size and name of every row's set; sample holds the shingles of some classes."""
+    """(doc_id, n, class, sample, short): size and name of every row's set.
+
+    sample holds the shingles of some classes, short those of every set whose allowances fall short.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, names, samples = [], [], []
+            n, names, samples, short = [], [], [], []
             for text in b.column(1):
                 s = shingle_set(text.as_py())
                 n.append(len(s))
                 names.append(class_of(s) if len(s) else None)
                 samples.append(s.astype(np.int64) if len(s) and names[-1] % SAMPLE_OF_CLASSES == 0 else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(samples, pa.list_(pa.int64()))], names=["doc_id", "n", "class", "sample"])
+                short.append(s.astype(np.int64) if len(s) and falls_short(s) else None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (samples, short)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), *lists], names=["doc_id", "n", "class", "sample", "short"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, sample array<long>, short array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, sample array<long>")
 
+def _crowded(sets: DataFrame) -> np.ndarray | None:
+    """Bits at the hashes of the shingles of all sets that fall short: 16 for each, 64 MB at most; None if there are none."""
+    tokens = sets.where(F.col("short").isNotNull()).select(F.explode("short").alias("token")).distinct()
+    tokens = Written(tokens, "ngram-crowded")
+    n = tokens.df.count()
+    if not n:
+        tokens.drop()
+        return None
+    size = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (16 * n).bit_length())) // 8
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = (_mix(b.column(0).to_numpy().astype(U)) & U(8 * size - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], names=["map", "bit"])
 
-def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, parts: int) -> DataFrame:
+    maps = tokens.df.mapInArrow(place, "map long, bit long").groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # of size bytes
+    out = np.zeros(size, np.uint8)
+    for r in maps:
+        out[r["map"] * 4096 : (r["map"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    tokens.drop()
+    return out
+
+
+def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, crowded: np.ndarray | None, parts: int) -> DataFrame:
     """Candidate groups (indexed array<long>, asked array<long>) of classes that share an entry; equal groups merge per task."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, hot_cost))  # MAX_COSTS numbers each at most
+    shared = docs.sparkSession.sparkContext.broadcast((hot, hot_cost, crowded))  # MAX_COSTS numbers each and 64 MB at most
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_cost = shared.value
+        hot, hot_cost, crowded = shared.value
         values, names, lengths, held = [], [], [], 0
+        seen: set[int] = set()  # copies within the task's input give their entries once
 
         def flush() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(values)
@@ -217,11 +287,12 @@ def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, parts: int)
         for b in batches:
             for text in b.column(0):
                 s = shingle_set(text.as_py())
-                if not len(s):
+                if not len(s) or (name := class_of(s)) in seen:
                     continue
-                x = entries(s, hot, hot_cost)
+                seen.add(name)
+                x = entries(s, hot, hot_cost, crowded)
                 values.append(x)
-                names.append(class_of(s))
+                names.append(name)
                 lengths.append(len(x))
                 held += len(x)
                 if held >= FLUSH_ENTRIES:
@@ -279,42 +350,6 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _verify_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components among the rows of components.blocks: for each row one to every other component it reaches."""
-
-    def counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        """Sizes of all intersections, by products of incidence matrices over the shingles that occur twice or more."""
-        every = np.concatenate(left + right)
-        _, place, often = np.unique(every, return_inverse=True, return_counts=True)
-        rank = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
-        owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
-        owner, rank = owner[rank >= 0], rank[rank >= 0]
-        out = np.zeros((len(left), len(right)), np.float32)
-        for at in range(0, int((often > 1).sum()), 2048):
-            some = (rank >= at) & (rank < at + 2048)
-            m = np.zeros((len(left) + len(right), 2048), np.float32)
-            m[owner[some], rank[some] - at] = 1
-            out += m[: len(left)] @ m[len(left) :].T
-        return out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in pdf["text"]]
-        own, ids, of = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["component"].to_numpy()
-        x, y = np.flatnonzero(own == pdf["p"].iloc[0]), np.flatnonzero(own == pdf["q"].iloc[0])
-        out: list[tuple[int, int]] = []
-        if len(x) and len(y):
-            common = counts([sets[i] for i in x], [sets[i] for i in y])
-            size = np.array([len(s) for s in sets], np.float32)
-            near = (100 * common >= PERCENT * (size[x][:, None] + size[y][None] - common)) & (of[x][:, None] != of[y][None])
-            for i in np.flatnonzero(near.any(axis=1)):
-                j = y[near[i]]
-                out += [(ids[x[i]], b) for b in ids[j[np.unique(of[j], return_index=True)[1]]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    with_text = rows.join(texts.select(F.col("class").alias("id"), "text"), "id")
-    return with_text.groupBy("kind", "unit", "p", "q").applyInPandas(run, "a long, b long")
-
-
 def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur more than once in the sample, with their counts; the commonest MAX_COSTS at most."""
     sample = sets.where(F.col("sample").isNotNull()).select("class", "sample").dropDuplicates(["class"])
@@ -349,7 +384,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     hot, hot_cost = _common_shingles(sets)
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(12, ceil(0.6 * total / ENTRIES_PER_GROUP))
-    groups = Written(_groups(docs, hot, hot_cost, parts), "ngram-groups")
+    groups = Written(_groups(docs, hot, hot_cost, _crowded(sets), parts), "ngram-groups")
     lists = groups.df.groupBy(F.xxhash64("indexed", "asked").alias("g")).agg(F.first(F.struct("indexed", "asked")).alias("x")).select("g", "x.*")
     both = F.array_union("indexed", "asked")
     members = lists.select("g", "indexed", "asked", F.explode(both).alias("id"))
@@ -358,10 +393,10 @@ def join_components(docs: DataFrame) -> DataFrame:
     members = members_kept.df
     groups.drop()
     # texts of the classes that are in any group, once each
-    wanted = members.select(F.col("id").alias("class")).distinct().join(classes.select("class", "rep", "n"), "class")
-    texts_kept = Written(likely_among(docs, "doc_id", wanted.select("rep")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "n", "text").dropDuplicates(["class"]), "ngram-texts")
+    wanted = Written(members.select(F.col("id").alias("class")).distinct().join(classes.select("class", "rep", "n"), "class"), "ngram-wanted").df
+    texts_kept = Written(likely_among(docs, "doc_id", wanted.select("rep"), wanted.count()).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "n", "text").dropDuplicates(["class"]), "ngram-texts")
     texts = texts_kept.df
-    named = link_groups(members, lambda pairs: _verify(pairs, texts), "ngram-links", verify_blocks=lambda rows: _verify_blocks(rows, texts))
+    named = link_groups(members, lambda pairs: _verify(pairs, texts), "ngram-links")
     for t in (texts_kept, members_kept):
         t.drop()
     with_rep = classes.select(F.col("class").alias("id"), "rep")
