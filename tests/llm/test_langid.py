@@ -37,3 +37,10 @@ def test_foreign_text_is_rejected_and_nothing_learned(spark):
     assert langid.predict(other, model).first()["rejected"]
     empty = langid.fit(other.select("doc_id", "text", "lang_pred").toDF("doc_id", "text", "lang").limit(0))
     assert langid.predict(other, empty).first()["lang_pred"] == "und"
+
+
+def test_number_forms_are_no_letters_and_every_language_is_learned(spark):
+    assert all(len(langid.grams(x)[0]) == 0 for x in ("½ ² ³", "Ⅷ", "12 _ ،", "", None)) and len(langid.grams("é")[0])
+    rows = [(i, f"{chr(0x4E00 + 7 * (i // 3))}{chr(0x4E01 + 7 * (i // 3))} word", f"l{i // 3}") for i in range(1500)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(model.langs)) > 480

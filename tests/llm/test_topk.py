@@ -35,3 +35,28 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in topk.neighbours(few).collect()] == [(0, 1, 1)]
     assert topk.neighbours(few.limit(0)).count() == 0
     assert topk.neighbours(few.where("vec_id = 1")).count() == 0
+
+
+def test_queries_go_only_where_they_must(spark, monkeypatch):
+    """On clustered data a query is compared with a small part of the vectors."""
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(24)]
+    rows = [(i, [c + rng.gauss(0, 0.02) for c in centres[i % 24]]) for i in range(2400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    real = topk.Written
+
+    def spy(frame, label):
+        kept = real(frame, label)
+        if label == "knn-asked":
+            sent.append(kept.df.select("vec_id", "grp").collect())
+        elif label == "knn-data":
+            sent.append(kept.df.groupBy("grp").count().collect())
+        return kept
+
+    monkeypatch.setattr(topk, "Written", spy)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.neighbours(df).collect()}
+    assert got == brute(rows, 50, 5)
+    size = {r["grp"]: r["count"] for r in sent[0]}
+    met = sum(size[r.grp] for r in sent[1])
+    assert met < 0.2 * 48 * 2400

@@ -63,8 +63,8 @@ def written_components(links: DataFrame, label: str = "components") -> Written:
     return named
 
 
-MAX_HUB_ROUNDS = 6
-FEW = 16  # pairs for each member: so many are tested pair by pair
+MAX_HUB_ROUNDS = 3
+FEW = 4  # pairs for each member: so many are tested pair by pair
 
 
 def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str = "groups", rounds: int = MAX_HUB_ROUNDS) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text becomes the TF-IDF vector of its byte 2- and 3-grams (letters only, lower case, hashed to
 ``DIMS`` places, logarithmic counts, unit length).  Document frequencies are counted over all learnable
-documents.  Centroids come from a bounded sample (``SAMPLE_DOCS`` documents in all, the same share of
-each language's documents by a hash of their id): each language's vectors are clustered on the sphere.
+documents.  Centroids come from a bounded sample (``SAMPLE_DOCS`` documents in all, equally many of each language,
+``LEAST_EACH`` at least, the first by a hash of id and text): each language's vectors are clustered on the sphere.
 A document gets the language of the centroid with the largest cosine; it is rejected if that cosine
 is far below what the centroid's own sample shows.
 """
@@ -16,17 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMS = 1 << 13
 SAMPLE_DOCS = 2400
 CLUSTERS = 3
-MAX_LANGUAGES = 400
+LEAST_EACH = 4  # sampled of each language, however many there are
 REJECT_SHARE = 0.25  # of the low end of the sample's cosines
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# \w holds number forms, as ½, besides letters, digits and _
+_NUMBER_FORMS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBER_FORMS}]+")
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,11 @@ def held_out_column(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, clusters: int = CLUSTERS) -> Model:
-    """Learn from the rows (doc_id, text, lang) outside the held-out fold."""
+    """Learn from the rows (doc_id, text, lang) outside the held-out fold.
+
+    Rows without a language or a letter teach nothing; every language that is left is learned, so the model grows with
+    their number alone; no rows give a model that rejects everything.  Columns other than the three are ignored.
+    """
     train = _learnable(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), held_out_column())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +114,17 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, clusters: int = CLUSTER
     for r in counted:
         if r["place"] >= 0:
             idf[r["place"]] = np.log((1 + total) / (1 + r["n"])) + 0.05
-    langs = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    langs = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not langs:
         return Model(idf, np.zeros((0, DIMS)), [], np.zeros(0))
-    each = max(1, sample_docs // len(langs))
-    share = F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, min(1.0, each / n))])
-    # a hash of id and text decides, so that neither rows of one id nor of one text come in masses
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
+    each = max(LEAST_EACH, sample_docs // len(langs))
+    # a hash of id and text orders each language's documents, so that neither rows of one id nor of one text come in masses;
+    # a first cut at three times the share leaves few rows to rank, and none of a language that has no more than its number
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    cuts = docs.sparkSession.createDataFrame([(k, int(min(1.0, (3 * each + 20) / n) * (1 << 40))) for k, n in sorted(langs.items())], "lang string, cut long")
+    near = train.select("lang", "text", rank.alias("rank")).join(F.broadcast(cuts), "lang").where(F.col("rank") < F.col("cut"))
+    first = Window.partitionBy("lang").orderBy("rank", "text")
+    chosen = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= each)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +135,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, clusters: int = CLUSTER
             )
 
     by_lang: dict[str, list[np.ndarray]] = {}
-    rows = chosen.select("lang", "text").mapInArrow(features, "lang string, places binary, counts binary").limit(2 * sample_docs).collect()
+    rows = chosen.select("lang", "text").mapInArrow(features, "lang string, places binary, counts binary").collect()  # each x languages at most
     for lang, p, c in sorted((r["lang"], bytes(r["places"]), bytes(r["counts"])) for r in rows):
         places, counts = np.frombuffer(p, np.int32), np.frombuffer(c, np.int32)
         v = np.zeros(DIMS)

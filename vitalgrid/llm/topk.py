@@ -1,15 +1,16 @@
 """Exact top-k inner products by a Voronoi join.
 
 Vectors are rounded to integers, so that scores are exact.  Pivots from a bounded sample cut
-queries and data into Voronoi groups.  For each query group two summaries bound what its
-queries can gain: the radius of the group, and a score that k candidates surely reach (from each
-data group's vectors nearest to its pivot, and from the sample itself).  A data vector v is sent to
-query group i only if  p_i.v + radius_i |v|  reaches that score.  Groups are dealt in
-blocks of queries and chunks of data, solved by matrix products, and merged.
+queries and data into Voronoi groups, as many as the square root of the data's number.  Summaries bound what a query can gain: for each data
+group its radius, for each query its k-th best score within the sample.  A query q
+needs data group j only if  q.p_j + |q| radius_j  reaches that score, where radius_j is the largest distance of a vector from p_j.
+So each data vector stays where its group is, and queries are copied to the groups that they need, and to no others.  Large groups are dealt in
+chunks of vectors and blocks of queries, solved by matrix products, and merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,9 @@ from vitalgrid.llm.common import Written
 
 SCALE = 256
 SAMPLE_ROWS = 2048
-QUERIES_PER_BLOCK = 256
 ROWS_PER_CHUNK = 16_384
-MAX_PIVOTS = 512
+MAX_PIVOTS = 1024
+QUERIES_PER_BLOCK = 4096
 
 
 def rounded(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -67,7 +68,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int =
     if not picked or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample, sample_ids = _stack([r["v"] for r in picked], width), np.array([r["vec_id"] for r in picked])
-    p = _pivots(sample, int(min(MAX_PIVOTS, len(sample), max(4, n_queries // QUERIES_PER_BLOCK))))
+    p = _pivots(sample, int(min(MAX_PIVOTS, max(1, len(sample) // 4), max(4, math.isqrt(shape["n"])))))
     shared = spark.sparkContext.broadcast((p, sample, sample_ids))  # sample_rows + MAX_PIVOTS vectors at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,38 +96,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int =
 
     asked = Written(asked.mapInArrow(reach, placed + ", sure double"), "knn-queries").df
 
-    # summaries: k + 1 vectors nearest to each pivot (one may be the query itself); radius, size and sure score of each query group
-    nearest = Window.partitionBy("grp").orderBy("dist", "vec_id")
-    close = data.select("grp", "dist", "vec_id", F.row_number().over(nearest).alias("r")).where(F.col("r") <= k + 1).select("grp", "dist").collect()
-    groups = asked.groupBy("grp").agg(F.max("dist").alias("radius"), F.count("*").alias("n"), F.min("sure").alias("sure")).collect()
-    norm = np.linalg.norm(p, axis=1)
-    bound = {}
-    for g in groups:
-        i, radius = g["grp"], g["radius"]
-        low = sorted((p[i] @ p[r["grp"]] - radius * norm[r["grp"]] - (norm[i] + radius) * r["dist"] for r in close), reverse=True)
-        from_groups = low[k] if len(low) > k else -np.inf
-        bound[i] = (radius, max(from_groups, g["sure"]) - 1.0, max(1, -(-g["n"] // QUERIES_PER_BLOCK)))
-    chunks = max(1, -(-shape["n"] // ROWS_PER_CHUNK))
+    # summary of each data group: its size and radius; MAX_PIVOTS rows at most
+    groups = data.groupBy("grp").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).collect()
+    at = np.array([g["grp"] for g in groups], np.int64)
+    radius = np.array([g["radius"] for g in groups])
+    chunks = np.array([-(-g["n"] // ROWS_PER_CHUNK) for g in groups], np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for each data group that may hold one of its best."""
         p, _, _ = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                m = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, width).astype(float)
-                length = np.linalg.norm(m, axis=1)
-                for i, (radius, sure, blocks) in bound.items():
-                    rows = np.flatnonzero(m @ p[i] + radius * length >= sure)
-                    if len(rows):
-                        part = b.take(pa.array(rows))
-                        for block in range(blocks):
-                            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(rows), i, np.int32)), pa.array(np.full(len(rows), block, np.int32))], names=["vec_id", "raw", "grp", "block"])
-
-    spread = lambda m: F.pmod(F.xxhash64("vec_id"), m)
-    sent = data.select("vec_id", "raw").mapInArrow(send, "vec_id long, raw binary, grp int, block int").withColumn("chunk", spread(F.lit(chunks)).cast("int"))
-    blocks = F.create_map(*[F.lit(x) for i, (_, _, n) in bound.items() for x in (i, n)])
-    asked = asked.withColumn("block", spread(F.try_element_at(blocks, F.col("grp"))).cast("int"))
-    asked = asked.select("vec_id", "raw", "grp", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                q = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, width).astype(float)
+                best = q @ p[at].T + np.linalg.norm(q, axis=1)[:, None] * radius[None]
+                rows, group = np.nonzero(best >= b.column(2).to_numpy()[:, None] - 1.0)
+                part = b.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at[group].astype(np.int32))], names=["vec_id", "raw", "grp"])
+
+    asked = Written(asked.select("vec_id", "raw", "sure").mapInArrow(send, "vec_id long, raw binary, grp int"), "knn-asked").df
+    blocks = {r["grp"]: -(-r["n"] // QUERIES_PER_BLOCK) for r in asked.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    # every block of a group's queries meets every chunk of its vectors once; vectors of groups that no query needs stay out
+    sizes = [(g, blocks[g], n) for g, n in zip(at.tolist(), chunks.tolist()) if g in blocks]
+    sizes = F.broadcast(spark.createDataFrame(sizes, "grp int, blocks int, chunks int"))
+    own = lambda m: F.pmod(F.xxhash64("vec_id"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    asked = asked.join(sizes, "grp").select("vec_id", "raw", "grp", own("blocks").alias("block"), every("chunks").alias("chunk"))
+    sent = data.join(sizes, "grp").select("vec_id", "raw", "grp", own("chunks").alias("chunk"), every("blocks").alias("block"))
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []

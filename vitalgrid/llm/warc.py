@@ -4,7 +4,8 @@ Format name ``warc``.  Writing: one archive per task, each record its own gzip m
 the "sl" extra field (compressed and plain length), under a temporary name until the job commits.
 Reading: files are grouped into partitions by size; predicates on header columns are pushed
 into the reader, which parses a record's header first and jumps over
-the member of an unwanted record, or leaves the payload undecoded, without inflating the rest.
+the member of an unwanted record.  Where payloads are not wanted, no more of a member is inflated than holds
+its headers; digests are then as stated, not verified, and a payload without a stated length is inflated to count it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -58,6 +60,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIXED_DATE = "1970-01-01T00:00:00Z"
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 16 << 20
+FIRST_BYTES = 2 << 10  # of a record, inflated at once until its headers end
 GZIP_HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8)
 
 
@@ -204,8 +207,8 @@ class WarcReader(DataSourceReader):
                 more = None
             else:
                 unzip = zlib.decompressobj(31)
-                plain, more = unzip.decompress(start[:member], 16 << 10), unzip
-            while b"\r\n\r\n" not in plain and more and (got := more.decompress(more.unconsumed_tail, 16 << 10)):
+                plain, more = unzip.decompress(start[:member], FIRST_BYTES), unzip
+            while b"\r\n\r\n" not in plain and more and (got := more.decompress(more.unconsumed_tail, FIRST_BYTES)):
                 plain += got
             raw_head, _, block = plain.partition(b"\r\n\r\n")
             head = {}
@@ -213,12 +216,20 @@ class WarcReader(DataSourceReader):
                 k, _, v = line.partition(":")
                 head[k.strip().lower()] = v.strip()
             if self._wants(head):
-                if more:
-                    rest = start[len(start) :] if member <= len(start) else f.read(member - len(start))
+                if more and (self.payload or not self._told_by_headers(head, block, more)):
+                    rest = f.read(member - len(start)) if member > len(start) else b""
                     block += more.decompress(more.unconsumed_tail + rest) if not more.eof else b""
                 yield self._row(head, block[: int(head.get("content-length", 0))])
             at += member
 
+    @staticmethod
+    def _told_by_headers(head: dict[str, str], block: bytes, more) -> bool:
+        """Whether what is inflated so far states the payload's length: HTTP headers that end and hold it."""
+        if not head.get("content-type", "").startswith("application/http"):
+            return False
+        http, end, _ = block.partition(b"\r\n\r\n")
+        return bool(end) and re.search(rb"\r\ncontent-length:[ \t]*\d+", http, re.I) is not None
+
     @staticmethod
     def _stated_length(start: bytes) -> int | None:
         if len(start) >= 24 and start[:4] == GZIP_HEAD[:4] and start[12:14] == b"sl":
@@ -250,14 +261,14 @@ class WarcReader(DataSourceReader):
             row["payload_length"] = int(stated) if stated.isdigit() else len(payload)
         if row["record_type"] == "revisit":
             return row
-        if self.verify and row["payload_digest"] and row["payload_digest"] != "sha1:" + sha1_base32(payload):
+        if self.payload and self.verify and row["payload_digest"] and row["payload_digest"] != "sha1:" + sha1_base32(payload):
             raise ValueError(f"payload of {row['record_id']} does not match its digest")
         row["payload"] = payload if self.payload else None
         return row
 
 
 class WarcDataSource(DataSource):
-    """Options: path; payload (default true) false leaves payloads out; verify (default true) checks digests; level; partitionBytes."""
+    """Options: path; payload (default true) false leaves payloads out; verify (default true) checks digests of payloads that are wanted; level; partitionBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -308,23 +319,28 @@ def page_id_of(record_id) -> F.Column:
     return F.conv(digits, 16, -10).cast("long")
 
 
-def to_records(pages: DataFrame, min_revisit_bytes: int = 0, salts: int = 16) -> DataFrame:
+ROWS_PER_SALT = 10_000
+
+
+def to_records(pages: DataFrame, min_revisit_bytes: int = 0, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """WARC records of pages (page_id, url, html): the first page with a payload is a response, later ones revisit it.
 
     Null html is an empty payload; a null url gives no target; rows with a null page_id are left out of
     the search for equal payloads and stay responses; a repeated row of the first page is a response again.
     Groups of equal payloads may hold any share of the rows: their first page is found with partial
-    aggregation, and the join back deals each group over ``salts`` keys.
+    aggregation, and the join back deals each group over as many keys as the largest needs for ``rows_per_salt`` rows a key.
+    A record is one row, so a payload must fit into a task; columns other than the three are ignored.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     p = p.withColumn("sha", F.sha1("payload")).withColumn("payload_length", F.octet_length("payload").cast("long"))
     first = (
         p.where((F.col("payload_length") >= min_revisit_bytes) & F.col("page_id").isNotNull())
         .groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-        .select("sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    j = p.join(first, ["sha", "salt"], "left")
+    most = first.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    n_salts = max(1, -(-most // rows_per_salt))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(n_salts)).cast("int"))
+    j = p.join(first.select("sha", "first_id", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))).alias("salt")), ["sha", "salt"], "left")
     revisit = F.coalesce(F.col("first_id") != F.col("page_id"), F.lit(False))
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha")))
     return j.select(
