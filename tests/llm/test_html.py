@@ -1,5 +1,6 @@
 import pytest
 
+from vitalgrid.llm import html_extract
 from vitalgrid.llm.html_extract import extract, extract_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
@@ -78,3 +79,18 @@ def test_names_of_boilerplate(name):
     links = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
     for body in (f"<article><p>{LONG}</p><p>{LONG}</p></article><div class='x {name}'>{links}</div>", f"<div><p>{LONG}</p><p>{LONG}</p><div class='{name}'>{links}</div></div>"):
         assert extract_text(body) == page(LONG, LONG)
+
+
+def test_parts_of_an_article_keep_their_names():
+    body = f"<p>{LONG}</p><p id='comment-on-method'>On the method.</p><section class='social history'><p>Their history.</p></section>"
+    assert extract_text(f"<article class='search-results'>{body}</article>") == page(LONG, "On the method.", "Their history.")
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Lists of links without any telling tag or name go by their ratios alone."""
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(12)) + "</ul></div>"
+    html = f"<body>{links}<div><h2>On it</h2><p>{LONG * 2}</p><p>{LONG * 2}</p><p>Short end.</p></div>{links}</body>"
+    wanted = page("On it", LONG * 2, LONG * 2, "Short end.")
+    assert extract_text(html) == wanted
+    monkeypatch.setattr(html_extract, "_smooth", lambda values: [1.0] * len(values))
+    assert extract_text(html) != wanted

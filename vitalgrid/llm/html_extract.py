@@ -46,7 +46,7 @@ PLACE_PART = re.compile(
     r"block|panel|inner|outer|body|text|title|content|form|side|up|in|log|sign|row|col|column|group|module|post|posts|articles?|stories|media|bread|crumbs?|\d+"
 )
 HEADER_NAMES = frozenset(f"{a}{b}header" for a in ("", "site", "page", "top") for b in ("", "-", "_"))
-NOT_NAMED = HEADINGS | {"html", "body", "main"}
+NOT_NAMED = HEADINGS | {"html", "body", "main", "p", "blockquote", "table"}
 STRONG, WEAK = 2, 1
 CLOSES_P = BLOCK - {"body", "html", "head"}
 
@@ -134,7 +134,8 @@ class _Lines(HTMLParser):
                 return True, 0
             if value and name in ("class", "id") and tag not in NOT_NAMED:
                 for token in value.split():
-                    soft = max(soft, _named(token), STRONG if not article and token.lower() in HEADER_NAMES else 0)
+                    named = _named(token)  # within an article a weak name is one of its parts
+                    soft = max(soft, 0 if article and named == WEAK else named, STRONG if not article and token.lower() in HEADER_NAMES else 0)
             if value and name == "role" and value.lower() in BOILER_ROLES:
                 return True, 0
             if value and name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -285,8 +286,8 @@ def extract_text(html: str | None) -> str:
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``text string`` (never null) and ``n_chars long`` to the columns ``keep`` (default: all but clashing ones).
 
-    Null, empty and content-free html give an empty text; pages of any length are parsed whole;
-    repeated rows give repeated results; an empty table gives an empty table.
+    Null, empty and content-free html give an empty text; pages of any length are parsed whole; of equally good
+    regions the inner one, or the last, is taken; repeated rows give repeated results; an empty table gives an empty table.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c not in ("text", "n_chars")]
     src = df.select(F.col(f"`{html_col}`").alias("__html"), *[F.col(f"`{c}`") for c in keep])
