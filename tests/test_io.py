@@ -1,10 +1,12 @@
 import gzip
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.sources import readers, writers
-from vitalgrid.sources.readers import ColumnSpec
+from vitalgrid.sources.readers import ColumnSpec, read_table
+from vitalgrid.sources.writers import write_events
 
 COLUMNS = [ColumnSpec("subject_id", "int"), ColumnSpec("charttime", "datetime", "%Y-%m-%d %H:%M:%S"), ColumnSpec("valuenum", "float"), ColumnSpec("value")]
 
@@ -23,8 +25,7 @@ def test_csv_plain_gzip_and_glob(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("subject_id,charttime,valuenum,value\nx,2024-01-01 08:00:00,1,\n")
     with pytest.raises(Exception):
         readers.read_table(spark, f"{tmp_path}/bad.csv", COLUMNS).collect()
-    with pytest.raises(ValueError):
-        readers.format_of("a.csv.zip")
+    assert readers.format_of("a.csv.zip") == "csv.zip"
 
 
 def test_parquet_casts_leniently(spark, tmp_path):
@@ -54,3 +55,26 @@ def test_staging(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b,c\n1,2,3\n")
     placed = writers.stage(spark, [(f"{tmp_path}/x.csv", [ColumnSpec("a", "int")]), (f"{tmp_path}/x.csv", [ColumnSpec("c", "int")])], f"{tmp_path}/out")
     assert spark.read.parquet(placed[f"{tmp_path}/x.csv"]).columns == ["a", "c"]
+
+
+def test_part_files_with_another_header_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, f"{tmp_path}/*.csv", [ColumnSpec("a", "int"), ColumnSpec("b", "int")]).collect()
+
+
+def test_zipped_csv(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "t.csv.zip", "w") as z:
+        z.writestr("one.csv", 'a,b,c\n1,"x\ny",\n2,,z\n')
+        z.writestr("two.csv", "c,a,b\nw,3,v\n")
+    df = read_table(spark, f"{tmp_path}/*.csv.zip", [ColumnSpec("a", "int"), ColumnSpec("b")])
+    assert sorted((r.a, r.b) for r in df.collect()) == [(1, "x\ny"), (2, None), (3, "v")]
+
+
+def test_writing_again_replaces(spark, tmp_path):
+    e = spark.range(3).selectExpr("id as subject_id", "current_timestamp() as time", "'c' as code", "'X' as event")
+    for _ in range(2):
+        write_events([e], str(tmp_path / "e"), "d", "1", "t")
+    write_events([e.withColumn("event", F.lit("Y"))], str(tmp_path / "e"), "d", "1", "t")
+    assert spark.read.parquet(str(tmp_path / "e")).groupBy("event").count().orderBy("event").collect() == [("X", 3), ("Y", 3)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import codes, scalars, times
-from vitalgrid.jobs.concepts import ConceptSpec, Mapping, extract_derived, extract_many, extract_simple, harmonise
+from vitalgrid.jobs.concepts import ConceptSpec, Mapping, computed, extract_derived, extract_many, extract_simple, harmonise
 from vitalgrid.jobs.extraction import Lookup, TableSpec, anchored, extract_table
 from vitalgrid.operators import grid, joins, rows, scores, sharding
 from vitalgrid.operators.rows import EventSpec
@@ -455,6 +455,49 @@ def staged_columns(spark, sf_dir):
     return df.groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("""SELECT user_id AS subject_id, ts AS time, event_type AS code, value::REAL AS numeric_value, props AS text_value, event_id, 'PLAIN' AS event FROM events WHERE value > 10
+    UNION ALL SELECT user_id, ts, 'OBS//' || event_type, (value * 2)::REAL, props, NULL, 'OBS' FROM events WHERE (value * 2)::REAL < 50""")
+def code_without_name(spark, sf_dir):
+    """Two events of a row: one whose code leaves the event's name out, with a typed extension; one changed and kept by the event as it is made."""
+    e = _t(spark, sf_dir, "events")
+    base = {"subject_id": F.col("user_id"), "time": F.col("ts"), "code": [F.col("event_type")], "numeric_value": F.col("value"), "text_value": F.col("props")}
+    plain = EventSpec("PLAIN", **base, extensions={"event_id": F.col("event_id")}, where=F.col("value") > 10, named=False)
+    twice = EventSpec("OBS", **base, changes=[lambda v: {"numeric_value": (F.col("value") * 2).cast("float")}], keeps=[lambda v: v["numeric_value"] < 50])
+    return rows.fan_out(e, [plain, twice])
+
+
+@query("""SELECT l_suppkey AS subject_id, l_shipdate AS time, 'L//' || l_returnflag AS code, l_quantity::REAL AS numeric_value, NULL::VARCHAR AS text_value,
+    l_orderkey AS key, round(l_tax, 4)::DOUBLE AS tax, l_linestatus AS status, 'L' AS event FROM lineitem""")
+def typed_extensions(spark, sf_dir):
+    """Extensions keep their types."""
+    spec = EventSpec("L", F.col("l_suppkey"), F.col("l_shipdate"), [F.col("l_returnflag")], F.col("l_quantity"), extensions={"key": F.col("l_orderkey"), "tax": F.round(F.col("l_tax").cast("double"), 4), "status": F.col("l_linestatus")})
+    return rows.fan_out(_t(spark, sf_dir, "lineitem"), [spec])
+
+
+@query("""SELECT user_id AS subject_id, ts AS time, 'OBS//' || event_type AS code, value::REAL AS numeric_value, props AS text_value,
+    floor((dense_rank() OVER (ORDER BY user_id) - 1) / 10)::BIGINT AS shard FROM events WHERE event_type IN ('view', 'error') AND user_id % 3 <> 0""")
+def shards_filtered(spark, sf_dir):
+    """Shards of one of three datasets and two of the concepts, named by path and by name in another case."""
+    e = _t(spark, sf_dir, "events")
+    tagged = _events(spark, sf_dir).withColumns({"concept": F.concat(F.lit("Web/"), F.substring_index("code", "//", -1)), "dataset": F.when(F.col("subject_id") % 3 == 0, "c").otherwise("ab")})
+    return sharding.shards(tagged, 10, datasets=["ab"], concepts=["/web/VIEW", "Error"])
+
+
+@query("""SELECT a.subject_id, a.time, 'spread//u' AS code, CASE WHEN x BETWEEN 5 AND 500 THEN x END AS numeric_value, NULL::VARCHAR AS text_value, n::VARCHAR AS n, 'web' AS dataset
+    FROM (SELECT user_id AS subject_id, max(ts) AS time, max(value)::REAL AS hi, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) a
+    JOIN (SELECT user_id AS subject_id, min(value)::REAL AS lo FROM events WHERE event_type = 'click' GROUP BY 1) b USING (subject_id), LATERAL (SELECT (hi - lo)::REAL AS x)""")
+def concept_computed(spark, sf_dir):
+    """A concept that a caller's own function makes of two others, finished as every concept is."""
+
+    def spread(s: dict[str, DataFrame]) -> DataFrame:
+        high = s["view"].groupBy("subject_id").agg(F.max("time").alias("time"), F.max("numeric_value").alias("hi"), F.count("*").alias("n"))
+        low = s["click"].groupBy("subject_id").agg(F.min("numeric_value").alias("lo"))
+        return high.join(low, "subject_id").withColumn("numeric_value", F.col("hi") - F.col("lo"))
+
+    spec = ConceptSpec("spread", "u", low=5, high=500, extensions=("n",))
+    return computed({k: _source(spark, sf_dir, k) for k in ("view", "click")}, spec, spread, needs=["view", "click"], dataset="web")
+
+
 # ---------------------------------------------------------------- written and read back
 
 
@@ -658,7 +701,7 @@ def _segmented_over(cte_value: str, seen: str, hours: int, gap: int, name: str)
 
 SQL_RENAL = f"""WITH g AS ({_grid_sql(**RENAL)}), c AS ({_carried_sql(["creatinine"])}),
     r AS (SELECT c.*, u.u FROM c JOIN {_segmented_over("urine_output", "p_urine_output", 24, 24, "u")} u USING (subject_id, time)),
-    q AS (SELECT subject_id, time, greatest({_tiers("c_creatinine", scores.CREATININE, ">=")}, {_tiers("u::REAL", scores.URINE, "<")})::REAL AS numeric_value FROM r)
+    q AS (SELECT subject_id, time, greatest({_tiers("c_creatinine", ((5.0, 4), (3.5, 3), (2.0, 2), (1.2, 1)), ">=")}, {_tiers("u::REAL", ((200, 4), (500, 3)), "<")})::REAL AS numeric_value FROM r)
     SELECT * FROM q WHERE numeric_value IS NOT NULL"""
 SQL_CARDIO = _one(
     CARDIO,
@@ -678,17 +721,17 @@ def sofa_renal(spark, sf_dir):
     return scores.sofa_renal(_clinical(spark, sf_dir, **RENAL))
 
 
-@query(_one(COAG, _tiers("c_platelet_count", scores.PLATELETS, "<")))
+@query(_one(COAG, _tiers("c_platelet_count", ((20, 4), (50, 3), (100, 2), (150, 1)), "<")))
 def sofa_coagulation(spark, sf_dir):
     return scores.sofa_coagulation(_clinical(spark, sf_dir, **COAG))
 
 
-@query(_one(LIVER, _tiers("c_total_bilirubin", scores.BILIRUBIN, ">=")))
+@query(_one(LIVER, _tiers("c_total_bilirubin", ((12.0, 4), (6.0, 3), (2.0, 2), (1.2, 1)), ">=")))
 def sofa_liver(spark, sf_dir):
     return scores.sofa_liver(_clinical(spark, sf_dir, **LIVER))
 
 
-@query(_one(CNS, _tiers("c_gcs_total", scores.COMA, "<")))
+@query(_one(CNS, _tiers("c_gcs_total", ((6, 4), (10, 3), (13, 2), (15, 1)), "<")))
 def sofa_cns(spark, sf_dir):
     return scores.sofa_cns(_clinical(spark, sf_dir, **CNS))
 
@@ -714,9 +757,6 @@ def _combined_sql(parts: dict[str, str], how: str) -> str:
     SELECT subject_id, time, ({value})::REAL AS numeric_value FROM k WHERE ({value}) IS NOT NULL"""
 
 
-ALL_SOFA = {**RENAL, **COAG, **CNS}
-
-
 @query(_combined_sql({n: ORACLE_SQL[f"sofa_{n}"] for n in ("renal", "coagulation", "liver", "cns", "cardiovascular", "respiratory")}, "sum"))
 def sofa_total(spark, sf_dir):
     sources = {n: (scores.SOFA[f"sofa_{n}"], k) for n, k in (("renal", RENAL), ("coagulation", COAG), ("liver", LIVER), ("cns", CNS), ("cardiovascular", CARDIO), ("respiratory", RESP))}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.codes import matches, without_name
 from vitalgrid.operators.joins import join_concepts
 from vitalgrid.operators.rows import keep, limited
-from vitalgrid.schema import CORE, EVENT
+from vitalgrid.schema import EVENT
 from vitalgrid.sources.writers import union_all
 
 
@@ -79,6 +80,14 @@ def extract_derived(tables: list[DataFrame], spec: ConceptSpec, numeric_value: C
     return finish(keep(df, *(filters or [])), spec)
 
 
+FEW_PATTERNS = 100_000
+
+
+def _few(patterns: DataFrame) -> bool:
+    """Whether the patterns are few enough for every task to hold them."""
+    return patterns.limit(FEW_PATTERNS + 1).count() <= FEW_PATTERNS
+
+
 def extract_many(events: DataFrame, patterns: DataFrame) -> DataFrame:
     """All concepts in one pass: events with the column ``concept`` for each pattern (concept, pattern) that their code meets,
     as it is or less the name in the column ``event``.
@@ -87,7 +96,7 @@ def extract_many(events: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     codes = events.select("code", "event").where(F.col("code").isNotNull()).distinct()
     codes = codes.withColumn("bare", without_name(F.col("code"), F.col("event")))
-    hits = codes.join(F.broadcast(patterns), F.expr("code rlike pattern or coalesce(bare rlike pattern, false)"))
+    hits = codes.join(patterns.hint("broadcast") if _few(patterns) else patterns, F.expr("code rlike pattern or coalesce(bare rlike pattern, false)"))
     hits = hits.select(F.col("code").alias("__code"), F.col("event").alias("__event"), "concept").distinct()
     same = (F.col("code") == F.col("__code")) & F.col("event").eqNullSafe(F.col("__event"))
     return events.join(hits, same).select("code", *[F.col(f"`{c}`") for c in events.columns if c != "code"], "concept")
@@ -96,10 +105,36 @@ def extract_many(events: DataFrame, patterns: DataFrame) -> DataFrame:
 def harmonise(df: DataFrame, units: DataFrame, unit: str = "unit") -> DataFrame:
     """numeric_value * scale + shift by (code, unit); rows without an entry stay as they are."""
     rules = units.select("code", F.col("unit").alias(unit), "scale", "shift")
-    out = df.join(F.broadcast(rules), ["code", unit], "left")
+    out = df.join(rules, ["code", unit], "left")  # Spark broadcasts the rules if they are small
     value = F.coalesce(F.col("numeric_value") * F.col("scale") + F.col("shift"), F.col("numeric_value"))
     return out.withColumn("numeric_value", value).drop("scale", "shift")
 
 
-def core(df: DataFrame) -> DataFrame:
-    return df.select(*CORE)
+def computed(
+    sources: list[tuple[str, DataFrame]] | dict[str, DataFrame],
+    spec: ConceptSpec,
+    compute: Callable[[dict[str, DataFrame]], DataFrame],
+    needs: list[str] = (),
+    dataset: str | None = None,
+    strict: bool = True,
+) -> DataFrame | None:
+    """A concept that ``compute`` makes of others: (subject_id, time, numeric_value) and what the spec's extensions name.
+
+    ``needs`` names what must be given: a missing one is an error, or, if not ``strict``, gives None, as does having no source at all.
+    Two sources of one name are an error.  The result has the concept's code, empty text, limits, extensions (``dataset`` among
+    them, where given) as text, and is sorted by subject and time inside its partitions.
+    """
+    pairs = list(sources.items()) if isinstance(sources, dict) else list(sources)
+    names = [n for n, _ in pairs]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"given more than once: {', '.join(twice)}")
+    missing = [n for n in needs if n not in names]
+    if missing and strict:
+        raise ValueError(f"{spec.name} needs {', '.join(missing)}")
+    if missing or not pairs:
+        return None
+    made = compute(dict(pairs))
+    if dataset is not None:
+        made = made.withColumn("dataset", F.lit(dataset))
+        spec = replace(spec, extensions=tuple(dict.fromkeys((*spec.extensions, "dataset"))))
+    return finish(made, spec).sortWithinPartitions("subject_id", "time")

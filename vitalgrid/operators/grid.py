@@ -6,7 +6,6 @@ window after it use the same partitioning.  Times are compared in microseconds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -181,11 +180,15 @@ def evaluate(
     result: Column,
     triggers: set[str] | None = None,
     event_time: Column | None = None,
+    needs: set[str] = frozenset(),
 ) -> DataFrame:
     """(subject_id, time, numeric_value): the result wherever a trigger (default: any input) has a row and the result is known.
 
-    With ``event_time`` the result is dated then; of several at one time the earliest evaluation stays.
+    ``needs`` names sources that must be given; others that are not were never measured.  Rows are sorted by subject and time
+    inside their partitions.  With ``event_time`` the result is dated then; of several at one time the earliest evaluation stays.
     """
+    if missing := sorted(set(needs) - set(sources)):
+        raise ValueError(f"not given: {', '.join(missing)}")
     df = align(sources, inputs)
     measured = reduce(lambda a, b: a | b, [F.col(f"seen_{n}") for n in (triggers or inputs)])
     df = df.where(measured).withColumn("numeric_value", result.cast("float")).where(F.col("numeric_value").isNotNull())
@@ -193,8 +196,4 @@ def evaluate(
         df = df.withColumn("at", event_time).where(F.col("at").isNotNull())
         row = F.row_number().over(Window.partitionBy("subject_id", "at").orderBy("time"))
         df = df.withColumn("row", row).where("row = 1").withColumn("time", F.col("at"))
-    return df.select("subject_id", "time", "numeric_value")
-
-
-Sources = dict[str, DataFrame]
-Score = Callable[[Sources], DataFrame]
+    return df.select("subject_id", "time", "numeric_value").sortWithinPartitions("subject_id", "time")

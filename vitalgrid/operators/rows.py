@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +81,14 @@ class EventSpec:
     prefix: list[Column] = field(default_factory=list)
     suffix: list[Column] = field(default_factory=list)
     where: Column | None = None
+    named: bool = True  # whether the code holds the event's name
+    changes: list[Callable[[dict[str, Column]], dict[str, Column]]] = field(default_factory=list)
+    keeps: list[Callable[[dict[str, Column]], Column]] = field(default_factory=list)
+
+    def condition(self) -> Column | None:
+        """What a row must meet: ``where`` over the source, and ``keeps`` over the event as it is made."""
+        all_of = ([] if self.where is None else [self.where]) + [k(self.values()) for k in self.keeps]
+        return reduce(lambda a, b: a & b, all_of) if all_of else None
 
     def values(self) -> dict[str, Column]:
         out = {
@@ -87,26 +97,38 @@ class EventSpec:
             "numeric_value": F.lit(None) if self.numeric_value is None else self.numeric_value,
             "text_value": F.lit(None) if self.text_value is None else self.text_value,
             **self.extensions,
-            "code": build_code(self.code, self.name, self.prefix, self.suffix),
+            "code": build_code(self.code, self.name if self.named else None, self.prefix, self.suffix),
         }
         for f in EVENT:
             out[f.name] = out[f.name].try_cast(f.dataType) if f.name == "numeric_value" else out[f.name].cast(f.dataType)
+        for change in self.changes:  # each sees the event made so far
+            out = {**out, **change(out)}
         return out
 
 
 def to_events(df: DataFrame, spec: EventSpec) -> DataFrame:
     """Core event columns and extensions of each row that passes the spec's condition."""
-    rows = df if spec.where is None else df.where(spec.where)
+    condition = spec.condition()
+    rows = df if condition is None else df.where(condition)
     made = spec.values()
     return rows.select(*[made[c].alias(c) for c in CORE], *[made[c].alias(c) for c in spec.extensions])
 
 
 def fan_out(df: DataFrame, specs: list[EventSpec]) -> DataFrame:
-    """All events of each row in one pass over the source; extensions a spec lacks are null; adds the column event."""
-    names = list(dict.fromkeys(c for s in specs for c in s.extensions))
+    """All events of each row in one pass over the source; extensions a spec lacks are null; adds the column event.
+
+    An extension keeps its type; where the specs disagree on it, it becomes text.
+    """
+    kinds: dict[str, set[str]] = {}
+    for s in specs:
+        for f in df.select(*[s.values()[c].alias(c) for c in s.extensions]).schema if s.extensions else []:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    known = {c: sorted(k - {"void"}) for c, k in kinds.items()}
+    names = {c: k[0] if len(k) == 1 else "string" for c, k in known.items()}
     one = []
     for s in specs:
         made = s.values()
-        row = F.struct(*[made[c].alias(c) for c in CORE], *[made.get(c, F.lit(None)).cast("string").alias(c) for c in names], F.lit(s.name).alias("event"))
-        one.append(row if s.where is None else F.when(s.where, row))
+        row = F.struct(*[made[c].alias(c) for c in CORE], *[made.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in names.items()], F.lit(s.name).alias("event"))
+        condition = s.condition()
+        one.append(row if condition is None else F.when(condition, row))
     return df.select(F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("e")).select("e.*")

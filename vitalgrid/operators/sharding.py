@@ -22,15 +22,13 @@ def subjects(events: DataFrame) -> DataFrame:
 def shard_numbers(events: DataFrame, per_shard: int = 1000, ranges: int = 256) -> DataFrame:
     """(subject_id, shard): subjects in ascending order, ``per_shard`` to a shard.
 
-    The global rank is the rank inside a range of ids plus the number of subjects in the ranges before it, so no
-    task sees all subjects.
+    The global rank is the rank inside a range of ids plus the number of subjects in the ranges before it.  Ranges end at
+    approximate quantiles of the ids, so they hold about equally many however the ids lie, and no task sees all subjects.
     """
     ids = subjects(events)
-    ends = ids.agg(F.min("subject_id").alias("low"), F.max("subject_id").alias("high")).first()
-    if ends["low"] is None:
-        return ids.select("subject_id", F.lit(0).cast("long").alias("shard"))
-    width = max(1, -(-(ends["high"] - ends["low"] + 1) // ranges))
-    ids = ids.withColumn("range", F.floor((F.col("subject_id") - F.lit(ends["low"])) / F.lit(width)))
+    cuts = ids.agg(F.percentile_approx("subject_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []  # ``ranges`` numbers at most
+    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    ids = ids.withColumn("range", F.size(F.filter(cuts, lambda x: x < F.col("subject_id"))))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ``ranges`` rows
     counts = ids.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranked = ids.withColumn("row", F.row_number().over(Window.partitionBy("range").orderBy("subject_id")))
@@ -38,8 +36,25 @@ def shard_numbers(events: DataFrame, per_shard: int = 1000, ranges: int = 256) -
     return ranked.select("subject_id", F.floor((F.col("before") + F.col("row") - 1) / per_shard).alias("shard"))
 
 
-def shards(events: DataFrame, per_shard: int = 1000, among: list | DataFrame | None = None) -> DataFrame:
-    """Core columns of all events with their subject's shard, grouped by shard and sorted by subject, time and code inside it."""
+def only_concepts(events: DataFrame, datasets: list[str] = (), concepts: list[str] = ()) -> DataFrame:
+    """Rows of the named datasets (as they stand) and concepts; an empty list takes all.
+
+    A concept is named by its path or by the last part of it, in any case; outer slashes do not count and a backslash is a slash.
+    """
+    out = events.where(F.col("dataset").isin(*datasets)) if datasets else events
+    if not concepts:
+        return out
+    wanted = sorted({c.replace("\\", "/").strip("/").lower() for c in concepts})
+    path = F.lower(F.col("concept"))
+    return out.where(path.isin(*wanted) | F.substring_index(path, "/", -1).isin(*wanted))
+
+
+def shards(events: DataFrame, per_shard: int = 1000, among: list | DataFrame | None = None, datasets: list[str] = (), concepts: list[str] = ()) -> DataFrame:
+    """Core columns of all events with their subject's shard, grouped by shard and sorted by subject, time and code inside it.
+
+    Only the subjects ``among``, and only the named datasets and concepts (columns dataset and concept), where given.
+    """
+    events = only_concepts(events, datasets, concepts)
     rows = events.select(*CORE) if among is None else only_members(events.select(*CORE), "subject_id", among)
     out = rows.join(shard_numbers(rows, per_shard), "subject_id")
     return out.select(*CORE, "shard").repartition("shard").sortWithinPartitions("shard", "subject_id", "time", "code")

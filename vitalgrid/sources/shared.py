@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share; /tmp/checkpoints where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a session on one machine, as in tests, uses /tmp/checkpoints; a cluster must name one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -16,16 +16,24 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def write_events(frames: list[DataFrame], path: str, dataset: str, version: str, table: str, mode: str = "append") -> None:
+def write_parts(df: DataFrame, path: str, mode: str, *parts: str) -> None:
+    """Partitioned Parquet. Mode "replace" puts each partition that has rows in the place of what was there, so a job can be rerun."""
+    writer = df.write.mode("overwrite" if mode == "replace" else mode)
+    if mode == "replace":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*parts).parquet(path)
+
+
+def write_events(frames: list[DataFrame], path: str, dataset: str, version: str, table: str, mode: str = "replace") -> None:
     """Events with an ``event`` column, all of a table in one write: events of one name end up in one place."""
     out = union_all(frames).withColumns({"dataset": F.lit(dataset), "version": F.lit(version), "table": F.lit(table)})
-    out.write.mode(mode).partitionBy("dataset", "version", "table", "event").parquet(path)
+    write_parts(out, path, mode, "dataset", "version", "table", "event")
 
 
-def write_concept(frames: list[DataFrame], path: str, concept: str, version: str, mode: str = "append") -> None:
+def write_concept(frames: list[DataFrame], path: str, concept: str, version: str, mode: str = "replace") -> None:
     """All mappings of a concept; its frames hold ``dataset``. The version is part of the place, so versions live side by side."""
     out = union_all(frames).withColumns({"concept": F.lit(concept), "version": F.lit(version)})
-    out.write.mode(mode).partitionBy("concept", "version", "dataset").parquet(path)
+    write_parts(out.sortWithinPartitions("subject_id", "time"), path, mode, "concept", "version", "dataset")
 
 
 def write_vocabulary(events: DataFrame, path: str) -> None:
