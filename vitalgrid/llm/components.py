@@ -63,7 +63,7 @@ def written_components(links: DataFrame, label: str = "components") -> Written:
     return named
 
 
-MAX_HUB_ROUNDS = 3
+MAX_HUB_ROUNDS = 2
 FEW = 4  # pairs for each member: so many are tested pair by pair
 
 

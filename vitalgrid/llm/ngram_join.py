@@ -184,26 +184,27 @@ def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray, crowded: np.nd
     if len(hot):
         place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
         often = np.where(hot[place] == s, hot_cost[place], 0)
-    short = falls_short(s)
-    if crowded is not None:
-        token = _mix(s)
-        singles = _tag(token, np.zeros(n, U), 0, 2)
-        at = _mix(s) & U(8 * len(crowded) - 1)
-        met = (crowded[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1
-        out.append(singles[met == 1] << U(2) | U(2))
-        if short:
-            rarest = np.argsort(often, kind="stable")[: n - ceil(PERCENT * n / 100) + 1]
-            out.append(singles[rarest] << U(2) | U(1))
+    bands = []
     for k in _bands_of(n):
         x = Segments(s, k)
+        bands.append((k, x, *x.allocate(_need(n, k), np.minimum.reduceat(often, x.at))))
+    short = any(len(one) + 2 * len(two) < _need(n, k) for k, _, one, two in bands)
+    if short and crowded is None:
+        raise ValueError("a set falls short that was not found beforehand")
+    if crowded is not None:
+        token = _mix(s)
+        at = token & U(8 * len(crowded) - 1)
+        met = ((crowded[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).astype(bool)
+        if met.any():
+            single = lambda t: _tag(t, np.zeros(len(t), U), 0, 2) << U(2)
+            out.append(single(token[met]) | U(2))
+            if short:
+                rarest = np.argsort(often, kind="stable")[: n - ceil(PERCENT * n / 100) + 1]
+                out.append(single(token[rarest]) | U(1))
+    for k, x, one, two in bands:
         e = x.equal()
-        cost = np.minimum.reduceat(often, x.at)
-        need = _need(n, k)
-        one, two = x.allocate(need, cost)
         if short:  # found by single shingles
             one, two = one[:0], two[:0]
-        else:
-            assert len(one) + 2 * len(two) >= need
         looked = np.zeros(len(e), U)
         looked[one] = 1
         looked[two] = 1
