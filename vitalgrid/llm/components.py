@@ -63,11 +63,40 @@ def written_components(links: DataFrame, label: str = "components") -> Written:
     return named
 
 
+LARGE = 16
+BLOCK_ROWS = 1024
+
+
+def blocks(live: DataFrame, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(kind, unit, p, q, own, id, component): members of large groups, dealt so that each pair of blocks of a unit meets once.
+
+    A unit is a group, or, where that is less work, all groups that hang together: near copies share many groups.
+    """
+    least = live.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    cluster = components(live.join(least, "g").select("a", F.col("id").alias("b")), f"{label}-clusters")
+    of_group = least.join(cluster.withColumnRenamed("id", "a"), "a").select("g", "n", F.col("component").alias("cluster"))
+    whole = live.join(of_group, "g").select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
+    apart = of_group.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    joined = of_group.join(whole, "cluster").join(apart, "cluster").withColumn("kind", (F.col("m") * F.col("m") <= F.col("work")).cast("int"))
+    unit = joined.select("g", "kind", F.when(F.col("kind") == 1, F.col("cluster")).otherwise(F.col("g")).alias("unit"))
+    rows = Written(live.join(unit, "g").select("kind", "unit", "id", "component").distinct(), label).df
+    sizes = rows.groupBy("kind", "unit").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    rows = rows.join(sizes, ["kind", "unit"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return rows.select("kind", "unit", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
+
+
 MAX_HUB_ROUNDS = 2
 FEW = 4  # pairs for each member: so many are tested pair by pair
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str = "groups", rounds: int = MAX_HUB_ROUNDS) -> DataFrame:
+def link_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    label: str = "groups",
+    rounds: int = MAX_HUB_ROUNDS,
+    verify_blocks: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(id, component) of the ids that have links, given candidate groups; no link between two members of a group is lost.
 
     ``members``: (g, id) and the flags indexed and asked; only pairs of an indexed and an asked member of one group may link.
@@ -75,7 +104,8 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], la
     group's hub is tested against the members that are not yet in its component, and then leaves the group, as all its
     pairs are settled; so a round makes no more pairs than there are members.  A group is done when its members
     are in one component.  When the pairs still open are no more than ``FEW`` for each member, or after ``rounds`` rounds, they are
-    tested pair by pair.
+    tested pair by pair, but groups with more than ``LARGE`` open pairs for each member by ``verify_blocks``, where given: it finds links
+    between components among rows of ``blocks``.  Both ways test all open pairs, so they give the same links.
     """
     kept = Written(members, label)
     members, old = kept.df, [kept]  # tables to remove at the end
@@ -96,7 +126,13 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], la
             break
         live = keep(named.join(open_groups.select("g"), "g", "left_semi"))
         last = r == rounds or size["pairs"] <= FEW * size["n"]
+        in_blocks = None
         if last:
+            if verify_blocks:
+                many = F.col("pairs") > LARGE * F.col("n")
+                crowd = keep(live.join(open_groups.where(many).select("g"), "g", "left_semi"))
+                live = live.join(open_groups.where(~many).select("g"), "g", "left_semi")
+                in_blocks = None if crowd.isEmpty() else verify_blocks(blocks(crowd.select("g", "id", "component"), label, BLOCK_ROWS))
             x, y = live.where("indexed").alias("x"), live.where("asked").alias("y")
             pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
         else:
@@ -111,7 +147,8 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], la
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         tested.append(keep(pairs))
-        links = keep(verify(tested[-1]))
+        links = verify(tested[-1])
+        links = keep(links if in_blocks is None else links.union(in_blocks))
         if labels is None:
             labels = written_components(links, label)
         else:

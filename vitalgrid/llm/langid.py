@@ -26,14 +26,14 @@ CLUSTERS = 3
 LEAST_EACH = 4  # sampled of each language, however many there are
 REJECT_SHARE = 0.25  # of the low end of the sample's cosines
 UNKNOWN = "und"
-# \w holds number forms, as ½, besides letters, digits and _
-_NUMBER_FORMS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBER_FORMS}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")  # all but letters and number forms, as ½
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and counts of the text's n-grams; none if it is null or has no letter."""
     words = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not words.isascii() and not words.replace(" ", "").isalpha():
+        words = "".join(c if c.isalpha() else " " for c in words).strip()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     b = np.frombuffer(f" {words} ".encode(), dtype=np.uint8).astype(np.uint32)

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrid.llm.blocks import links_in_blocks
 from vitalgrid.llm.common import Written, likely_among
 from vitalgrid.llm.components import link_groups
 
@@ -200,7 +201,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near_kept = Written(texts.join(ids.df, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
     ids.drop()
     near = near_kept.df
-    found = link_groups(members, lambda pairs: verify(pairs, near), "lines-links")
+    found = link_groups(
+        members, lambda pairs: verify(pairs, near), "lines-links",
+        verify_blocks=lambda rows: links_in_blocks(rows, near.select(F.col("key").alias("id"), F.col("line").alias("text")), shingle_hashes, PERCENT),
+    )
     for t in (near_kept, members_kept):
         t.drop()
     one = every.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrid.llm.blocks import links_in_blocks
 from vitalgrid.llm.common import MAX_FILTER_BITS, MIN_FILTER_BITS, Written, likely_among
 from vitalgrid.llm.components import link_groups
 
@@ -397,7 +398,10 @@ def join_components(docs: DataFrame) -> DataFrame:
     wanted = Written(members.select(F.col("id").alias("class")).distinct().join(classes.select("class", "rep", "n"), "class"), "ngram-wanted").df
     texts_kept = Written(likely_among(docs, "doc_id", wanted.select("rep"), wanted.count()).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("class", "n", "text").dropDuplicates(["class"]), "ngram-texts")
     texts = texts_kept.df
-    named = link_groups(members, lambda pairs: _verify(pairs, texts), "ngram-links")
+    named = link_groups(
+        members, lambda pairs: _verify(pairs, texts), "ngram-links",
+        verify_blocks=lambda rows: links_in_blocks(rows, texts.select(F.col("class").alias("id"), "text"), shingle_set, PERCENT),
+    )
     for t in (texts_kept, members_kept):
         t.drop()
     with_rep = classes.select(F.col("class").alias("id"), "rep")
