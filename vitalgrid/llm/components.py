@@ -18,9 +18,10 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 def written_components(links: DataFrame, label: str = "components") -> Written:
     """(id, component) for every id of the links (a, b); component is the smallest id reachable.
 
-    Each round every id hooks onto that of itself and its neighbours with the smallest hash, another hash each round,
-    paths are halved by pointer jumping, and links are rewritten between what is left.  As the hashes are
-    drawn anew, a constant share of the ids is expected to go in each round, whatever their order (chains, stars).
+    Each round every id hooks onto that of itself and its neighbours that has the most neighbours (ties: the smallest
+    hash, another one each round), paths are halved by pointer jumping, and links are rewritten between what is left.  An id that
+    hooks onto itself has no fewer neighbours than any of them has, so such ids are at most half of those that still have
+    links; a star goes in one round.
     Null ends, loops and repeated links are ignored; no links give an empty table.  Rounds are written to the
     shared folder; the driver sees only whether links are left.
     """
@@ -30,14 +31,14 @@ def written_components(links: DataFrame, label: str = "components") -> Written:
     rounds = 0
     while not edges.df.isEmpty():
         both = edges.df.union(edges.df.select("b", "a"))
-        order = lambda c: F.xxhash64(F.lit(rounds), c)
-        near = both.groupBy("a").agg(F.min_by("b", order("b")).alias("b"), F.min(order("b")).alias("m"))
-        hook = Written(near.select(F.col("a").alias("id"), F.when(order("a") <= F.col("m"), F.col("a")).otherwise(F.col("b")).alias("up")), label)
+        degree = both.groupBy("a").agg(F.count("*").alias("n"))
+        order = lambda n, c: F.struct((-F.col(n)).alias("few"), F.xxhash64(F.lit(rounds), F.col(c)).alias("hash"), F.col(c).alias("id"))
+        far = both.join(degree.toDF("b", "m"), "b").groupBy("a").agg(F.min(order("m", "b")).alias("best"), F.count("*").alias("n"))
+        hook = far.select(F.col("a").alias("id"), F.least(order("n", "a"), "best")["id"].alias("up"))
         jump = Written(
-            hook.df.alias("x").join(hook.df.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left")
+            hook.alias("x").join(hook.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left")
             .select("id", F.coalesce("upper", "up").alias("up")), label,
         )
-        hook.drop()
         if labels is None:
             new = Written(jump.df.select("id", F.col("up").alias("component")), label)
         else:
