@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -106,3 +107,29 @@ def test_event_time_keeps_the_earliest(spark):
     day = F.date_trunc("DAY", F.col("time")).cast("timestamp_ntz")
     got = grid.evaluate({"a": concept(spark, (1, 5), (2, 6), (30, 7))}, {"a": grid.Locf()}, F.col("a"), event_time=day)
     assert series(got) == {0: 5.0, 24: 7.0}
+
+
+def test_scores_together_equal_scores_one_by_one(spark, tmp_path):
+    rng = random.Random(3)
+    scale = {
+        "creatinine": 6, "urine_output": 300, "platelet_count": 200, "total_bilirubin": 14, "gcs_total": 15, "mean_arterial_pressure": 120, "dopamine_rate": 20, "epinephrine_rate": 0.2,
+        "O2_partial_pressure": 120, "fraction_of_inspired_oxygen": 100, "mechanical_ventilation_windows": 1, "renal_replacement_therapy": 1, "patient_weight": 90,
+    }
+    rows = [
+        (s, START + dt.timedelta(minutes=30 * rng.randrange(240)), c, None if rng.random() < 0.1 else rng.random() * top)
+        for s in range(6) for c, top in scale.items() for _ in range(rng.randint(0, 12))
+    ]
+    spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, concept string, numeric_value float").write.parquet(f"{tmp_path}/concepts")
+    long = spark.read.parquet(f"{tmp_path}/concepts")
+    by_name = {c: long.where(F.col("concept") == c) for c in scale}
+    apart = {
+        "total": scores.windowed_sum({n: score().over(by_name) for n, score in scores.SOFA.items()}),
+        "stage": scores.windowed_max({"a": scores.aki_creatinine(by_name), "b": scores.aki_urine_output(by_name)}),
+    }
+    for name, together in (("total", scores.sofa_total), ("stage", scores.aki_stage)):
+        want = sorted(tuple(r) for r in apart[name].collect())
+        assert want and sorted(tuple(r) for r in together(by_name).collect()) == want
+        one = together(long)
+        assert sorted(tuple(r) for r in one.collect()) == want
+        plan = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1

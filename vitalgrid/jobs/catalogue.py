@@ -662,6 +662,16 @@ def _clinical(spark, sf_dir, **kinds) -> dict[str, DataFrame]:
     return {name: _source(spark, sf_dir, *k) for name, k in kinds.items()}
 
 
+def _concepts(spark, sf_dir, **kinds) -> DataFrame:
+    """The same as one long table (subject_id, time, concept, numeric_value), from one scan."""
+    e = _t(spark, sf_dir, "events").where(F.col("event_type").isin(sorted({k[0] for k in kinds.values()})))
+    each = [
+        F.when(F.col("event_type") == t, F.struct(F.lit(n).alias("concept"), (F.col("value") * scale + shift).cast("float").alias("numeric_value")))
+        for n, (t, scale, shift) in kinds.items()
+    ]
+    return e.select(F.col("user_id").alias("subject_id"), F.col("ts").alias("time"), F.explode(F.array_compact(F.array(*each))).alias("c")).select("subject_id", "time", "c.*")
+
+
 def _grid_sql(**kinds) -> str:
     """One row per instant of any of the concepts: value and presence of each, named n and p_n."""
     cols = ", ".join(
@@ -759,8 +769,7 @@ def _combined_sql(parts: dict[str, str], how: str) -> str:
 
 @query(_combined_sql({n: ORACLE_SQL[f"sofa_{n}"] for n in ("renal", "coagulation", "liver", "cns", "cardiovascular", "respiratory")}, "sum"))
 def sofa_total(spark, sf_dir):
-    sources = {n: (scores.SOFA[f"sofa_{n}"], k) for n, k in (("renal", RENAL), ("coagulation", COAG), ("liver", LIVER), ("cns", CNS), ("cardiovascular", CARDIO), ("respiratory", RESP))}
-    return scores.windowed_sum({n: score(_clinical(spark, sf_dir, **k)) for n, (score, k) in sources.items()})
+    return scores.sofa_total(_concepts(spark, sf_dir, **RENAL, **COAG, **LIVER, **CNS, **CARDIO, **RESP))
 
 
 AKI = {"creatinine": ("view", 0.05, 0.5), "renal_replacement_therapy": ("signup", 1.0, 0.0)}
@@ -791,7 +800,7 @@ def aki_urine_output(spark, sf_dir):
 
 @query(_combined_sql({"a": SQL_AKI, "b": SQL_AKI_URINE}, "max"))
 def aki_stage(spark, sf_dir):
-    return scores.windowed_max({"a": aki_creatinine(spark, sf_dir), "b": aki_urine_output(spark, sf_dir)})
+    return scores.aki_stage(_concepts(spark, sf_dir, **AKI, **WEIGHT), urine_output_gap="30h")
 
 
 @query(_combined_sql({"a": f"SELECT user_id AS subject_id, ts AS time, max(value)::REAL AS numeric_value FROM events WHERE event_type = 'view' GROUP BY 1, 2", "b": "SELECT user_id AS subject_id, ts AS time, max(value)::REAL AS numeric_value FROM events WHERE event_type = 'click' GROUP BY 1, 2"}, "max"))

@@ -6,6 +6,7 @@ window after it use the same partitioning.  Times are compared in microseconds.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,19 +143,28 @@ class SegmentedRollingSum(RollingSum):
         return df.withColumn(name, F.when(covered, F.col("__sum"))).drop("__last", "__before", "__start", "__sum")
 
 
-def build_grid(sources: dict[str, DataFrame], inputs: dict[str, Input]) -> DataFrame:
+#: Concepts by name, or one long table (subject_id, time, concept, numeric_value) of all of them, which is scanned once.
+Sources = dict[str, DataFrame] | DataFrame
+
+
+def _rows(df: DataFrame, source: Column) -> DataFrame:
+    return df.select(F.col("subject_id").cast("long").alias("subject_id"), to_us(F.col("time")).alias("t"), F.col("numeric_value").cast("float").alias("v"), source.alias("s"))
+
+
+def build_grid(sources: Sources, inputs: dict[str, Input]) -> DataFrame:
     """(subject_id, t, value and presence of each input): one row for each instant of any source; rows without key are left out.
 
     A source that several inputs use is read once; one that is not given was never measured.
     """
     of = {name: i.source or name for name, i in inputs.items()}
-    used = [s for s in dict.fromkeys(of.values()) if s in sources]
-    if not used:
-        raise ValueError("none of the inputs' sources is given")
-    long = reduce(
-        DataFrame.unionByName,
-        [sources[s].select(F.col("subject_id").cast("long").alias("subject_id"), to_us(F.col("time")).alias("t"), F.col("numeric_value").cast("float").alias("v"), F.lit(s).alias("s")) for s in used],
-    )
+    used = list(dict.fromkeys(of.values()))
+    if isinstance(sources, DataFrame):
+        long = _rows(sources.where(F.col("concept").isin(used)), F.col("concept"))
+    else:
+        used = [s for s in used if s in sources]
+        if not used:
+            raise ValueError("none of the inputs' sources is given")
+        long = reduce(DataFrame.unionByName, [_rows(sources[s], F.lit(s)) for s in used])
     long = long.where(F.col("subject_id").isNotNull() & F.col("t").isNotNull()).repartition("subject_id")
     made = []
     for name, i in inputs.items():
@@ -166,7 +176,7 @@ def build_grid(sources: dict[str, DataFrame], inputs: dict[str, Input]) -> DataF
     return long.groupBy("subject_id", "t").agg(*made)
 
 
-def align(sources: dict[str, DataFrame], inputs: dict[str, Input]) -> DataFrame:
+def align(sources: Sources, inputs: dict[str, Input]) -> DataFrame:
     """The grid with every input carried onto each instant, beside its presence flag seen_*."""
     df = build_grid(sources, inputs)
     for name, i in inputs.items():
@@ -174,8 +184,14 @@ def align(sources: dict[str, DataFrame], inputs: dict[str, Input]) -> DataFrame:
     return df.select("subject_id", from_us(F.col("t")).alias("time"), *inputs, *[f"seen_{n}" for n in inputs])
 
 
+def _given(sources: Sources, needs: Iterable[str]) -> None:
+    """Refuse a dict without the needed sources; a long table may hold any."""
+    if not isinstance(sources, DataFrame) and (missing := sorted(set(needs) - set(sources))):
+        raise ValueError(f"not given: {', '.join(missing)}")
+
+
 def evaluate(
-    sources: dict[str, DataFrame],
+    sources: Sources,
     inputs: dict[str, Input],
     result: Column,
     triggers: set[str] | None = None,
@@ -187,8 +203,7 @@ def evaluate(
     ``needs`` names sources that must be given; others that are not were never measured.  Rows are sorted by subject and time
     inside their partitions.  With ``event_time`` the result is dated then; of several at one time the earliest evaluation stays.
     """
-    if missing := sorted(set(needs) - set(sources)):
-        raise ValueError(f"not given: {', '.join(missing)}")
+    _given(sources, needs)
     df = align(sources, inputs)
     measured = reduce(lambda a, b: a | b, [F.col(f"seen_{n}") for n in (triggers or inputs)])
     df = df.where(measured).withColumn("numeric_value", result.cast("float")).where(F.col("numeric_value").isNotNull())
@@ -197,3 +212,38 @@ def evaluate(
         row = F.row_number().over(Window.partitionBy("subject_id", "at").orderBy("time"))
         df = df.withColumn("row", row).where("row = 1").withColumn("time", F.col("at"))
     return df.select("subject_id", "time", "numeric_value").sortWithinPartitions("subject_id", "time")
+
+
+@dataclass(frozen=True)
+class Score:
+    """A result over inputs, known at the instants where a trigger (default: any input) has a row; ``needs`` as in ``evaluate``."""
+
+    inputs: dict[str, Input]
+    result: Column
+    triggers: frozenset[str] | None = None
+    needs: frozenset[str] = frozenset()
+
+    def over(self, sources: Sources) -> DataFrame:
+        return evaluate(sources, self.inputs, self.result, self.triggers, needs=self.needs)
+
+
+def evaluate_together(sources: Sources, parts: dict[str, Score], window: str, result: Column) -> DataFrame:
+    """(subject_id, time, numeric_value): a result over the current values of several scores, none older than the window.
+
+    It gives the rows of evaluating each score and then the result over them, but the sources are shuffled once, by subject,
+    and all windows of all scores run over that one grid.  A score none of whose sources is given is never known.
+    """
+    for p in parts.values():
+        _given(sources, p.needs)
+    df = build_grid(sources, {f"{part}__{name}": i.of(i.source or name) for part, p in parts.items() for name, i in p.inputs.items()})
+    for part, p in parts.items():
+        for name, i in p.inputs.items():
+            df = i.align(df, name, f"v_{part}__{name}", f"seen_{part}__{name}")
+        measured = reduce(lambda a, b: a | b, [F.col(f"seen_{part}__{n}") for n in (p.triggers or p.inputs)])
+        df = df.withColumn(part, F.when(measured, p.result.cast("float"))).drop(*p.inputs)
+    known = reduce(lambda a, b: a | b, [F.col(part).isNotNull() for part in parts])
+    df = df.select("subject_id", "t", *parts).where(known)
+    for part in parts:
+        df = WindowedLocf(window=window).align(df, part, part, part)
+    df = df.select("subject_id", from_us(F.col("t")).alias("time"), result.cast("float").alias("numeric_value"))
+    return df.where(F.col("numeric_value").isNotNull()).sortWithinPartitions("subject_id", "time")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.grid import Exists, Input, Locf, RollingMin, SegmentedRollingSum, WindowedLocf, evaluate
+from vitalgrid.operators.grid import Exists, Input, Locf, RollingMin, Score, SegmentedRollingSum, Sources, WindowedLocf, evaluate, evaluate_together
 from vitalgrid.schema import f32
 
-Sources = dict[str, DataFrame]
 DAY = "24h"
 
 # Limits and grades of the scores (fixed values).
@@ -33,30 +33,40 @@ def below(value: Column, limits: tuple) -> Column:
     return out.when(value.isNotNull(), 0)
 
 
-def graded(sources: Sources, inputs: dict[str, Input], grade: Column, observed: Column | None = None, triggers: set[str] | None = None) -> DataFrame:
+def graded(inputs: dict[str, Input], grade: Column, observed: Column | None = None, triggers: set[str] | None = None, needs: frozenset[str] = frozenset()) -> Score:
     """The grade wherever something is observed (default: any input is known)."""
     seen = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in inputs]) if observed is None else observed
-    return evaluate(sources, inputs, F.when(seen, grade), triggers)
+    return Score(inputs, F.when(seen, grade), frozenset(triggers) if triggers else None, needs)
 
 
-def sofa_renal(sources: Sources, window: str = DAY, urine_output_gap: str | None = None) -> DataFrame:
+def over(score: Callable[..., Score]) -> Callable[..., DataFrame]:
+    """The score as a function of its sources and options."""
+
+    @wraps(score)
+    def run(sources: Sources, *args, **options) -> DataFrame:
+        return score(*args, **options).over(sources)
+
+    return run
+
+
+def renal_score(window: str = DAY, urine_output_gap: str | None = None) -> Score:
     inputs = {"creatinine": WindowedLocf(window=window), "urine_output": SegmentedRollingSum(window=window, gap=urine_output_gap or window)}
-    return graded(sources, inputs, F.greatest(at_least(F.col("creatinine"), CREATININE), below(F.col("urine_output"), URINE)))
+    return graded(inputs, F.greatest(at_least(F.col("creatinine"), CREATININE), below(F.col("urine_output"), URINE)))
 
 
-def sofa_coagulation(sources: Sources, window: str = DAY) -> DataFrame:
-    return graded(sources, {"platelet_count": WindowedLocf(window=window)}, below(F.col("platelet_count"), PLATELETS))
+def coagulation_score(window: str = DAY) -> Score:
+    return graded({"platelet_count": WindowedLocf(window=window)}, below(F.col("platelet_count"), PLATELETS))
 
 
-def sofa_liver(sources: Sources, window: str = DAY) -> DataFrame:
-    return graded(sources, {"total_bilirubin": WindowedLocf(window=window)}, at_least(F.col("total_bilirubin"), BILIRUBIN))
+def liver_score(window: str = DAY) -> Score:
+    return graded({"total_bilirubin": WindowedLocf(window=window)}, at_least(F.col("total_bilirubin"), BILIRUBIN))
 
 
-def sofa_cns(sources: Sources, window: str = DAY) -> DataFrame:
-    return graded(sources, {"gcs_total": WindowedLocf(window=window)}, below(F.col("gcs_total"), COMA))
+def cns_score(window: str = DAY) -> Score:
+    return graded({"gcs_total": WindowedLocf(window=window)}, below(F.col("gcs_total"), COMA))
 
 
-def sofa_cardiovascular(sources: Sources, window: str = DAY) -> DataFrame:
+def cardiovascular_score(window: str = DAY) -> Score:
     """Pressor rates in mcg/kg/min, then mean arterial pressure; an unknown rate meets no condition."""
     names = ("mean_arterial_pressure", "dopamine_rate", "dobutamine_rate", "epinephrine_rate", "norepinephrine_rate")
     pressure, dopamine, dobutamine, epinephrine, norepinephrine = (F.col(n) for n in names)
@@ -68,10 +78,10 @@ def sofa_cardiovascular(sources: Sources, window: str = DAY) -> DataFrame:
         .when(pressure < f32(70), 1)
         .otherwise(0)
     )
-    return graded(sources, {n: WindowedLocf(window=window) for n in names}, grade)
+    return graded({n: WindowedLocf(window=window) for n in names}, grade)
 
 
-def sofa_respiratory(sources: Sources, window: str = DAY, ventilation_window: str | None = None) -> DataFrame:
+def respiratory_score(window: str = DAY, ventilation_window: str | None = None) -> Score:
     """PaO2 / FiO2 in mmHg with FiO2 in percent; the two worst grades need ventilation."""
     inputs = {
         "O2_partial_pressure": WindowedLocf(window=window),
@@ -82,7 +92,7 @@ def sofa_respiratory(sources: Sources, window: str = DAY, ventilation_window: st
     ratio = F.when(oxygen > 0, ((F.col("O2_partial_pressure") / oxygen).cast("float") * f32(100)).cast("float"))
     ventilated = F.coalesce(F.col("mechanical_ventilation_windows") > 0, F.lit(False))
     grade = F.when(ventilated & (ratio < 100), 4).when(ventilated & (ratio < 200), 3).when(ratio < 300, 2).when(ratio < 400, 1).otherwise(0)
-    return graded(sources, inputs, grade, observed=ratio.isNotNull())
+    return graded(inputs, grade, observed=ratio.isNotNull())
 
 
 def windowed_sum(terms: Sources, window: str = DAY) -> DataFrame:
@@ -98,16 +108,19 @@ def windowed_max(terms: Sources, window: str = DAY) -> DataFrame:
 
 
 SOFA = {
-    "sofa_renal": sofa_renal, "sofa_coagulation": sofa_coagulation, "sofa_liver": sofa_liver,
-    "sofa_cns": sofa_cns, "sofa_cardiovascular": sofa_cardiovascular, "sofa_respiratory": sofa_respiratory,
+    "sofa_renal": renal_score, "sofa_coagulation": coagulation_score, "sofa_liver": liver_score,
+    "sofa_cns": cns_score, "sofa_cardiovascular": cardiovascular_score, "sofa_respiratory": respiratory_score,
 }
+sofa_renal, sofa_coagulation, sofa_liver, sofa_cns, sofa_cardiovascular, sofa_respiratory = (over(s) for s in SOFA.values())
 
 
 def sofa_total(sources: Sources, window: str = DAY) -> DataFrame:
-    return windowed_sum({name: score(sources, window) for name, score in SOFA.items()}, window)
+    """Sum of the organ scores' current values; one that is missing counts as 0.  All from one grid."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(n), f32(0)) for n in SOFA])
+    return evaluate_together(sources, {name: score(window) for name, score in SOFA.items()}, window, total)
 
 
-def aki_creatinine(sources: Sources, window: str = DAY, baseline_window: str = "7d", acute_window: str = "48h", require_acute_rise: bool = True) -> DataFrame:
+def aki_creatinine_score(window: str = DAY, baseline_window: str = "7d", acute_window: str = "48h", require_acute_rise: bool = True) -> Score:
     """Stage by the ratio to the baseline, the acute rise and renal replacement therapy."""
     inputs = {
         "creatinine": WindowedLocf(window=window),
@@ -120,13 +133,11 @@ def aki_creatinine(sources: Sources, window: str = DAY, baseline_window: str = "
     acute = (ratio >= f32(1.5)) | ((now - F.col("acute_low")) >= f32(0.3)) if require_acute_rise else F.lit(True)
     three = therapy | (ratio >= 3) | ((now >= 4) & acute)
     stage = F.when(three, 3).when(ratio >= 2, 2).when(acute, 1).when(now.isNotNull(), 0)
-    return graded(sources, inputs, stage, observed=now.isNotNull() | therapy)
+    return graded(inputs, stage, observed=now.isNotNull() | therapy)
 
 
-def aki_urine_output(sources: Sources, urine_output_gap: str | None = None, weight_concept: str = "patient_weight", default_weight_kg: float | None = None) -> DataFrame:
+def aki_urine_output_score(urine_output_gap: str | None = None, weight_concept: str = "patient_weight", default_weight_kg: float | None = None) -> Score:
     """Stage by the mean urine rate per kilogram over windows that were observed whole."""
-    if default_weight_kg is None and weight_concept not in sources:
-        raise ValueError(f"urine rates need {weight_concept} or default_weight_kg")
     hours = {6: "urine_6h", 12: "urine_12h", 24: "urine_24h"}
     inputs: dict[str, Input] = {n: SegmentedRollingSum("urine_output", f"{h}h", gap=urine_output_gap) for h, n in hours.items()}
     inputs["weight"] = Locf(weight_concept)
@@ -134,8 +145,13 @@ def aki_urine_output(sources: Sources, urine_output_gap: str | None = None, weig
     rate = {h: F.when(weight > 0, (F.col(n) / (weight * h)).cast("float")) for h, n in hours.items()}
     stage = F.when((F.col("urine_12h") <= 0) | (rate[24] < f32(0.3)), 3).when(rate[12] < f32(0.5), 2).when(rate[6] < f32(0.5), 1).otherwise(0)
     seen = reduce(lambda a, b: a | b, [r.isNotNull() for r in rate.values()])
-    return graded(sources, inputs, stage, observed=seen, triggers={"urine_6h"})
+    return graded(inputs, stage, observed=seen, triggers={"urine_6h"}, needs=frozenset() if default_weight_kg is not None else frozenset({weight_concept}))
+
+
+aki_creatinine, aki_urine_output = over(aki_creatinine_score), over(aki_urine_output_score)
 
 
-def aki_stage(sources: Sources, window: str = DAY) -> DataFrame:
-    return windowed_max({"by_creatinine": aki_creatinine(sources, window), "by_urine": aki_urine_output(sources)}, window)
+def aki_stage(sources: Sources, window: str = DAY, urine_output_gap: str | None = None) -> DataFrame:
+    """Larger of the current stages by creatinine and by urine output.  Both from one grid."""
+    parts = {"by_creatinine": aki_creatinine_score(window), "by_urine": aki_urine_output_score(urine_output_gap)}
+    return evaluate_together(sources, parts, window, F.greatest(*parts))
