@@ -31,7 +31,18 @@ def test_round_trip(spark):
                 raw.append(text[at : at + run.chars])
             at += run.chars
         assert at == len(text) == d.formatted_chars
-        assert len(raw) == sum(r == "assistant" for _, r, _ in turns)
+        spoken = [t for _, r, t in turns if r == "assistant"]
+        plain = [x.replace("\\l", "<").replace("\\c", "]").replace("\\o", "[").replace("\\b", "\\") for x in raw]
+        assert len(raw) == len(spoken) and all(s in (r, p) for r, p, s in zip(raw, plain, spoken))
+
+
+def test_loss_text_follows_the_mask(spark):
+    text = "[INST user] a [/INST][OUT] b\\o</s>[OUT!] \\o\\l</s>"
+    runs = [(21, False), (6, False), (3, True), (4, False), (7, False), (4, True), (4, False)]
+    masks = [("as formatted", runs, "b\\o[<"), ("one less", [(21, False), (6, False), (2, True), (22, False)], "b\\"), ("none", [(49, False)], "")]
+    df = spark.createDataFrame([(n, text, m) for n, m, _ in masks], "name string, formatted string, loss_mask array<struct<chars int, loss boolean>>")
+    got = {r[0]: r[1] for r in df.select("name", chat_format.loss_text(df["formatted"], df["loss_mask"])).collect()}
+    assert got == {n: want for n, _, want in masks}
 
 
 def test_empty(spark):

@@ -113,15 +113,27 @@ def format_chats(rows: DataFrame) -> DataFrame:
     )
 
 
+def loss_text(formatted: Column, loss_mask: Column) -> Column:
+    """All text under the loss mask, cut from the formatted text run by run and unescaped where its turn is marked; nothing between."""
+
+    def step(acc: Column, run: Column) -> Column:
+        body = F.substring(formatted, acc["at"] + 1, run["chars"])
+        mark = F.substring(formatted, acc["at"] - 2, F.lit(1)) == "!"  # of "[OUT!] ", right before the text
+        parts = F.when(run["loss"], F.array_append(acc["parts"], F.when(mark, unescape(body)).otherwise(body))).otherwise(acc["parts"])
+        return F.struct((acc["at"] + run["chars"]).alias("at"), parts.alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(loss_mask, zero, step, lambda acc: F.array_join(acc["parts"], ""))
+
+
 def digests(rows: DataFrame) -> DataFrame:
-    """Digests of what is read back from the formatted text."""
+    """Digests of what is read back from the formatted text: the turns by the grammar, the loss text under the loss mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
-    return format_chats(rows).select(
+    return format_chats(rows).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_mask"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
