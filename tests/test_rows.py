@@ -71,3 +71,19 @@ def test_patterns_meet_codes_without_event_name(spark):
         assert sorted(x.subject_id for x in one) == found[r.concept]
         named = [x.subject_id for e in {e for _, e in rows if e} for x in extract_simple(df, ConceptSpec(r.concept), [Mapping("t", r.pattern, e)]).collect()]
         assert sorted(named) == [i for i in found[r.concept] if rows[i][1]]
+
+
+def test_mappings_share_one_scan(spark, tmp_path):
+    rows = [(1, "A//x", "A", "t", 2.0, "u"), (2, "B//x", "B", "t", 4.0, None), (3, "A//y", "A", "other", 8.0, "u"), (4, None, "A", "t", 1.0, "u")]
+    df = spark.createDataFrame(rows, "subject_id long, code string, event string, table string, numeric_value float, flag string")
+    df.selectExpr("*", "timestamp_ntz '2024-01-01' as time", "'w' as text_value").write.parquet(f"{tmp_path}/e")
+    mappings = [
+        Mapping("t", "x$", None, {}, F.col("numeric_value") * 10, F.col("flag"), {"flag": F.concat("flag", F.lit("!")), "size": F.lit(1)}),
+        Mapping("t", "^A//", "A", {"flag": "^u$"}, F.col("numeric_value"), extensions={"size": F.lit("big")}, filters=[F.col("numeric_value") > 1]),
+        Mapping("other", "y", "A", {}, F.col("numeric_value"), filters=[F.col("text_value").isNull()]),
+        Mapping("t", "nothing"),
+    ]
+    out = extract_simple(spark.read.parquet(f"{tmp_path}/e"), ConceptSpec("C", low=0, high=30, extensions=("flag", "size", "none")), mappings)
+    got = sorted(((r.subject_id, r.numeric_value, r.text_value, r.flag, r["size"], r.none) for r in out.collect()), key=str)
+    assert got == [(1, 2.0, None, "u", "big", None), (1, 20.0, "u!", "u!", "1", None), (2, None, None, None, "1", None), (3, 8.0, None, "u", None, None)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

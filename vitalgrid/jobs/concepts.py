@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from vitalgrid.functions.codes import matches, without_name
 from vitalgrid.operators.joins import join_concepts
 from vitalgrid.operators.rows import keep, limited
 from vitalgrid.schema import EVENT
-from vitalgrid.sources.writers import union_all
 
 
 @dataclass(frozen=True)
@@ -53,22 +53,39 @@ def finish(df: DataFrame, spec: ConceptSpec) -> DataFrame:
 
 
 def extract_simple(events: DataFrame, spec: ConceptSpec, mappings: list[Mapping]) -> DataFrame:
-    """The concept from events (core columns, extensions, dataset, version, table, event): one part for each mapping."""
-    parts = []
-    for m in mappings:
-        df = events.where(F.col("table") == m.table)
-        if m.event is not None:
-            df = df.where(F.col("event") == m.event)
-            df = df.where(matches(F.col("code"), m.pattern, m.event))
-        else:
-            df = df.where(matches(F.col("code"), m.pattern, F.col("event")))
-        df = keep(df, *[F.col(c).rlike(p) for c, p in m.patterns.items()])
-        df = df.withColumns(m.extensions) if m.extensions else df
-        numeric = F.lit(None) if m.numeric_value is None else m.numeric_value
-        text = F.lit(None) if m.text_value is None else m.text_value
-        df = df.withColumn("numeric_value", numeric.try_cast("double").cast("float")).withColumn("text_value", text.cast("string"))
-        parts.append(finish(keep(df, *m.filters), spec))
-    return union_all(parts)
+    """The concept from events (core columns, extensions, dataset, version, table, event): a row for each mapping that an event meets.
+
+    The events are read once, whatever the number of mappings.  An extension that mappings give in different types is text.
+    """
+    met = []
+    for k, m in enumerate(mappings):
+        found = [F.col("table") == m.table, matches(F.col("code"), m.pattern, F.col("event") if m.event is None else m.event)]
+        found += [] if m.event is None else [F.col("event") == m.event]
+        found += [F.col(c).rlike(p) for c, p in m.patterns.items()]
+        met.append(F.when(reduce(Column.__and__, found), k))
+    df = events.where(F.col("table").isin(sorted({m.table for m in mappings})))
+    df = df.select("*", F.explode(F.array_compact(F.array(*met))).alias("__mapping"))
+
+    def chosen(of: dict[int, Column], otherwise: Column) -> Column:
+        out = otherwise
+        for k, c in of.items():
+            out = F.when(F.col("__mapping") == k, c).otherwise(out)
+        return out
+
+    made = {}
+    for name in dict.fromkeys(c for m in mappings for c in m.extensions):
+        of = {k: m.extensions[name] for k, m in enumerate(mappings) if name in m.extensions}
+        have = [F.col(name)] if name in events.columns else []
+        if len({df.select(c).schema[0].dataType for c in [*of.values(), *have]}) > 1:
+            of, have = {k: c.cast("string") for k, c in of.items()}, [c.cast("string") for c in have]
+        made[name] = chosen(of, have[0] if have else F.lit(None))
+    df = df.withColumns(made) if made else df
+    nothing = F.lit(None)
+    number = {k: m.numeric_value.try_cast("double").cast("float") for k, m in enumerate(mappings) if m.numeric_value is not None}
+    text = {k: m.text_value.cast("string") for k, m in enumerate(mappings) if m.text_value is not None}
+    df = df.withColumn("numeric_value", chosen(number, nothing.cast("float"))).withColumn("text_value", chosen(text, nothing.cast("string")))
+    wanted = {k: reduce(Column.__and__, m.filters) for k, m in enumerate(mappings) if m.filters}
+    return finish(df.where(chosen(wanted, F.lit(True))) if wanted else df, spec)
 
 
 def extract_derived(tables: list[DataFrame], spec: ConceptSpec, numeric_value: Column, how: str = "full", suffixes: list[str] | None = None, filters: list[Column] | None = None, drop_right_only: bool = False) -> DataFrame:
