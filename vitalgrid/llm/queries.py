@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import chat_format, html_extract, langid, line_dedup, mixing, ngram_join, periodic_runs, quality, sentencepiece_bpe, topk, warc
+from vitalgrid.llm import chat_format, html_extract, langid, line_dedup, mixing, ngram_join, periodic_runs, quality, sentencepiece_bpe, shard_tree, topk, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -130,6 +130,39 @@ CRC_TABLE = """crc_table AS (
 )"""
 
 
+SHARDS = 40
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.assignments(_read(spark, sf_dir, "documents"), SHARDS)
+
+
+_DRAW = "(-ln((('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, 'null'), '@', name)), 1, 13))::BIGINT + 0.5) / 4503599627370496)) / weight"
+
+OP11_SQL = f"""
+WITH {CRC_TABLE}, d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents, crc_table
+), ids AS (SELECT DISTINCT doc_id FROM d
+), regions AS (SELECT concat('r', r) AS name, 10 AS weight, r AS region, NULL AS added FROM range(4) x(r)
+), racks AS (SELECT r AS region, k AS rack, concat('r', r, '.k', k) AS name, 5 AS weight FROM range(4) x(r), range(2) y(k)
+), leaves AS (
+  SELECT r AS region, k AS rack, (r * 2 + k) * 5 + s AS shard, concat('r', r, '.k', k, '.', (r * 2 + k) * 5 + s) AS name, 1 AS weight FROM range(4) x(r), range(2) y(k), range(5) z(s)
+), top AS (
+  SELECT doc_id, arg_min(region, {_DRAW}) AS region, min({_DRAW}) AS least FROM ids, regions GROUP BY doc_id
+), middle AS (
+  SELECT doc_id, region, least, arg_min(rack, {_DRAW}) AS rack FROM top JOIN racks USING (region) GROUP BY doc_id, region, least
+), placed AS (
+  SELECT doc_id, least, arg_min(shard, {_DRAW}) AS shard FROM middle JOIN leaves USING (region, rack) GROUP BY doc_id, least
+), grown AS (
+  SELECT doc_id, shard, CASE WHEN {_DRAW} < least THEN 40 ELSE shard END AS grown_shard FROM (SELECT *, '+40' AS name, 1 AS weight FROM placed)
+)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM d JOIN grown b ON d.doc_id IS NOT DISTINCT FROM b.doc_id
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(_read(spark, sf_dir, "documents"))
 
@@ -180,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_sharding": op11_sharding,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -187,5 +221,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_topk": OP2_SQL,
     "op5_chat_format": OP5_SQL,
     "op10_ngram_join": OP10_SQL,
+    "op11_sharding": OP11_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
