@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import chat_format, html_extract, langid, line_dedup, mixing, ngram_join, periodic_runs, quality, sentencepiece_bpe, shard_tree, topk, warc
+from vitalgrid.llm import chat_format, html_extract, langid, line_dedup, mixing, ngram_join, periodic_runs, quality, sentencepiece_bpe, shard_tree, spelling, topk, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -163,6 +163,35 @@ FROM d JOIN grown b ON d.doc_id IS NOT DISTINCT FROM b.doc_id
 """
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+), hashed AS (SELECT run, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM runs, crc_table
+), altered AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM hashed
+), words AS (SELECT word, count(*) AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+), less AS (
+  SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM less x JOIN less y ON x.d = y.d AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM less x JOIN words y ON x.d = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM less x JOIN words y ON x.d = y.word
+), best AS (
+  SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND r = 1
+), chain AS (
+  SELECT word, word AS root, form AS up FROM forms UNION ALL SELECT c.word, c.up, f.form FROM chain c JOIN forms f ON f.word = c.up
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.up IS NULL
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(_read(spark, sf_dir, "documents"))
 
@@ -214,6 +243,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
     "op11_sharding": op11_sharding,
+    "op12_spelling": op12_spelling,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -222,5 +252,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op10_ngram_join": OP10_SQL,
     "op11_sharding": OP11_SQL,
+    "op12_spelling": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
