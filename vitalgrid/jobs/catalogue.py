@@ -648,6 +648,32 @@ def segmented_sum(spark, sf_dir):
     return _aligned(spark, sf_dir, grid.SegmentedRollingSum(window="24h", gap="20h")).withColumn("x", F.round(F.col("x").cast("double"), 2))
 
 
+#: The same with half of all events given to one subject.
+HOT_GRID = GRID.replace("user_id AS subject_id", "CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS subject_id")
+HOT_ROWS = 1000
+
+
+@query(
+    f"""WITH g AS ({HOT_GRID}), r AS (SELECT *, last_value(c IGNORE NULLS) OVER {RUN} AS last_c, max(CASE WHEN c IS NOT NULL THEN time END) OVER {RUN} AS last_at FROM g)
+    SELECT r.subject_id, r.time, round(sum(c::DOUBLE) OVER {_window(DAY_US - 1)}, 2) AS total, min(c) OVER {_window(7 * DAY_US - 1)} AS low, max(c) OVER {_window(DAY_US // 24 - 1)} AS high,
+    round(avg(c::DOUBLE) OVER {_window(DAY_US // 2 - 1)}, 3) AS mean, CASE WHEN last_at >= r.time - INTERVAL '6 hours' THEN last_c END AS recent, round(q.x, 2) AS covered
+    FROM r JOIN ({_segmented_sql('c', 'pc', 24, 20)}) q USING (subject_id, time)"""
+)
+def hot_subject_windows(spark, sf_dir):
+    def moved(kind: str, value) -> DataFrame:
+        e = _t(spark, sf_dir, "events").where(F.col("event_type") == kind)
+        return e.select(F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")).alias("subject_id"), F.col("ts").alias("time"), value.cast("float").alias("numeric_value"))
+
+    sources = {"view": moved("view", F.col("value")), "click": moved("click", F.when(F.col("event_id") % 3 != 0, F.col("value")))}
+    inputs = {
+        "total": grid.RollingSum("click", "24h"), "low": grid.RollingMin("click", "7d"), "high": grid.RollingMax("click", "1h"), "mean": grid.RollingMean("click", "12h"),
+        "recent": grid.WindowedLocf("click", "6h"), "covered": grid.SegmentedRollingSum("click", "24h", gap="20h"), "other": grid.Locf("view"),
+    }
+    df = grid.align(sources, inputs, HOT_ROWS)
+    rounded = {c: F.round(F.col(c).cast("double"), n) for c, n in (("total", 2), ("mean", 3), ("covered", 2))}
+    return df.select("subject_id", "time", *[rounded.get(c, F.col(c)).alias(c) for c in inputs if c != "other"])
+
+
 @query(f"WITH g AS ({GRID}), r AS (SELECT subject_id, time, pv, max(c) OVER {_window(DAY_US - 1)} AS x FROM g), d AS (SELECT subject_id, date_trunc('day', time)::TIMESTAMP AS time, first(x ORDER BY time) AS numeric_value FROM r WHERE pv AND x IS NOT NULL GROUP BY 1, 2) SELECT * FROM d")
 def event_time_override(spark, sf_dir):
     inputs = {"x": grid.RollingMax("click", "24h"), "other": grid.Locf("view")}

@@ -1,7 +1,14 @@
-"""Irregular measurements on one grid per subject, with trailing windows.
+"""Irregular measurements on one grid per subject, with trailing windows, in time proportional to the rows.
 
 All sources go through one union and one shuffle by subject: the group-by on (subject, time) and every
 window after it use the same partitioning.  Times are compared in microseconds.
+
+What is carried forward is a running last.  A window of length w is two running aggregates over blocks of length w: what the row's own block holds up
+to it, and what the block before holds later than w ago.  For the second each value also stands w later, where it expires, and
+the block is gone through backwards.  So no frame slides, and no sum is made by subtracting.
+
+Subjects with very many rows may be cut into segments of time (``hot_rows``): each running aggregate is then made in every segment by itself
+and completed by what the segments before it have in all.
 """
 
 from __future__ import annotations
@@ -14,14 +21,103 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.times import from_us, to_us, window_us
+from vitalgrid.sources.shared import scratch
+
+MAX_CUTS = 100_000  # segments of all subjects, which every task may hold
+SUBJECT_CUTS = 1000  # of one subject
 
 
-def by_time():
-    return Window.partitionBy("subject_id").orderBy("t")
+@dataclass(frozen=True)
+class Run:
+    """A running aggregate of a subject's rows by time: sum, min, max or last (known value).
 
+    ``backwards`` goes from the latest row to the earliest, ``block`` begins anew in each block, ``before`` leaves out the row itself.
+    """
 
-def so_far():
-    return by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    op: str
+    value: Column
+    backwards: bool = False
+    block: bool = False
+    before: bool = False
+
+    def over(self, *keys: str) -> Column:
+        order = (F.col("t").desc(), F.col("late")) if self.backwards else (F.col("t"),)
+        w = Window.partitionBy(*keys, *(["block"] if self.block else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if self.before else 0)
+        return _AGGREGATES[self.op](self.value).over(w)
+
+
+def _both(op: str, a: Column, b: Column) -> Column:
+    """Of two parts of a window, either of which may be empty (null); of two last values the second."""
+    if op == "sum":
+        return F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return {"min": F.least, "max": F.greatest, "last": lambda x, y: F.coalesce(y, x)}[op](a, b)
+
+
+_AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, True)}
+
+
+class Plain:
+    """Every subject's rows lie together; nothing is shuffled or written."""
+
+    def place(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def run(self, df: DataFrame, runs: dict[str, Run]) -> DataFrame:
+        return df.withColumns({name: r.over("subject_id") for name, r in runs.items()})
+
+
+class Segments:
+    """Subjects with more than ``hot_rows`` rows are cut at quantiles of their times; others are one segment each."""
+
+    def __init__(self, grid: DataFrame, hot_rows: int):
+        per_subject = grid.groupBy("subject_id").agg(F.count("*").alias("n"))
+        total = per_subject.agg(F.sum("n")).first()[0] or 0
+        self.rows = max(hot_rows, -(-total // MAX_CUTS))
+        hot = per_subject.where(F.col("n") > self.rows)
+        steps = [i / SUBJECT_CUTS for i in range(1, SUBJECT_CUTS)]
+        every = grid.join(F.broadcast(hot), "subject_id").groupBy("subject_id").agg(F.first("n").alias("n"), F.percentile_approx("t", steps, 10 * SUBJECT_CUTS).alias("at"))
+        # as many of the quantiles as give segments of about the wanted size
+        step = F.greatest(F.lit(1), F.floor(F.lit(SUBJECT_CUTS) * self.rows / F.col("n")).cast("int"))
+        cuts = every.select("subject_id", F.array_distinct(F.filter("at", lambda x, i: F.pmod(i + 1, step) == 0)).alias("cuts"))
+        self.cuts = _written(cuts, "grid-cuts")
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Rows with their segment, dealt by it and written, so that they can be gone through twice."""
+        out = df.drop("segment", "cut").join(F.broadcast(self.cuts), "subject_id", "left").withColumn("cut", F.col("cuts").isNotNull())
+        out = out.withColumn("segment", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("t"))), F.lit(0))).drop("cuts")
+        return _written(out.repartition("subject_id", "segment"), "grid-segments")
+
+    def run(self, df: DataFrame, runs: dict[str, Run]) -> DataFrame:
+        out = df.withColumns({name: r.over("subject_id", "segment") for name, r in runs.items()})
+        for block in (False, True):
+            for backwards in (False, True):
+                some = {n: r for n, r in runs.items() if (r.block, r.backwards) == (block, backwards)}
+                if some:
+                    out = self._carry(df, out, some, block, backwards)
+        return out
+
+    def _carry(self, df: DataFrame, out: DataFrame, runs: dict[str, Run], block: bool, backwards: bool) -> DataFrame:
+        """Complete the runs of one kind by what the segments before hold in all, of the same block where runs begin anew in each."""
+        keys = ["subject_id", "segment"] + (["block"] if block else [])
+        at = F.struct((-F.col("t") if backwards else F.col("t")).alias("at"), F.lit(0).alias("none"))
+        whole = lambda r: F.max_by(F.when(r.value.isNotNull(), r.value), F.when(r.value.isNotNull(), at)) if r.op == "last" else _AGGREGATES[r.op](r.value)
+        totals = df.where("cut").groupBy(*keys).agg(*[whole(r).alias(n) for n, r in runs.items()])
+        if block:  # only a segment's first and last block can reach into another segment
+            ends = Window.partitionBy("subject_id", "segment")
+            totals = totals.withColumns({"low": F.min("block").over(ends), "high": F.max("block").over(ends)}).where("block in (low, high)").drop("low", "high")
+        order = F.col("segment").desc() if backwards else F.col("segment")
+        earlier = Window.partitionBy("subject_id", *(["block"] if block else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select("subject_id", "segment", *(["block"] if block else []), *[_AGGREGATES[r.op](n).over(earlier).alias(f"before_{n}") for n, r in runs.items()])
+        carried = carried.where(reduce(lambda a, b: a | b, [F.col(f"before_{n}").isNotNull() for n in runs]))
+        out = out.join(F.broadcast(carried), keys, "left")  # two rows a segment at most, and MAX_CUTS segments
+        done = {n: _both(r.op, F.col(f"before_{n}"), F.col(n)) for n, r in runs.items()}
+        return out.withColumns(done).drop(*[f"before_{n}" for n in runs])
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -42,32 +138,46 @@ class Input:
         """The instant's value; several known ones give the largest, whatever their order."""
         return F.max(value)
 
-    def align(self, df: DataFrame, name: str, value: str, seen: str) -> DataFrame:
+    def rolls(self, value: str) -> dict[str, tuple[str, Column]]:
+        """Aggregates over (t - window, t], by suffix."""
+        return {}
+
+    def runs(self, value: str, seen: str) -> dict[str, Run]:
+        """Running aggregates over all rows so far, by suffix."""
+        return {}
+
+    def later(self, name: str, seen: str) -> dict[str, Run]:
+        """Running aggregates that need the first ones."""
+        return {}
+
+    def result(self, name: str) -> Column:
+        """The input's value from the columns ``name`` + suffix."""
         raise NotImplementedError
 
     def recent(self, since: Column) -> Column:
         return since >= F.col("t") - self.us
 
-    def frame(self):
-        """(t - window, t]"""
-        return by_time().rangeBetween(-(self.us - 1), 0)
-
 
 @dataclass(frozen=True)
 class Locf(Input):
     """Last known value, for ever."""
 
-    def align(self, df, name, value, seen):
-        return df.withColumn(name, F.last(value, True).over(so_far()))
+    def runs(self, value, seen):
+        return {"__last": Run("last", F.col(value))}
+
+    def result(self, name):
+        return F.col(f"{name}__last")
 
 
 @dataclass(frozen=True)
 class WindowedLocf(Input):
     """Last known value, no older than the window (its far end included)."""
 
-    def align(self, df, name, value, seen):
-        last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("at"), F.col(value).alias("v"))), True).over(so_far())
-        return df.withColumn("__last", last).withColumn(name, F.when(self.recent(F.col("__last.at")), F.col("__last.v"))).drop("__last")
+    def runs(self, value, seen):
+        return {"__last": Run("last", F.when(F.col(value).isNotNull(), F.struct(F.col("t").alias("at"), F.col(value).alias("v"))))}
+
+    def result(self, name):
+        return F.when(self.recent(F.col(f"{name}__last.at")), F.col(f"{name}__last.v"))
 
 
 @dataclass(frozen=True)
@@ -77,15 +187,20 @@ class RollingSum(Input):
     def merge(self, value):
         return F.sum(value)
 
-    def align(self, df, name, value, seen):
-        s = F.sum(value).over(self.frame())
-        return df.withColumn(name, F.coalesce(s, F.lit(0.0)) if self.missing_is_zero else s)
+    def rolls(self, value):
+        return {"__sum": ("sum", F.col(value))}
+
+    def result(self, name):
+        return F.coalesce(f"{name}__sum", F.lit(0.0)) if self.missing_is_zero else F.col(f"{name}__sum")
 
 
 @dataclass(frozen=True)
 class RollingMax(Input):
-    def align(self, df, name, value, seen):
-        return df.withColumn(name, F.max(value).over(self.frame()))
+    def rolls(self, value):
+        return {"__max": ("max", F.col(value))}
+
+    def result(self, name):
+        return F.col(f"{name}__max")
 
 
 @dataclass(frozen=True)
@@ -93,8 +208,11 @@ class RollingMin(Input):
     def merge(self, value):
         return F.min(value)
 
-    def align(self, df, name, value, seen):
-        return df.withColumn(name, F.min(value).over(self.frame()))
+    def rolls(self, value):
+        return {"__min": ("min", F.col(value))}
+
+    def result(self, name):
+        return F.col(f"{name}__min")
 
 
 @dataclass(frozen=True)
@@ -104,28 +222,37 @@ class RollingMean(Input):
     def merge(self, value):
         return F.avg(value)
 
-    def align(self, df, name, value, seen):
-        return df.withColumn(name, F.avg(value).over(self.frame()))
+    def rolls(self, value):
+        return {"__sum": ("sum", F.col(value)), "__n": ("sum", F.when(F.col(value).isNotNull(), 1))}
+
+    def result(self, name):
+        return F.col(f"{name}__sum") / F.col(f"{name}__n")
 
 
-def _last_seen(seen: str) -> Column:
-    return F.max(F.when(F.col(seen), F.col("t"))).over(so_far())
+def _last_seen(seen: str, before: bool = False) -> Run:
+    return Run("max", F.when(F.col(seen), F.col("t")), before=before)
 
 
 @dataclass(frozen=True)
 class Exists(Input):
     """Whether any row, known or not, lies in [t - window, t]."""
 
-    def align(self, df, name, value, seen):
-        return df.withColumn(name, F.coalesce(self.recent(_last_seen(seen)), F.lit(False)))
+    def runs(self, value, seen):
+        return {"__last": _last_seen(seen)}
+
+    def result(self, name):
+        return F.coalesce(self.recent(F.col(f"{name}__last")), F.lit(False))
 
 
 @dataclass(frozen=True)
 class LastEventTime(Input):
     """Time of the newest row in [t - window, t]."""
 
-    def align(self, df, name, value, seen):
-        return df.withColumn("__last", _last_seen(seen)).withColumn(name, F.when(self.recent(F.col("__last")), from_us(F.col("__last")))).drop("__last")
+    def runs(self, value, seen):
+        return {"__last": _last_seen(seen)}
+
+    def result(self, name):
+        return F.when(self.recent(F.col(f"{name}__last")), from_us(F.col(f"{name}__last")))
 
 
 @dataclass(frozen=True)
@@ -134,13 +261,54 @@ class SegmentedRollingSum(RollingSum):
 
     gap: str | None = None
 
-    def align(self, df, name, value, seen):
-        gap = window_us(self.gap or self.window)
-        df = df.withColumn("__last", _last_seen(seen)).withColumn("__before", F.lag("__last").over(by_time()))
-        opens = F.col(seen) & (F.col("__before").isNull() | (F.col("__before") < F.col("t") - gap))
-        df = df.withColumn("__start", F.max(F.when(opens, F.col("t"))).over(so_far())).withColumn("__sum", F.coalesce(F.sum(value).over(self.frame()), F.lit(0.0)))
-        covered = (F.col("__start") <= F.col("t") - self.us) & (F.col("__last") >= F.col("t") - gap)
-        return df.withColumn(name, F.when(covered, F.col("__sum"))).drop("__last", "__before", "__start", "__sum")
+    @property
+    def gap_us(self) -> int:
+        return window_us(self.gap or self.window)
+
+    def runs(self, value, seen):
+        return {"__last": _last_seen(seen), "__before": _last_seen(seen, before=True)}
+
+    def later(self, name, seen):
+        before = F.col(f"{name}__before")
+        opens = F.col(seen) & (before.isNull() | (before < F.col("t") - self.gap_us))
+        return {"__start": Run("max", F.when(opens, F.col("t")))}
+
+    def result(self, name):
+        covered = (F.col(f"{name}__start") <= F.col("t") - self.us) & (F.col(f"{name}__last") >= F.col("t") - self.gap_us)
+        return F.when(covered, F.coalesce(f"{name}__sum", F.lit(0.0)))
+
+
+def rolled(df: DataFrame, us: int, rolls: dict[str, tuple[str, Column]], how: Plain | Segments) -> DataFrame:
+    """``df`` (subject_id, t, ...; one row an instant) with aggregates over (t - us, t]."""
+    some = reduce(lambda a, b: a | b, [v.isNotNull() for _, v in rolls.values()])
+    out = df.select("*", F.explode(F.when(some, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("late"))
+    out = how.place(out.withColumn("t", F.when(F.col("late"), F.col("t") + us).otherwise(F.col("t")))).withColumn("block", F.floor(F.col("t") / us))
+    earlier = {f"{n}__a": Run(op, F.when(F.col("late"), v), backwards=True, block=True) for n, (op, v) in rolls.items()}
+    own = {f"{n}__b": Run(op, F.when(~F.col("late"), v), block=True) for n, (op, v) in rolls.items()}
+    if isinstance(how, Plain):  # the expiring copies need not be sorted twice
+        out = how.run(how.run(out, earlier).where("not late"), own)
+    else:
+        out = how.run(out, {**earlier, **own}).where("not late")
+    made = {n: _both(op, F.col(f"{n}__a"), F.col(f"{n}__b")) for n, (op, _) in rolls.items()}
+    return out.withColumns(made).drop("late", "block", *earlier, *own)
+
+
+def carried(df: DataFrame, inputs: dict[str, tuple[Input, str, str]], how: Plain | Segments) -> DataFrame:
+    """``df`` (subject_id, t, ...) with each input's value, given by name as (input, value column, presence column)."""
+    by_length: dict[int, dict[str, tuple[str, Column]]] = {}
+    for name, (i, value, _) in inputs.items():
+        for suffix, roll in i.rolls(value).items():
+            by_length.setdefault(i.us, {})[name + suffix] = roll
+    for us, rolls in by_length.items():
+        df = rolled(df, us, rolls, how)
+    for stage in ("runs", "later"):
+        runs = {}
+        for name, (i, value, seen) in inputs.items():
+            runs |= {name + suffix: r for suffix, r in (i.runs(value, seen) if stage == "runs" else i.later(name, seen)).items()}
+        if runs:
+            df = how.run(how.place(df), runs)
+    df = df.withColumns({name: i.result(name) for name, (i, _, _) in inputs.items()})
+    return df.drop(*[name + s for name, (i, v, seen) in inputs.items() for s in (*i.rolls(v), *i.runs(v, seen), *i.later(name, seen))])
 
 
 #: Concepts by name, or one long table (subject_id, time, concept, numeric_value) of all of them, which is scanned once.
@@ -151,10 +319,11 @@ def _rows(df: DataFrame, source: Column) -> DataFrame:
     return df.select(F.col("subject_id").cast("long").alias("subject_id"), to_us(F.col("time")).alias("t"), F.col("numeric_value").cast("float").alias("v"), source.alias("s"))
 
 
-def build_grid(sources: Sources, inputs: dict[str, Input]) -> DataFrame:
+def build_grid(sources: Sources, inputs: dict[str, Input], by_subject: bool = True) -> DataFrame:
     """(subject_id, t, value and presence of each input): one row for each instant of any source; rows without key are left out.
 
-    A source that several inputs use is read once; one that is not given was never measured.
+    A source that several inputs use is read once; one that is not given was never measured.  A subject's rows lie together, or (not
+    ``by_subject``) just those of an instant.
     """
     of = {name: i.source or name for name, i in inputs.items()}
     used = list(dict.fromkeys(of.values()))
@@ -165,7 +334,8 @@ def build_grid(sources: Sources, inputs: dict[str, Input]) -> DataFrame:
         if not used:
             raise ValueError("none of the inputs' sources is given")
         long = reduce(DataFrame.unionByName, [_rows(sources[s], F.lit(s)) for s in used])
-    long = long.where(F.col("subject_id").isNotNull() & F.col("t").isNotNull()).repartition("subject_id")
+    long = long.where(F.col("subject_id").isNotNull() & F.col("t").isNotNull())
+    long = long.repartition("subject_id") if by_subject else long
     made = []
     for name, i in inputs.items():
         mine = F.col("s") == of[name]
@@ -176,11 +346,22 @@ def build_grid(sources: Sources, inputs: dict[str, Input]) -> DataFrame:
     return long.groupBy("subject_id", "t").agg(*made)
 
 
-def align(sources: Sources, inputs: dict[str, Input]) -> DataFrame:
-    """The grid with every input carried onto each instant, beside its presence flag seen_*."""
-    df = build_grid(sources, inputs)
-    for name, i in inputs.items():
-        df = i.align(df, name, f"v_{name}", f"seen_{name}")
+def _ways(sources: Sources, inputs: dict[str, Input], hot_rows: int | None) -> tuple[DataFrame, Plain | Segments]:
+    """The grid, and how running aggregates go over it."""
+    if hot_rows is None:
+        return build_grid(sources, inputs), Plain()
+    grid = _written(build_grid(sources, inputs, by_subject=False), "grid")
+    return grid, Segments(grid, hot_rows)
+
+
+def align(sources: Sources, inputs: dict[str, Input], hot_rows: int | None = None) -> DataFrame:
+    """The grid with every input carried onto each instant, beside its presence flag seen_*.
+
+    With ``hot_rows`` no task holds a whole subject of more rows: such subjects are cut into segments of about that many rows (at most
+    SUBJECT_CUTS, and MAX_CUTS for all subjects), and the steps between are written to the shared folder.  The result is the same.
+    """
+    df, how = _ways(sources, inputs, hot_rows)
+    df = carried(df, {name: (i, f"v_{name}", f"seen_{name}") for name, i in inputs.items()}, how)
     return df.select("subject_id", from_us(F.col("t")).alias("time"), *inputs, *[f"seen_{n}" for n in inputs])
 
 
@@ -197,6 +378,7 @@ def evaluate(
     triggers: set[str] | None = None,
     event_time: Column | None = None,
     needs: set[str] = frozenset(),
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """(subject_id, time, numeric_value): the result wherever a trigger (default: any input) has a row and the result is known.
 
@@ -204,7 +386,7 @@ def evaluate(
     inside their partitions.  With ``event_time`` the result is dated then; of several at one time the earliest evaluation stays.
     """
     _given(sources, needs)
-    df = align(sources, inputs)
+    df = align(sources, inputs, hot_rows)
     measured = reduce(lambda a, b: a | b, [F.col(f"seen_{n}") for n in (triggers or inputs)])
     df = df.where(measured).withColumn("numeric_value", result.cast("float")).where(F.col("numeric_value").isNotNull())
     if event_time is not None:
@@ -223,11 +405,11 @@ class Score:
     triggers: frozenset[str] | None = None
     needs: frozenset[str] = frozenset()
 
-    def over(self, sources: Sources) -> DataFrame:
-        return evaluate(sources, self.inputs, self.result, self.triggers, needs=self.needs)
+    def over(self, sources: Sources, hot_rows: int | None = None) -> DataFrame:
+        return evaluate(sources, self.inputs, self.result, self.triggers, needs=self.needs, hot_rows=hot_rows)
 
 
-def evaluate_together(sources: Sources, parts: dict[str, Score], window: str, result: Column) -> DataFrame:
+def evaluate_together(sources: Sources, parts: dict[str, Score], window: str, result: Column, hot_rows: int | None = None) -> DataFrame:
     """(subject_id, time, numeric_value): a result over the current values of several scores, none older than the window.
 
     It gives the rows of evaluating each score and then the result over them, but the sources are shuffled once, by subject,
@@ -235,15 +417,14 @@ def evaluate_together(sources: Sources, parts: dict[str, Score], window: str, re
     """
     for p in parts.values():
         _given(sources, p.needs)
-    df = build_grid(sources, {f"{part}__{name}": i.of(i.source or name) for part, p in parts.items() for name, i in p.inputs.items()})
+    inputs = {f"{part}__{name}": i.of(i.source or name) for part, p in parts.items() for name, i in p.inputs.items()}
+    df, how = _ways(sources, inputs, hot_rows)
+    df = carried(df, {name: (i, f"v_{name}", f"seen_{name}") for name, i in inputs.items()}, how)
     for part, p in parts.items():
-        for name, i in p.inputs.items():
-            df = i.align(df, name, f"v_{part}__{name}", f"seen_{part}__{name}")
         measured = reduce(lambda a, b: a | b, [F.col(f"seen_{part}__{n}") for n in (p.triggers or p.inputs)])
-        df = df.withColumn(part, F.when(measured, p.result.cast("float"))).drop(*p.inputs)
+        df = df.withColumns({n: F.col(f"{part}__{n}") for n in p.inputs}).withColumn(part, F.when(measured, p.result.cast("float"))).drop(*p.inputs)
     known = reduce(lambda a, b: a | b, [F.col(part).isNotNull() for part in parts])
     df = df.select("subject_id", "t", *parts).where(known)
-    for part in parts:
-        df = WindowedLocf(window=window).align(df, part, part, part)
+    df = carried(df.withColumnsRenamed({part: f"v_{part}" for part in parts}), {part: (WindowedLocf(window=window), f"v_{part}", "") for part in parts}, how)
     df = df.select("subject_id", from_us(F.col("t")).alias("time"), result.cast("float").alias("numeric_value"))
     return df.where(F.col("numeric_value").isNotNull()).sortWithinPartitions("subject_id", "time")

@@ -43,8 +43,8 @@ def over(score: Callable[..., Score]) -> Callable[..., DataFrame]:
     """The score as a function of its sources and options."""
 
     @wraps(score)
-    def run(sources: Sources, *args, **options) -> DataFrame:
-        return score(*args, **options).over(sources)
+    def run(sources: Sources, *args, hot_rows: int | None = None, **options) -> DataFrame:
+        return score(*args, **options).over(sources, hot_rows)
 
     return run
 
@@ -114,10 +114,10 @@ SOFA = {
 sofa_renal, sofa_coagulation, sofa_liver, sofa_cns, sofa_cardiovascular, sofa_respiratory = (over(s) for s in SOFA.values())
 
 
-def sofa_total(sources: Sources, window: str = DAY) -> DataFrame:
-    """Sum of the organ scores' current values; one that is missing counts as 0.  All from one grid."""
+def sofa_total(sources: Sources, window: str = DAY, hot_rows: int | None = None) -> DataFrame:
+    """Sum of the organ scores' current values; one that is missing counts as 0.  All from one grid; ``hot_rows`` as in ``grid.align``."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(n), f32(0)) for n in SOFA])
-    return evaluate_together(sources, {name: score(window) for name, score in SOFA.items()}, window, total)
+    return evaluate_together(sources, {name: score(window) for name, score in SOFA.items()}, window, total, hot_rows)
 
 
 def aki_creatinine_score(window: str = DAY, baseline_window: str = "7d", acute_window: str = "48h", require_acute_rise: bool = True) -> Score:
@@ -151,7 +151,7 @@ def aki_urine_output_score(urine_output_gap: str | None = None, weight_concept:
 aki_creatinine, aki_urine_output = over(aki_creatinine_score), over(aki_urine_output_score)
 
 
-def aki_stage(sources: Sources, window: str = DAY, urine_output_gap: str | None = None) -> DataFrame:
-    """Larger of the current stages by creatinine and by urine output.  Both from one grid."""
+def aki_stage(sources: Sources, window: str = DAY, urine_output_gap: str | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Larger of the current stages by creatinine and by urine output.  Both from one grid; ``hot_rows`` as in ``grid.align``."""
     parts = {"by_creatinine": aki_creatinine_score(window), "by_urine": aki_urine_output_score(urine_output_gap)}
-    return evaluate_together(sources, parts, window, F.greatest(*parts))
+    return evaluate_together(sources, parts, window, F.greatest(*parts), hot_rows)
