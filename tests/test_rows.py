@@ -86,4 +86,5 @@ def test_mappings_share_one_scan(spark, tmp_path):
     out = extract_simple(spark.read.parquet(f"{tmp_path}/e"), ConceptSpec("C", low=0, high=30, extensions=("flag", "size", "none")), mappings)
     got = sorted(((r.subject_id, r.numeric_value, r.text_value, r.flag, r["size"], r.none) for r in out.collect()), key=str)
     assert got == [(1, 2.0, None, "u", "big", None), (1, 20.0, "u!", "u!", "1", None), (2, None, None, None, "1", None), (3, 8.0, None, "u", None, None)]
-    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    # the codes that are met come from a table of their own; the events are scanned once for the rows
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("struct<subject_id:bigint") == 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import codes, scalars, times
-from vitalgrid.jobs.concepts import ConceptSpec, Mapping, computed, extract_derived, extract_many, extract_simple, harmonise
+from vitalgrid.jobs.concepts import ConceptSpec, Mapping, computed, extract_concepts, extract_derived, extract_many, extract_simple, harmonise
 from vitalgrid.jobs.extraction import Lookup, TableSpec, anchored, extract_table
 from vitalgrid.operators import grid, joins, rows, scores, sharding
 from vitalgrid.operators.rows import EventSpec
@@ -402,6 +402,31 @@ def concept_from_mappings(spark, sf_dir):
     return extract_simple(_shipments(spark, sf_dir), spec, mappings)
 
 
+@query(
+    f"""WITH e AS ({SHIPMENTS}) SELECT subject_id, time, 'RINGS//pcs' AS code, CASE WHEN numeric_value > 45 THEN NULL ELSE numeric_value END AS numeric_value, text_value, flag, price, 'RINGS' AS concept FROM (
+    SELECT subject_id, time, flag, numeric_value, NULL::VARCHAR AS text_value, NULL::VARCHAR AS price FROM e WHERE event = 'SHIP' AND regexp_matches(code, 'ring//Brand#1[0-9]') AND regexp_matches(flag, '^[AN]$')
+    UNION ALL SELECT subject_id, time, flag, (numeric_value / 10000)::REAL, 'cost', NULL FROM e WHERE regexp_matches(code, '^COST//PROMO') AND numeric_value > 20000)
+    UNION ALL SELECT subject_id, time, 'STEEL' AS code, numeric_value, text_value, NULL, CASE WHEN event = 'COST' THEN 'high' ELSE 'none' END, 'STEEL' FROM (
+    SELECT subject_id, time, CASE WHEN numeric_value < 2 THEN NULL ELSE numeric_value END AS numeric_value, flag AS text_value, event FROM e
+    WHERE event = 'COST' AND (regexp_matches(code, 'STEEL$') OR regexp_matches(substr(code, 7), 'STEEL$')) AND regexp_matches(flag, 'R|N') AND numeric_value > 1000
+    UNION ALL SELECT subject_id, time, CASE WHEN numeric_value < 2 THEN NULL ELSE numeric_value END, NULL, event FROM e
+    WHERE event = 'SHIP' AND (regexp_matches(code, '^widget|gear') OR regexp_matches(substr(code, 7), '^widget|gear')))"""
+)
+def concepts_from_mappings(spark, sf_dir):
+    n = F.col("numeric_value")
+    asked = [
+        (ConceptSpec("RINGS", "pcs", high=45, extensions=("flag",)), [
+            Mapping("lineitem", "ring//Brand#1[0-9]", "SHIP", {"flag": "^[AN]$"}, n),
+            Mapping("lineitem", "^COST//PROMO", None, {}, n / 10000, F.lit("cost"), filters=[n > 2]),
+        ]),
+        (ConceptSpec("STEEL", low=2, extensions=("price",)), [
+            Mapping("lineitem", "STEEL$", "COST", {"flag": "R|N"}, n, F.col("flag"), {"price": F.lit("high")}, [n > 1000]),
+            Mapping("lineitem", "^widget|gear", "SHIP", {}, n, extensions={"price": F.lit("none")}),
+        ]),
+    ]
+    return extract_concepts(_shipments(spark, sf_dir), asked)
+
+
 @query(
     f"""WITH e AS ({SHIPMENTS}), p(concept, pattern) AS (VALUES ('rings', 'ring'), ('widgets', 'widget'), ('cheap', 'Brand#1$'), ('promo', '^COST//PROMO'))
     SELECT subject_id, time, code, concept, numeric_value FROM e JOIN p ON regexp_matches(code, pattern)"""

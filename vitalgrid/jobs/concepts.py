@@ -9,10 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.functions.codes import matches, without_name
+from vitalgrid.functions.codes import without_name
 from vitalgrid.operators.joins import join_concepts
+from vitalgrid.operators.patterns import hits
 from vitalgrid.operators.rows import keep, limited
 from vitalgrid.schema import EVENT
+from vitalgrid.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -52,40 +54,95 @@ def finish(df: DataFrame, spec: ConceptSpec) -> DataFrame:
     return out.select(*core, *[value(c).cast("string").alias(c) for c in spec.extensions])
 
 
-def extract_simple(events: DataFrame, spec: ConceptSpec, mappings: list[Mapping]) -> DataFrame:
-    """The concept from events (core columns, extensions, dataset, version, table, event): a row for each mapping that an event meets.
+def _same(df: DataFrame, by_mapping: dict[int, Column]) -> list[tuple[list[int], Column]]:
+    """Mappings with the same expression together."""
+    groups: dict[tuple[str, str], tuple[list[int], Column]] = {}
+    for k, c in by_mapping.items():
+        groups.setdefault((str(c), df.select(c).schema[0].dataType.simpleString()), ([], c))[0].append(k)
+    return list(groups.values())
 
-    The events are read once, whatever the number of mappings.  An extension that mappings give in different types is text.
-    """
-    met = []
-    for k, m in enumerate(mappings):
-        found = [F.col("table") == m.table, matches(F.col("code"), m.pattern, F.col("event") if m.event is None else m.event)]
-        found += [] if m.event is None else [F.col("event") == m.event]
-        found += [F.col(c).rlike(p) for c, p in m.patterns.items()]
-        met.append(F.when(reduce(Column.__and__, found), k))
-    df = events.where(F.col("table").isin(sorted({m.table for m in mappings})))
-    df = df.select("*", F.explode(F.array_compact(F.array(*met))).alias("__mapping"))
-
-    def chosen(of: dict[int, Column], otherwise: Column) -> Column:
-        out = otherwise
-        for k, c in of.items():
-            out = F.when(F.col("__mapping") == k, c).otherwise(out)
-        return out
 
+def _chosen(df: DataFrame, by_mapping: dict[int, Column], otherwise: Column) -> Column:
+    """The expression of each row's mapping."""
+    out = otherwise
+    for ks, c in _same(df, by_mapping):
+        out = F.when(F.col("__mapping").isin(ks), c).otherwise(out)
+    return out
+
+
+HELD_CODES = 500_000  # distinct codes that meet a mapping, with the mappings' numbers: so many fit into every task
+
+
+def _met(events: DataFrame, mappings: list[Mapping]) -> DataFrame:
+    """The events of the mappings' tables with ``__mapping`` for each mapping whose table, event and code pattern they meet.
+
+    Patterns are tried on distinct (event, code) only, those that a literal of theirs points to, and what is met is joined back.
+    """
+    spark = events.sparkSession
+    events = events.where(F.col("table").isin(sorted({m.table for m in mappings})))
+    asked = spark.createDataFrame([(k, m.table, m.event, m.pattern) for k, m in enumerate(mappings)], "__mapping int, m_table string, m_event string, pattern string")
+    names = [m.event for m in mappings]
+    some = events if None in names else events.where(F.col("event").isin(sorted(set(names))))
+    vocabulary = some.select("table", "event", "code").where(F.col("code").isNotNull()).distinct()
+    vocabulary = written(vocabulary.withColumn("bare", without_name(F.col("code"), F.col("event"))), "vocabulary")
+    found = hits(vocabulary.select(F.col("code").alias("text"), "bare").distinct(), asked).withColumnsRenamed({"text": "code", "bare": "__bare"})
+    found = vocabulary.join(found, (vocabulary["code"] == found["code"]) & vocabulary["bare"].eqNullSafe(found["__bare"])).select(vocabulary["table"], vocabulary["event"], vocabulary["code"], "pattern")
+    found = found.join(F.broadcast(asked), "pattern").where((F.col("table") == F.col("m_table")) & (F.col("m_event").isNull() | (F.col("event") == F.col("m_event"))))
+    found = found.groupBy(F.col("table").alias("__table"), F.col("event").alias("__event"), F.col("code").alias("__code")).agg(F.sort_array(F.collect_set("__mapping")).alias("__mappings"))
+    found = written(found, "codes-met")
+    found = F.broadcast(found) if found.count() <= HELD_CODES else found
+    same = (F.col("code") == F.col("__code")) & (F.col("table") == F.col("__table")) & F.col("event").eqNullSafe(F.col("__event"))
+    return events.join(found, same).withColumn("__mapping", F.explode("__mappings")).drop("__table", "__event", "__code", "__mappings")
+
+
+def extract_concepts(events: DataFrame, concepts: list[tuple[ConceptSpec, list[Mapping]]]) -> DataFrame:
+    """All concepts from one table of events (core columns, extensions, dataset, version, table, event), with the column ``concept``.
+
+    Each event gives a row for each mapping that it meets.  Extensions are those that any concept names, as text, and null in rows of
+    the others; an extension that mappings give in different types is text.  Two concepts of one name are an error.
+    """
+    names = [spec.name for spec, _ in concepts]
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"given more than once: {', '.join(twice)}")
+    mappings = [m for _, some in concepts for m in some]
+    of = [i for i, (_, some) in enumerate(concepts) for _ in some]
+    df = _met(events, mappings)
+    for c, p in sorted({(c, p) for m in mappings for c, p in m.patterns.items()}):
+        ks = [k for k, m in enumerate(mappings) if m.patterns.get(c) == p]
+        df = df.where(~F.col("__mapping").isin(ks) | F.coalesce(F.col(c).rlike(p), F.lit(False)))
     made = {}
     for name in dict.fromkeys(c for m in mappings for c in m.extensions):
-        of = {k: m.extensions[name] for k, m in enumerate(mappings) if name in m.extensions}
+        by_mapping = {k: m.extensions[name] for k, m in enumerate(mappings) if name in m.extensions}
         have = [F.col(name)] if name in events.columns else []
-        if len({df.select(c).schema[0].dataType for c in [*of.values(), *have]}) > 1:
-            of, have = {k: c.cast("string") for k, c in of.items()}, [c.cast("string") for c in have]
-        made[name] = chosen(of, have[0] if have else F.lit(None))
+        if len({df.select(c).schema[0].dataType for c in [*by_mapping.values(), *have]}) > 1:
+            by_mapping, have = {k: c.cast("string") for k, c in by_mapping.items()}, [c.cast("string") for c in have]
+        made[name] = _chosen(df, by_mapping, have[0] if have else F.lit(None))
     df = df.withColumns(made) if made else df
-    nothing = F.lit(None)
     number = {k: m.numeric_value.try_cast("double").cast("float") for k, m in enumerate(mappings) if m.numeric_value is not None}
     text = {k: m.text_value.cast("string") for k, m in enumerate(mappings) if m.text_value is not None}
-    df = df.withColumn("numeric_value", chosen(number, nothing.cast("float"))).withColumn("text_value", chosen(text, nothing.cast("string")))
-    wanted = {k: reduce(Column.__and__, m.filters) for k, m in enumerate(mappings) if m.filters}
-    return finish(df.where(chosen(wanted, F.lit(True))) if wanted else df, spec)
+    df = df.withColumn("numeric_value", _chosen(df, number, F.lit(None).cast("float"))).withColumn("text_value", _chosen(df, text, F.lit(None).cast("string")))
+    if wanted := {k: reduce(Column.__and__, m.filters) for k, m in enumerate(mappings) if m.filters}:
+        df = df.where(_chosen(df, wanted, F.lit(True)))
+    # each concept's own code, limits and extensions, by its number
+    number_of = F.get(F.array(*[F.lit(i) for i in of]), F.col("__mapping"))
+    each = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("__concept"))
+    specs = [spec for spec, _ in concepts]
+    df = df.withColumn("__concept", number_of)
+    value, low, high = F.col("numeric_value").try_cast("double").cast("float"), each([s.low for s in specs], "float"), each([s.high for s in specs], "float")
+    value = F.when(F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False)), None).otherwise(value)
+    core = {"subject_id": F.col("subject_id"), "time": F.col("time"), "code": each([s.code for s in specs], "string"), "numeric_value": value, "text_value": F.col("text_value")}
+    extensions = []
+    for c in dict.fromkeys(c for s in specs for c in s.extensions):
+        given = F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+        own = [i for i, s in enumerate(specs) if c in s.extensions]
+        extensions.append((given if len(own) == len(specs) else F.when(F.col("__concept").isin(own), given)).alias(c))
+    return df.select(*[core[f.name].cast(f.dataType).alias(f.name) for f in EVENT], *extensions, each(names, "string").alias("concept"))
+
+
+def extract_simple(events: DataFrame, spec: ConceptSpec, mappings: list[Mapping]) -> DataFrame:
+    """One concept from events: a row for each mapping that an event meets (``extract_concepts``)."""
+    out = extract_concepts(events, [(spec, mappings)])
+    return out if "concept" in spec.extensions else out.drop("concept")
 
 
 def extract_derived(tables: list[DataFrame], spec: ConceptSpec, numeric_value: Column, how: str = "full", suffixes: list[str] | None = None, filters: list[Column] | None = None, drop_right_only: bool = False) -> DataFrame:
@@ -97,26 +154,23 @@ def extract_derived(tables: list[DataFrame], spec: ConceptSpec, numeric_value: C
     return finish(keep(df, *(filters or [])), spec)
 
 
-FEW_PATTERNS = 100_000
-
-
-def _few(patterns: DataFrame) -> bool:
-    """Whether the patterns are few enough for every task to hold them."""
-    return patterns.limit(FEW_PATTERNS + 1).count() <= FEW_PATTERNS
-
-
 def extract_many(events: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All concepts in one pass: events with the column ``concept`` for each pattern (concept, pattern) that their code meets,
-    as it is or less the name in the column ``event``.
+    """Events with the column ``concept`` for each pattern (concept, pattern) that their code meets, as it is or less the name in
+    the column ``event``.
 
-    Patterns are tried on the distinct codes of each event only, and those that hit are joined back.
+    Patterns are tried on the distinct codes of each event only, those that a literal of theirs points to, and what is met is joined back; so the
+    events are gone through twice: for their codes, and for the result.  Of equal (concept, code) one row is made.
     """
     codes = events.select("code", "event").where(F.col("code").isNotNull()).distinct()
     codes = codes.withColumn("bare", without_name(F.col("code"), F.col("event")))
-    hits = codes.join(patterns.hint("broadcast") if _few(patterns) else patterns, F.expr("code rlike pattern or coalesce(bare rlike pattern, false)"))
-    hits = hits.select(F.col("code").alias("__code"), F.col("event").alias("__event"), "concept").distinct()
+    codes = written(codes, "vocabulary")
+    found = hits(codes.select(F.col("code").alias("text"), "bare").distinct(), patterns).join(patterns.select("concept", "pattern"), "pattern")
+    found = found.select(F.col("text").alias("__text"), F.col("bare").alias("__bare"), "concept").distinct()
+    found = codes.join(found, (codes["code"] == found["__text"]) & codes["bare"].eqNullSafe(found["__bare"]))
+    found = written(found.select(F.col("code").alias("__code"), F.col("event").alias("__event"), "concept"), "codes-met")
+    found = F.broadcast(found) if found.count() <= HELD_CODES else found
     same = (F.col("code") == F.col("__code")) & F.col("event").eqNullSafe(F.col("__event"))
-    return events.join(hits, same).select("code", *[F.col(f"`{c}`") for c in events.columns if c != "code"], "concept")
+    return events.join(found, same).select("code", *[F.col(f"`{c}`") for c in events.columns if c != "code"], "concept")
 
 
 def harmonise(df: DataFrame, units: DataFrame, unit: str = "unit") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.times import from_us, to_us, window_us
-from vitalgrid.sources.shared import scratch
+from vitalgrid.sources.shared import written
 
 MAX_CUTS = 100_000  # segments of all subjects, which every task may hold
 SUBJECT_CUTS = 1000  # of one subject
@@ -79,13 +79,13 @@ class Segments:
         # as many of the quantiles as give segments of about the wanted size
         step = F.greatest(F.lit(1), F.floor(F.lit(SUBJECT_CUTS) * self.rows / F.col("n")).cast("int"))
         cuts = every.select("subject_id", F.array_distinct(F.filter("at", lambda x, i: F.pmod(i + 1, step) == 0)).alias("cuts"))
-        self.cuts = _written(cuts, "grid-cuts")
+        self.cuts = written(cuts, "grid-cuts")
 
     def place(self, df: DataFrame) -> DataFrame:
         """Rows with their segment, dealt by it and written, so that they can be gone through twice."""
         out = df.drop("segment", "cut").join(F.broadcast(self.cuts), "subject_id", "left").withColumn("cut", F.col("cuts").isNotNull())
         out = out.withColumn("segment", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("t"))), F.lit(0))).drop("cuts")
-        return _written(out.repartition("subject_id", "segment"), "grid-segments")
+        return written(out.repartition("subject_id", "segment"), "grid-segments")
 
     def run(self, df: DataFrame, runs: dict[str, Run]) -> DataFrame:
         out = df.withColumns({name: r.over("subject_id", "segment") for name, r in runs.items()})
@@ -114,12 +114,6 @@ class Segments:
         return out.withColumns(done).drop(*[f"before_{n}" for n in runs])
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class Input:
     """One column of the grid: a source (None: the column's own name), how its rows of an instant merge, and its window."""
@@ -154,6 +148,10 @@ class Input:
         """The input's value from the columns ``name`` + suffix."""
         raise NotImplementedError
 
+    def align(self, df: DataFrame, name: str, value: str, seen: str) -> DataFrame:
+        """``df`` with the input's column.  An input of one's own may do this in its own way, by windows over all rows of a subject."""
+        return _carried(df, {name: (self, value, seen)}, Plain())
+
     def recent(self, since: Column) -> Column:
         return since >= F.col("t") - self.us
 
@@ -295,6 +293,14 @@ def rolled(df: DataFrame, us: int, rolls: dict[str, tuple[str, Column]], how: Pl
 
 def carried(df: DataFrame, inputs: dict[str, tuple[Input, str, str]], how: Plain | Segments) -> DataFrame:
     """``df`` (subject_id, t, ...) with each input's value, given by name as (input, value column, presence column)."""
+    own = {n: x for n, x in inputs.items() if type(x[0]).align is not Input.align}
+    df = _carried(df, {n: x for n, x in inputs.items() if n not in own}, how)
+    for name, (i, value, seen) in own.items():
+        df = i.align(df, name, value, seen)
+    return df
+
+
+def _carried(df: DataFrame, inputs: dict[str, tuple[Input, str, str]], how: Plain | Segments) -> DataFrame:
     by_length: dict[int, dict[str, tuple[str, Column]]] = {}
     for name, (i, value, _) in inputs.items():
         for suffix, roll in i.rolls(value).items():
@@ -350,7 +356,7 @@ def _ways(sources: Sources, inputs: dict[str, Input], hot_rows: int | None) -> t
     """The grid, and how running aggregates go over it."""
     if hot_rows is None:
         return build_grid(sources, inputs), Plain()
-    grid = _written(build_grid(sources, inputs, by_subject=False), "grid")
+    grid = written(build_grid(sources, inputs, by_subject=False), "grid")
     return grid, Segments(grid, hot_rows)
 
 

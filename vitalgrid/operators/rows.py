@@ -131,4 +131,5 @@ def fan_out(df: DataFrame, specs: list[EventSpec]) -> DataFrame:
         row = F.struct(*[made[c].alias(c) for c in CORE], *[made.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in names.items()], F.lit(s.name).alias("event"))
         condition = s.condition()
         one.append(row if condition is None else F.when(condition, row))
-    return df.select(F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("e")).select("e.*")
+    # the rows of events that are not made go after the explode: a filter of the array would leave compiled code
+    return df.select(F.explode(F.array(*one)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
