@@ -280,6 +280,50 @@ def derived_inner_join(spark, sf_dir):
     return _rounded(extract_derived(parts, ConceptSpec("BMI", "kg/m2"), scalars.divide(F.col("numeric_value"), h * h), "inner", filters=[h > 1]))
 
 
+FIVE = ("view", "click", "purchase", "signup", "error")
+#: One event type by day, with its duplicates.
+OF_DAY = """SELECT user_id AS subject_id, date_trunc('day', ts)::TIMESTAMP AS time, value::REAL AS v FROM events WHERE event_type = '{0}'"""
+
+
+@query(
+    f"""WITH t1 AS ({OF_DAY.format(FIVE[0])}), t2 AS ({OF_DAY.format(FIVE[1])}), t3 AS ({OF_DAY.format(FIVE[2])}), t4 AS ({OF_DAY.format(FIVE[3])}), t5 AS ({OF_DAY.format(FIVE[4])}),
+    a AS (SELECT t1.subject_id, t1.time, t1.v AS v1, t2.v AS v2 FROM t1 FULL JOIN t2 ON t1.subject_id = t2.subject_id AND t1.time = t2.time),
+    b AS (SELECT a.*, t3.v AS v3 FROM a FULL JOIN t3 ON a.subject_id = t3.subject_id AND a.time = t3.time),
+    c AS (SELECT b.*, t4.v AS v4 FROM b FULL JOIN t4 ON b.subject_id = t4.subject_id AND b.time = t4.time)
+    SELECT c.*, t5.v AS v5 FROM c FULL JOIN t5 ON c.subject_id = t5.subject_id AND c.time = t5.time"""
+)
+def derived_many_join(spark, sf_dir):
+    def of_day(kind: str, name: str) -> DataFrame:
+        e = _source(spark, sf_dir, kind)
+        return e.select("subject_id", F.date_trunc("DAY", F.col("time")).cast("timestamp_ntz").alias("time"), F.col("numeric_value").alias(name))
+
+    return joins.join_many([of_day(kind, f"v{i}") for i, kind in enumerate(FIVE, 1)])
+
+
+@query(
+    """WITH p AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
+    v AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'view')
+    SELECT p.event_id, p.user_id, p.ts, p.value, CASE WHEN near THEN v.event_id END AS event_id_right, CASE WHEN near THEN v.ts END AS ts_right, CASE WHEN near THEN v.value END AS value_right
+    FROM (SELECT p.*, v.event_id AS v_id, coalesce(v.ts >= p.ts - INTERVAL '6 hours', FALSE) AS near FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts) p LEFT JOIN v ON v.event_id = p.v_id"""
+)
+def asof_join(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    purchases, views = (e.where(F.col("event_type") == k).drop("event_type") for k in ("purchase", "view"))
+    return joins.asof(purchases, views, on="ts", by=("user_id",), tolerance="6h")
+
+
+#: lineitem with a third of its rows given to one order, and a third to none.
+SKEWED = """SELECT l_orderkey AS row_key, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE l_orderkey END AS l_orderkey FROM lineitem"""
+
+
+@query(f"""SELECT s.row_key, s.l_linenumber, s.l_orderkey, o.o_orderstatus, o.o_totalprice FROM ({SKEWED}) s LEFT JOIN orders o ON s.l_orderkey = o.o_orderkey""")
+def skewed_lookup(spark, sf_dir):
+    third = F.col("l_partkey") % 3
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_key"), "l_linenumber", F.when(third == 0, 1).when(third == 2, F.col("l_orderkey")).alias("l_orderkey"))
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return joins.lookup(li, orders, {"l_orderkey": "o_orderkey"}, hot_share=0.001)
+
+
 # ---------------------------------------------------------------- scalars and times
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.codes import without_name
-from vitalgrid.operators.joins import join_concepts
+from vitalgrid.operators.joins import join_concepts, join_many
 from vitalgrid.operators.patterns import hits
 from vitalgrid.operators.rows import keep, limited
 from vitalgrid.schema import EVENT
@@ -146,10 +146,14 @@ def extract_simple(events: DataFrame, spec: ConceptSpec, mappings: list[Mapping]
 
 
 def extract_derived(tables: list[DataFrame], spec: ConceptSpec, numeric_value: Column, how: str = "full", suffixes: list[str] | None = None, filters: list[Column] | None = None, drop_right_only: bool = False) -> DataFrame:
-    """A concept computed from others joined on (subject_id, time), left to right."""
-    df = tables[0]
-    for i, right in enumerate(tables[1:], 2):
-        df = join_concepts(df, right, how=how, suffix=suffixes[i - 2] if suffixes else f"_{i}", drop_right_only=drop_right_only)
+    """A concept computed from others joined on (subject_id, time), left to right; more than two share one shuffle where the kind of join allows it."""
+    suffixes = suffixes or [f"_{i}" for i in range(2, len(tables) + 1)]
+    if len(tables) > 2 and how in ("full", "left", "inner"):
+        df = join_many(tables, how=how, suffixes=suffixes, drop_right_only=drop_right_only)
+    else:
+        df = tables[0]
+        for right, suffix in zip(tables[1:], suffixes):
+            df = join_concepts(df, right, how=how, suffix=suffix, drop_right_only=drop_right_only)
     df = df.withColumn("numeric_value", numeric_value)
     return finish(keep(df, *(filters or [])), spec)
 
