@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.jobs.concepts import ConceptSpec, computed
 from vitalgrid.operators import grid, sharding
+from vitalgrid.sources import shared
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +45,22 @@ def test_own_input_and_sorted_output(one):
     assert "Sort [subject_id" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_shard_ranges_follow_the_ids(spark):
-    """One far id leaves the others in many ranges."""
+def test_shards_follow_the_ids(spark):
+    """Whatever lies between them."""
     e = spark.range(1000).select(F.when(F.col("id") == 999, F.lit(1 << 61)).otherwise(F.col("id")).alias("subject_id"))
-    got = sorted((r.subject_id, r.shard) for r in sharding.shard_numbers(e, 100, ranges=16).collect())
+    got = sorted((r.subject_id, r.shard) for r in sharding.shard_numbers(e, 100).collect())
     assert [s for _, s in got] == [i // 100 for i in range(1000)]
+
+
+def test_shards_sort_the_distinct_subjects_once(spark, monkeypatch):
+    plans = []
+
+    def seen(df, label, written=shared.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+        return written(df, label)
+
+    monkeypatch.setattr(shared, "written", seen)
+    out = sharding.shards(spark.range(50).selectExpr("id % 9 as subject_id", "current_timestamp() as time", "'c' as code", "1f as numeric_value", "'' as text_value"), 4)
+    assert out.select("subject_id", "shard").distinct().orderBy("subject_id").collect() == [(i, i // 4) for i in range(9)]
+    (plan,) = plans
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning") == 1

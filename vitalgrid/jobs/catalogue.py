@@ -17,6 +17,7 @@ from vitalgrid.jobs.extraction import Lookup, TableSpec, anchored, extract_table
 from vitalgrid.operators import grid, joins, rows, scores, sharding
 from vitalgrid.operators.rows import EventSpec
 from vitalgrid.schema import as_type
+from vitalgrid.sources.archives import write_zipped
 from vitalgrid.sources.readers import ColumnSpec, read_table, typed
 from vitalgrid.sources.shared import scratch
 from vitalgrid.sources.writers import stage, union_all, write_concept, write_events, write_shards, write_vocabulary
@@ -583,6 +584,42 @@ def csv_scan(spark, sf_dir):
     return read_table(spark, f"{path}/*/part-*", columns, fmt="csv", partitions=8)
 
 
+@query("""SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice::REAL AS o_totalprice, nullif(o_orderpriority, '') AS o_orderpriority FROM orders""")
+def zip_scan(spark, sf_dir):
+    """Zip archives of several CSV members, read with declared types and a datetime format."""
+    path, o = scratch(spark, "zip"), _t(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "dd.MM.yyyy HH:mm"))
+    write_zipped(o.repartition(3), path, member_rows=2000)
+    columns = [ColumnSpec("o_orderkey", "int"), ColumnSpec("o_custkey", "int"), ColumnSpec("o_orderdate", "datetime", "%d.%m.%Y %H:%M"), ColumnSpec("o_totalprice", "float"), ColumnSpec("o_orderpriority")]
+    return read_table(spark, f"{path}/part-*.csv.zip", columns)
+
+
+@query(
+    """SELECT l_suppkey AS subject_id, l_shipdate AS time, 'DAY//' || l_returnflag AS code, sum(l_quantity)::REAL AS numeric_value, NULL::VARCHAR AS text_value, 'DAY' AS event FROM lineitem
+    WHERE l_quantity > 2 GROUP BY 1, 2, 3 HAVING sum(l_quantity) > 30"""
+)
+def table_transforms(spark, sf_dir):
+    """A table with transformations of its own between its columns and its events."""
+
+    def daily(df: DataFrame) -> DataFrame:
+        return df.groupBy("l_suppkey", "l_shipdate", "l_returnflag").agg(F.sum("l_quantity").alias("quantity"))
+
+    spec = TableSpec(
+        filters=[F.col("l_quantity") > 2],
+        transforms=[daily, lambda df: df.where("quantity > 30")],
+        events=[EventSpec("DAY", F.col("l_suppkey"), F.col("l_shipdate"), [F.col("l_returnflag")], F.col("quantity"))],
+    )
+    return extract_table(_t(spark, sf_dir, "lineitem"), {}, spec)
+
+
+@query(f"SELECT subject_id, time, code, numeric_value, event FROM ({SHIPMENTS}) WHERE event = 'COST'")
+def events_rewritten(spark, sf_dir):
+    """A table written whole twice; the second time one of its events is no longer made."""
+    path, e = scratch(spark, "events"), _shipments(spark, sf_dir).drop("dataset", "version", "table")
+    for frame in (e, e.where("event = 'COST'")):
+        write_events([frame], path, "tpch", "1", "lineitem", mode="whole")
+    return spark.read.parquet(path).select("subject_id", "time", "code", "numeric_value", "event")
+
+
 @query(f"SELECT subject_id, time, code, numeric_value, event FROM ({SHIPMENTS}) UNION ALL SELECT subject_id, time, code, numeric_value, event FROM ({SHIPMENTS}) WHERE event = 'COST'")
 def events_written(spark, sf_dir):
     """A table's events in one partitioned write; two frames with an event of one name end up in one place."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators.rows import only_members
 from vitalgrid.schema import CORE
+from vitalgrid.sources.shared import ranked
 
 
 def vocabulary(events: DataFrame) -> DataFrame:
@@ -19,21 +20,13 @@ def subjects(events: DataFrame) -> DataFrame:
     return events.select("subject_id").where(F.col("subject_id").isNotNull()).distinct()
 
 
-def shard_numbers(events: DataFrame, per_shard: int = 1000, ranges: int = 256) -> DataFrame:
+def shard_numbers(events: DataFrame, per_shard: int = 1000) -> DataFrame:
     """(subject_id, shard): subjects in ascending order, ``per_shard`` to a shard.
 
-    The global rank is the rank inside a range of ids plus the number of subjects in the ranges before it.  Ranges end at
-    approximate quantiles of the ids, so they hold about equally many however the ids lie, and no task sees all subjects.
+    The distinct subjects are sorted once, by ranges, and written; the events are gone through once, and no task sees all subjects.
     """
-    ids = subjects(events)
-    cuts = ids.agg(F.percentile_approx("subject_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []  # ``ranges`` numbers at most
-    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    ids = ids.withColumn("range", F.size(F.filter(cuts, lambda x: x < F.col("subject_id"))))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ``ranges`` rows
-    counts = ids.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranked = ids.withColumn("row", F.row_number().over(Window.partitionBy("range").orderBy("subject_id")))
-    ranked = ranked.join(F.broadcast(counts.select("range", "before")), "range")
-    return ranked.select("subject_id", F.floor((F.col("before") + F.col("row") - 1) / per_shard).alias("shard"))
+    placed = ranked(subjects(events), [F.col("subject_id")], "rank", "subjects")
+    return placed.select("subject_id", F.floor(F.col("rank") / per_shard).alias("shard"))
 
 
 def only_concepts(events: DataFrame, datasets: list[str] = (), concepts: list[str] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from vitalgrid.functions.times import parse
 from vitalgrid.schema import as_type
+from vitalgrid.sources.archives import archives, opened, read_zipped
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,12 @@ def typed(df: DataFrame, columns: list[ColumnSpec], strict_cast: bool = False) -
 
 
 def _zipped(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Columns of all CSV members of zip archives, as text; an archive is one task, and its members are unpacked as a stream."""
+    """Columns of all CSV members of zip archives, as text: a task for each member.
+
+    In a store that only Spark reads an archive is one task, which holds it packed (2 GB at most) and unpacks its members as a stream.
+    """
+    if opened(path) is not None:
+        return read_zipped(spark, path, names)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +91,8 @@ def read_table(spark: SparkSession, path: str, columns: list[ColumnSpec], fmt: s
             schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
             df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
         elif fmt == "csv.zip":
+            if opened(path) is not None and not archives(path):
+                return None
             df = _zipped(spark, path, [c.name for c in columns])
         else:
             df = spark.read.parquet(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -24,3 +25,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """``df`` with each row's place in ``order`` from 0, without gaps; no task sees all rows.
+
+    The rows are sorted once, by ranges, and written; a row's place is its place in its file plus the rows of earlier files.
+    """
+    rows = written(df.orderBy(*order), label).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    number = F.regexp_extract("__file", r"^part-(\d+)", 1).try_cast("long")
+    earlier = Window.orderBy(number.asc_nulls_last(), "__file").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))
+    files = files.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    placed = rows.join(F.broadcast(files), "__file")  # as many rows as the sort had partitions
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__row")).alias(name))
