@@ -35,7 +35,9 @@ def expected(docs):
 
 
 @pytest.mark.parametrize("large", [False, True])
-def test_lines_against_all_pairs(spark, monkeypatch, large):
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_lines_against_all_pairs(spark, monkeypatch, large, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     if large:
         monkeypatch.setattr(components, "FEW", 0)
         monkeypatch.setattr(components, "LARGE", 0.1)
@@ -70,3 +72,39 @@ def test_rebuild(spark):
     assert out.columns == df.columns and got.keys() == {1, 2, 4, None}
     assert got[1][0] == rows[0][1] and got[2] == ("own words of number two", 23) and got[4][0] is None
     assert line_dedup.rebuild(df.limit(0)).count() == 0
+
+
+def test_rebuild_tells_rows_of_one_id_apart(spark):
+    a, b, c = (f"{x} is a line of its own, long enough to be told from others" for x in ("this", "quite another matter, which", "what the third row holds"))
+    rows = [(None, f"{a}\n{a}", 1, "l", "p"), (None, f"{b}\n{c}", 2, "l", "p"), (7, f"{b}\nkept by row seven alone, whatever comes", 3, "l", "p"), (7, a, 4, "l", "p"), (7, a, 4, "l", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, left string, parts string")
+    out = line_dedup.rebuild(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id is None, r.text, r.gone, r.left, r.parts) for r in out.collect()) == sorted([(False, "kept by row seven alone, whatever comes", 3, "l", "p"), (True, a, 1, "l", "p"), (True, f"{b}\n{c}", 2, "l", "p")])
+
+
+def test_counts_of_a_crowd(spark):
+    texts = ["abcdefghijkl", "abcdefghijkz", "abcdefghijkl" * 3, "x", "x y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, line string")
+    got = {r.id: (r.n, r.c) for r in line_dedup.crowd_counts(df.select(df["key"].alias("id")), df).collect()}
+    sets = [{t[i : i + 10] for i in range(max(1, len(t) - 9))} for t in texts]
+    assert got == {i: (len(s), sum(any(x in o for j, o in enumerate(sets) if j != i) for x in s)) for i, s in enumerate(sets)}
+
+
+def test_counts_do_not_rule_out_lines_beyond_the_crowd(spark, monkeypatch):
+    """A line with much of its own among a crowd links with one that is in no crowd."""
+    monkeypatch.setattr(line_dedup, "CROWD", 4)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(30)]
+    docs = []
+    for i in range(12):
+        line = list(base)
+        for _ in range(5):
+            line[rng.randrange(30)] = word()
+        docs.append((i, " ".join(line)))
+        line[rng.randrange(30)] = word()
+        docs.append((100 + i, " ".join(line)))
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_dedup.mark(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = expected(docs)
+    assert sum(got[n] == want[n] for n in want) >= len(want) - 1

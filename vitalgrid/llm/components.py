@@ -87,6 +87,13 @@ def blocks(live: DataFrame, label: str, block_rows: int = BLOCK_ROWS) -> DataFra
     return rows.select("kind", "unit", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component")
 
 
+def _open(named: DataFrame) -> DataFrame:
+    """(g, pairs, n, parts) of the groups with pairs between components."""
+    cells = named.groupBy("g", "component").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.sum(F.col("asked").cast("long")).alias("k"), F.count("*").alias("n"))
+    groups = cells.groupBy("g").agg((F.sum("i") * F.sum("k") - F.sum(F.col("i") * F.col("k"))).alias("pairs"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    return groups.where("parts > 1 and pairs > 0")
+
+
 MAX_HUB_ROUNDS = 2
 FEW = 4  # pairs for each member: so many are tested pair by pair
 
@@ -97,6 +104,7 @@ def link_groups(
     label: str = "groups",
     rounds: int = MAX_HUB_ROUNDS,
     verify_blocks: Callable[[DataFrame], DataFrame] | None = None,
+    percent: int | None = None,
 ) -> DataFrame:
     """(id, component) of the ids that have links, given candidate groups; no link between two members of a group is lost.
 
@@ -107,8 +115,21 @@ def link_groups(
     are in one component.  When the pairs still open are no more than ``FEW`` for each member, or after ``rounds`` rounds, they are
     tested pair by pair, but groups with more than ``LARGE`` open pairs for each member by ``verify_blocks``, where given: it finds links
     between components among rows of ``blocks``.  Both ways test all open pairs, so they give the same links.
+
+    ``members`` may also tell n, the size of the member's set, and c, how many of its elements any other member has (null where unknown): then
+    members with few elements of their own are hubs first, and pairs are left out that have too little in common for a Jaccard
+    similarity of ``percent`` / 100 even if they shared all c.
     """
-    kept = Written(members, label)
+    counted = percent is not None
+    enough = lambda nx, cx, ny, cy: F.coalesce((100 + percent) * F.least(cx, cy) >= percent * (F.col(nx) + F.col(ny)), F.lit(True))
+    if counted:  # without the members that share too little with even the smallest set that could do, where all are counted
+        least = members.groupBy("g").agg(F.when(F.count("n") == F.count("*"), F.min("n")).alias("low"))
+        reach = (100 + percent) * F.col("c") >= percent * (F.col("n") + F.greatest("low", F.col("n") * percent / 100))
+        reach = F.col("low").isNull() | reach
+        members = members.join(least, "g").where(F.coalesce(reach, F.lit(True)))
+    else:
+        members = members.withColumns({"n": F.lit(None).cast("int"), "c": F.lit(None).cast("long")})
+    kept = Written(members.select("g", "id", "indexed", "asked", "n", "c"), label)
     members, old = kept.df, [kept]  # tables to remove at the end
     keep = lambda df: old.append(Written(df, label)) or old[-1].df
     tested: list[DataFrame] = []
@@ -117,11 +138,7 @@ def link_groups(
         named = members.withColumn("component", F.col("id"))
         if labels is not None:
             named = members.join(labels.df, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        cells = named.groupBy("g", "component").agg(F.sum(F.col("indexed").cast("long")).alias("i"), F.sum(F.col("asked").cast("long")).alias("k"), F.count("*").alias("n"))
-        open_groups = cells.groupBy("g").agg(
-            (F.sum("i") * F.sum("k") - F.sum(F.col("i") * F.col("k"))).alias("pairs"), F.sum("n").alias("n"), F.count("*").alias("parts")
-        )
-        open_groups = keep(open_groups.where("parts > 1 and pairs > 0"))
+        open_groups = keep(_open(named))
         size = open_groups.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not size["n"]:
             break
@@ -135,15 +152,19 @@ def link_groups(
                 live = live.join(open_groups.where(~many).select("g"), "g", "left_semi")
                 in_blocks = None if crowd.isEmpty() else verify_blocks(blocks(crowd.select("g", "id", "component"), label, BLOCK_ROWS))
             x, y = live.where("indexed").alias("x"), live.where("asked").alias("y")
-            pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+            meet = (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component"))
+            if counted:
+                meet = meet & enough("x.n", "x.c", "y.n", "y.c")
+            pairs = x.join(y, meet).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
         else:
-            # the same hub in all groups of a set of near copies: that with the smallest hash, another one each round
-            first = lambda c: F.min_by(c, F.xxhash64("id", F.lit(r)))
-            hubs = live.groupBy("g").agg(first("id").alias("hub"), first("component").alias("of"), first("indexed").alias("i"), first("asked").alias("k"))
+            # the same hub in all groups of a set of near copies: that with fewest elements of its own, or the smallest hash, another one each round
+            first = lambda c: F.min_by(c, F.struct(F.coalesce((F.col("n") - F.col("c")) / F.col("n"), F.lit(0.0)), F.xxhash64("id", F.lit(r))))
+            hubs = live.groupBy("g").agg(first("id").alias("hub"), first("component").alias("of"), first("indexed").alias("i"), first("asked").alias("k"), first("n").alias("hub_n"), first("c").alias("hub_c"))
             hubs = keep(hubs)
             met = live.join(hubs, "g")
-            pairs = met.where("component <> of and ((i and asked) or (k and indexed))").select(F.col("hub").alias("x"), F.col("id").alias("y"))
-            members = met.where("id <> hub").select("g", "id", "indexed", "asked")
+            pairs = met.where("component <> of and ((i and asked) or (k and indexed))")
+            pairs = (pairs.where(enough("n", "c", "hub_n", "hub_c")) if counted else pairs).select(F.col("hub").alias("x"), F.col("id").alias("y"))
+            members = met.where("id <> hub").select("g", "id", "indexed", "asked", "n", "c")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")

@@ -127,25 +127,28 @@ def _bands(some: list[str]) -> np.ndarray:
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, key, bands array<long>) of all lines that are not blank."""
+    """(doc_id, text_key, line_no, key, bands array<long>) of all lines that are not blank; text_key: a hash of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
+        def made(rows: list[tuple[int | None, int, int, str]]) -> pa.RecordBatch:
             where: dict[str, int] = {}
-            at = [where.setdefault(line, len(where)) for _, _, line in rows]
+            at = [where.setdefault(line, len(where)) for _, _, _, line in rows]
             names = list(where)
             keys = np.array([xxhash.xxh64_intdigest(x.encode(), seed=42) for x in names], U).astype(np.int64)[at]
             bands = _bands(names).astype(np.int64)[at]
             offsets = pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(keys), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "key", "bands"])
+            texts = np.array([r[1] for r in rows], U).astype(np.int64)
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(texts), pa.array([r[2] for r in rows], pa.int32()), pa.array(keys), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "line_no", "key", "bands"])
 
         rows, held = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for k, raw in enumerate((text.as_py() or "").split("\n"), 1):
+                whole = text.as_py() or ""
+                text_key = xxhash.xxh64_intdigest(whole.encode(), seed=42)
+                for k, raw in enumerate(whole.split("\n"), 1):
                     if line := raw.strip(BLANKS):
-                        rows.append((doc_id, k, line))
+                        rows.append((doc_id, text_key, k, line))
                         held += len(line)
                 if held >= 4 << 20:
                     yield made(rows)
@@ -153,7 +156,7 @@ def signed_lines(docs: DataFrame) -> DataFrame:
         if rows:
             yield made(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, key long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key long, line_no int, key long, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -182,8 +185,31 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+CROWD = 16  # a bucket with more lines
+
+
+def crowd_counts(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n, c) of the lines (id) of crowds: how many shingles each has, and how many of them another line of ``ids`` has too.
+
+    Shingles that no other line has are in no intersection, so a pair's common shingles are no more than the lesser c.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py()).astype(np.int64) for x in batch.column(1)]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64))).astype(np.int32)
+            values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "shingles"])
+
+    sets = texts.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select("key", "line").mapInArrow(run, "id long, shingles array<long>")
+    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    alone = each.groupBy("h").agg(F.count("*").alias("of"), F.any_value("id").alias("id"), F.any_value("n").alias("n"))
+    # a line without a shingle of its own is missing here, so it has none
+    return alone.groupBy("id").agg(F.any_value("n").alias("n"), F.count(F.when(F.col("of") == 1, 1)).alias("own")).select("id", "n", (F.col("n") - F.col("own")).alias("c"))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, line_no, key), and (key, component, n, first) of the keys that do not stand alone; n: their lines."""
+    """All lines (doc_id, text_key, line_no, key), and (key, component, n, first) of the keys that do not stand alone; n: their lines."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = Written(signed_lines(docs), "lines-all").df
     buckets = every.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
@@ -193,34 +219,29 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met.drop()
     members = members_kept.df
     # buckets that hold but one line, repeated, go
-    several = members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(several.select("g"), "g", "left_semi")
-    members = members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked"))
-    ids = Written(members.select(F.col("id").alias("key")).distinct(), "lines-wanted")
+    several = members.groupBy("g").agg(F.count("*").alias("of")).where("of > 1")
+    members = members.join(several, "g")
+    ids = Written(members.groupBy(F.col("id").alias("key")).agg(F.max("of").alias("of")), "lines-wanted")
     texts = likely_among(lines(docs).select("key", "line"), "key", ids.df, ids.df.count())
     near_kept = Written(texts.join(ids.df, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
-    ids.drop()
     near = near_kept.df
+    counts = Written(crowd_counts(ids.df.where(F.col("of") > CROWD).select(F.col("key").alias("id")), near), "lines-counts")
+    members = members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked")).join(counts.df, "id", "left")
     found = link_groups(
-        members, lambda pairs: verify(pairs, near), "lines-links",
+        members, lambda pairs: verify(pairs, near), "lines-links", percent=PERCENT,
         verify_blocks=lambda rows: links_in_blocks(rows, near.select(F.col("key").alias("id"), F.col("line").alias("text")), shingle_hashes, PERCENT),
     )
-    for t in (near_kept, members_kept):
+    for t in (near_kept, members_kept, ids, counts):
         t.drop()
     one = every.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
     place = one.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     place = Written(place, "lines-place").df
     several = place.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
-    return every.select("doc_id", "line_no", "key"), place.select("key", "component", "n").join(several.drop("of"), "component")
+    return every.select("doc_id", "text_key", "line_no", "key"), place.select("key", "component", "n").join(several.drop("of"), "component")
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """One row per line that is not blank: doc_id, line_no (from 1), first_doc_id, first_line_no, kept.
-
-    first_* name the line that stays of this line's component.  A null text has no lines; ids are the key of documents
-    (a null id sorts first); the rows of a repeated document are repeated, and of equal (doc_id, line_no) all stay;
-    an empty table gives an empty table.  Lines of any length are compared whole.
-    """
+def _marked(docs: DataFrame) -> DataFrame:
+    """The rows of ``mark`` with text_key."""
     rows, named = classes(docs)
     # lines that are a thousandth of all lines or more: so at most a thousand, which every task may hold
     total = rows.count()
@@ -231,22 +252,35 @@ def mark(docs: DataFrame) -> DataFrame:
     out = out.withColumn("join_key", F.when(F.col("common").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "line_no")))
     out = out.join(named, "join_key", "left").withColumn("first", F.coalesce("common", "first", F.struct("doc_id", "line_no")))
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
-    return out.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), stays.alias("kept"))
+    return out.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), stays.alias("kept"), "text_key")
+
+
+def mark(docs: DataFrame) -> DataFrame:
+    """One row per line that is not blank: doc_id, line_no (from 1), first_doc_id, first_line_no, kept.
+
+    first_* name the line that stays of this line's component.  A null text has no lines; ids are the key of documents
+    (a null id sorts first); the rows of a repeated document are repeated, and of equal (doc_id, line_no) all stay;
+    an empty table gives an empty table.  Lines of any length are compared whole.
+    """
+    return _marked(docs).drop("text_key")
 
 
 def rebuild(docs: DataFrame) -> DataFrame:
     """The documents without the lines that do not stay; text and n_chars change, other columns pass through.
 
     Blank lines stay where they are.  A document that loses lines and has none left but blank ones goes;
-    one that had no line to begin with stays as it is.
+    one that had no line to begin with (null, empty or blank text) stays as it is.  Rows are told apart by doc_id (null
+    is one) and a 64-bit hash of the text, so rows that share an id lose only lines of their own; of lines at the same place of rows with
+    one id none goes for another.  Columns may have any names but those that begin with two underscores.
     """
-    gone = mark(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.col("line_no")).alias("gone"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.col("gone"))
-    out = out.withColumn("parts", parts).withColumn("left", F.when(F.col("gone").isNotNull(), left))
-    text = F.array_join(F.transform("left", lambda i: F.get(F.col("parts"), i - 1)), "\n")
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text))
-    out = out.where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
-    columns = [F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns)
+    gone = _marked(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).agg(F.collect_set("line_no").alias("__gone"))
+    text = F.col("text").cast("string")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*own, F.xxhash64(text).alias("__own_key"), F.col("doc_id").cast("long").alias("__own_id"))
+    out = rows.join(gone, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__text_key")), "left")
+    parts = F.split(text, "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(parts)), F.col("__gone")), lambda i: F.get(F.col("__parts"), i - 1))
+    out = out.withColumn("__parts", parts).withColumn("__left", F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
+    out = out.where(F.col("__gone").isNull() | F.col("__left").rlike(r"\S"))
+    changed = {"text": F.col("__left").alias("text"), "n_chars": F.length("__left").cast("long").alias("n_chars")}
+    return out.select(*[changed.get(c, F.col(f"`{c}`")) for c in docs.columns])
