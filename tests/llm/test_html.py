@@ -1,3 +1,4 @@
+import random
 import pytest
 
 from vitalgrid.llm import html_extract
@@ -94,3 +95,42 @@ def test_ratios_choose_the_region(monkeypatch):
     assert extract_text(html) == wanted
     monkeypatch.setattr(html_extract, "_smooth", lambda values: [1.0] * len(values))
     assert extract_text(html) != wanted
+
+
+def test_a_form_around_the_page_is_no_boilerplate():
+    page = '<body><form id="aspnetForm"><div id="content"><h1>The title of it</h1><p>{0}</p><p>{0}</p></div><input type="submit"><button>Go</button></form></body>'.format("A long sentence of the main text stands here. " * 4)
+    got = html_extract.extract_text(page)
+    assert got.startswith("The title of it\n\nA long sentence") and "Go" not in got
+    small = "<article><h1>Title</h1><p>{0}</p><form><label>Your mail</label><input></form><p>{0}</p></article>".format("A long sentence of the main text stands here. " * 4)
+    assert "Your mail" not in html_extract.extract_text(small) and html_extract.extract_text(small).count("A long sentence") == 8
+    role = '<div role="form"><div><p>{0}</p></div></div>'.format("A long sentence of the main text stands here. " * 4)
+    assert html_extract.extract_text(role).count("A long sentence") == 4
+
+
+def test_notices_and_banners_inside_an_article_go():
+    text = "A long sentence of the main text stands here. " * 5
+    page = f'<article><div class="notice">We use cookies.</div><h1>Title</h1><p>{text}</p><div class="banner">Subscribe to us.</div><section class="related-work"><h2>Related work</h2><p>{text}</p></section><div class=notice><p>Short <b>notice</b> <i>here</i>.</p></div></article>'
+    got = html_extract.extract_text(page)
+    assert "cookies" not in got and "Subscribe" not in got and "notice" not in got
+    assert "Related work" in got and got.count("A long sentence") == 10
+
+
+def soup(k):
+    """A page without any element or name that tells its parts: link lists, the text in blocks or table cells, a foot of links."""
+    rng = random.Random(k)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    links = lambda n: "".join(f'<div><a href="#">{word()}</a> <a href="#">{word()}</a></div>' for _ in range(n))
+    says = [" ".join(word() for _ in range(rng.randint(25, 60))) + "." for _ in range(rng.randint(3, 8))]
+    body = "".join(f"<tr><td>{x}</td></tr>" if k % 3 == 1 else f"<div>{x}</div>" for x in says)
+    body = f"<table>{body}</table>" if k % 3 == 1 else f"<div>{body}</div>"
+    page = f"<body><div>{links(rng.randint(4, 9))}</div>{body}<div>{links(rng.randint(3, 7))}</div></body>"
+    return (f"<form>{page}</form>" if k % 3 == 2 else page), "\n\n".join(says)
+
+
+def test_ratios_decide_where_nothing_else_does(monkeypatch):
+    pages = [soup(k) for k in range(60)]
+    got = [html_extract.extract_text(p) for p, _ in pages]
+    assert sum(g == want for g, (_, want) in zip(got, pages)) >= 57
+    monkeypatch.setattr(html_extract, "_smooth", lambda values: [1.0] * len(values))
+    changed = sum(html_extract.extract_text(p) != g for (p, _), g in zip(pages, got))
+    assert changed >= 55

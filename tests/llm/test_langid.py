@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from vitalgrid.llm import langid
 
 SYLLABLES = {"aa": "ka to mi re so na li".split(), "bb": "strg pf sch ung heit lich".split(), "cc": "eau oux ière tion que oi".split()}
@@ -44,3 +46,9 @@ def test_number_forms_are_no_letters_and_every_language_is_learned(spark):
     rows = [(i, f"{chr(0x4E00 + 7 * (i // 3))}{chr(0x4E01 + 7 * (i // 3))} word", f"l{i // 3}") for i in range(1500)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(set(model.langs)) > 480
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "words of a text", 1, "en", 2.0)], "doc_id long, text string, __text int, lang_pred string, score double")
+    row = langid.predict(df, langid.fit(df.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")))).first()
+    assert row["__text"] == 1 and 0 <= row.score <= 1

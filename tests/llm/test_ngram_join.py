@@ -117,3 +117,9 @@ def test_empty_null_ids_and_copies(spark):
     assert got == {None: (1, None), 7: (2, 3), 3: (2, 3), 9: (2, 3)}
     assert {r.doc_id for r in ngram_join.keep_first(df).collect()} == {None, 3}
     assert ngram_join.join_components(df.limit(0)).count() == 0
+
+
+def test_keep_first_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 1), (2, "a b c d e f", 2, 2), (None, "a b c d e f", 3, 3)], "doc_id long, text string, later_id int, __later int")
+    out = ngram_join.keep_first(df)
+    assert out.columns == df.columns and sorted(r.later_id for r in out.collect()) == [1, 3]

@@ -25,6 +25,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores at its end as long as it is taken (in any case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 class Written:
     """A table written once to the shared folder: cuts lineage, survives lost executors."""
 

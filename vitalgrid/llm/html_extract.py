@@ -23,23 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.llm.common import free_name
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 BOILER_TAGS = frozenset(
-    "head title nav footer aside form button select textarea script style noscript template iframe object svg canvas menu dialog datalist".split()
+    "head title nav footer aside button select textarea script style noscript template iframe object svg canvas menu dialog datalist".split()
 )
 REGION_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 # a class or id names boilerplate if all its parts are of these three kinds, and one of the first two
 BOILER_PART = re.compile(
     r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|"
     r"repl(?:y|ies)|cookies?|gdpr|popup|newsletter|subscribe|sign-?up|shar(?:e|ing)|toolbar|widgets?|log-?in|pagination|pager|skip"
 )
-#: These also name parts of a text; alone they need a low text-to-tag ratio besides.
+#: These also name parts of a text; alone they need a low text-to-tag ratio besides, and in an article no other name beside them.
 WEAK_PART = re.compile(r"banner|respond|consent|notices?|modal|overlay|related|recommend\w*|social|search|disclaimer")
 PLACE_PART = re.compile(
     r"|site|page|top|bottom|left|right|main|global|primary|secondary|header|head|box|bar|list|links?|buttons?|icons?|items?|section|area|wrap|wrapper|container|"
@@ -53,6 +55,7 @@ CLOSES_P = BLOCK - {"body", "html", "head"}
 SIGMA_LINES = 1.0
 ARTICLE_SHARE = 0.5  # of the content votes, for an article to be taken
 WEAK_RATIO = 0.5  # of the least ratio of content: below it a weak name counts
+OWN_RATIO = 0.25  # of the least ratio of content, for a line to be of the core
 REGION_SHARE = 0.25  # of a named element's votes, in an article outside, for the name to count
 
 
@@ -69,6 +72,10 @@ def _named(token: str) -> int:
     return STRONG if strong or weak > 1 else WEAK
 
 
+def _of_place(token: str) -> bool:
+    return all(PLACE_PART.fullmatch(x) for x in re.split(r"[-_]+", token.lower()))
+
+
 class _Node(NamedTuple):
     tag: str
     parent: int
@@ -126,18 +133,23 @@ class _Lines(HTMLParser):
         """Whether the element is boilerplate by tag, role or attributes, and what its names say."""
         if tag in BOILER_TAGS or (tag == "header" and not article):
             return True, 0
-        if not attrs or tag in ("html", "body", "main"):
-            return False, 0
-        soft = 0
+        if tag in ("html", "body", "main") or not attrs:
+            return False, STRONG if tag == "form" else 0
+        # a form is boilerplate unless it holds most of the text, as one around a whole page does
+        soft = STRONG if tag == "form" else 0
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True, 0
             if value and name in ("class", "id") and tag not in NOT_NAMED:
                 for token in value.split():
-                    named = _named(token)  # within an article a weak name is one of its parts
-                    soft = max(soft, 0 if article and named == WEAK else named, STRONG if not article and token.lower() in HEADER_NAMES else 0)
+                    named = _named(token)
+                    if article and named == WEAK and not all(_named(t) or _of_place(t) for t in value.split()):
+                        named = 0
+                    soft = max(soft, named, STRONG if not article and token.lower() in HEADER_NAMES else 0)
             if value and name == "role" and value.lower() in BOILER_ROLES:
                 return True, 0
+            if value and name == "role" and value.lower() == "form":
+                soft = STRONG
             if value and name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True, 0
         return False, soft
@@ -161,9 +173,12 @@ class _Lines(HTMLParser):
             self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1][0] not in ("script", "style"):
+        tag, node = self.stack[-1]
+        if self.nodes[node].hard and tag not in BLOCK:
+            return  # boilerplate within a line, such as a button's name
+        if tag not in ("script", "style"):
             self.parts.append(data)
-            if self.nodes[self.stack[-1][1]].link:
+            if self.nodes[node].link:
                 self.linked += len(data.strip())
 
 
@@ -226,7 +241,8 @@ def _boilerplate(nodes: list[_Node], lines: list[tuple[str, int, int, int]]) ->
         chars = [0 if hard[node] else len(text) for text, _, node, _ in lines]
         every = _sums(nodes, lines, chars)
         tags = _sums(nodes, lines, [line[1] for line in lines])
-        soft = [0 if s == WEAK and every[i] >= WEAK_RATIO * cut * tags[i] else s for i, s in enumerate(soft)]
+        thin = [every[i] < WEAK_RATIO * cut * tags[i] for i in range(len(nodes))]
+        soft = [0 if s == WEAK and not thin[i] else s for i, s in enumerate(soft)]
         free = _sums(nodes, lines, votes, soft)  # votes below each node that no name inside it takes away
         regions = [i for i, n in enumerate(nodes) if n.tag in REGION_TAGS and not n.hard]
         named = [False] * len(nodes)  # is or is in a node of soft
@@ -260,7 +276,7 @@ def extract_text(html: str | None) -> str:
     if not lines:
         return ""
     boiler = _boilerplate(nodes, lines)
-    votes, content, _ = _votes(lines, boiler)
+    votes, content, cut = _votes(lines, boiler)
     if not any(votes):
         return ""
     below = _sums(nodes, lines, votes)
@@ -272,7 +288,10 @@ def extract_text(html: str | None) -> str:
         chosen = {i for i in articles if below[i] > ARTICLE_SHARE * below[0] or 2 * linked[i] <= chars[i]}
         inside = [n.article in chosen for n in nodes]
     else:
-        core = [not boiler[node] and (c or nodes[node].tag == "h1") for (_, _, node, _), c in zip(lines, content)]
+        # beside content a smoothed ratio is high too, so a line of the core also has some text of its own for its tags
+        own = [len(text) >= OWN_RATIO * cut * tags for text, tags, _, _ in lines]
+        core = [not boiler[node] and (c and o or nodes[node].tag == "h1") for (_, _, node, _), c, o in zip(lines, content, own)]
+        core = core if any(core) else content
         held = _sums(nodes, lines, [int(c) for c in core])
         top = max(i for i, h in enumerate(held) if h == held[0] and (i == 0 or nodes[i].tag in BLOCK))
         while top and 2 * (linked[nodes[top].parent] - linked[top]) <= chars[nodes[top].parent] - chars[top]:
@@ -290,7 +309,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None
     regions the inner one, or the last, is taken; repeated rows give repeated results; an empty table gives an empty table.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c not in ("text", "n_chars")]
-    src = df.select(F.col(f"`{html_col}`").alias("__html"), *[F.col(f"`{c}`") for c in keep])
+    src = df.select(F.col(f"`{html_col}`").alias(free_name(keep, "__html")), *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.llm.common import free_name
+
 DIMS = 1 << 13
 SAMPLE_DOCS = 2400
 CLUSTERS = 3
@@ -160,7 +162,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     new = ["lang_pred", "score", "rejected"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in new]
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x clusters x DIMS numbers
-    src = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in keep])
+    src = docs.select(F.col(f"`{text_col}`").alias(free_name(keep, "__text")), *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

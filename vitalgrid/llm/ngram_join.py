@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.blocks import links_in_blocks
-from vitalgrid.llm.common import MAX_FILTER_BITS, MIN_FILTER_BITS, Written, likely_among
+from vitalgrid.llm.common import MAX_FILTER_BITS, MIN_FILTER_BITS, Written, free_name, likely_among
 from vitalgrid.llm.components import link_groups
 
 WORDS = 5
@@ -418,5 +418,6 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of linked ones: that with the smallest doc_id. Documents without links stay."""
-    later = join_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("later_id")).distinct()
-    return docs.join(later, docs["doc_id"] == F.col("later_id"), "left_anti")
+    name = free_name(docs.columns, "__later")
+    later = join_components(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(later, docs["doc_id"] == later[name], "left_anti")

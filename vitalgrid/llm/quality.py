@@ -141,9 +141,10 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 
     Null and empty texts have no words, so they fail the base test; repeated rows are judged alike, each on
     its own; long texts are counted whole, inside their row; an empty table gives an empty table.
-    Columns of ``keep`` must not bear the names of the result's own columns; others of the input are ignored.
+    Columns of ``keep`` (default: all) with the name of the text or of one of the result's own columns are left out.
     """
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col]
+    own = {c.lower() for c in (*votes(count_text(docs.select(F.col(f"`{text_col}`")), text_col, [])).columns, "clean_probability", "base_failed", "kept", text_col)}
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in own]
     voted = Written(votes(count_text(docs, text_col, keep)), "counted").df
     share, chance = estimate(voted)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
