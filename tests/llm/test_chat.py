@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from vitalgrid.llm import chat_format
 
@@ -48,3 +49,14 @@ def test_loss_text_follows_the_mask(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string, formatted int")
     assert chat_format.format_chats(df).count() == 0
+
+
+def test_time_follows_the_turns(spark):
+    took = {}
+    for n in (2000, 2000, 8000):
+        df = spark.range(n).selectExpr("1 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('é [x', id, repeat(' word', 20)) as text")
+        began = time.time()
+        row = chat_format.digests(df).first()
+        took[n] = time.time() - began
+        assert row.n_turns == n and row.loss_chars == sum(len(f"é [x{i}") + 100 for i in range(1, n, 2))
+    assert took[8000] < 5 * took[2000] + 1

@@ -5,6 +5,7 @@ import os
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import warc
@@ -71,3 +72,40 @@ def test_source_pushes_filters_and_reads_foreign_members(spark, tmp_path):
     assert some.count() == 10 and sorted(r.n for r in some.select(F.length("payload").alias("n")).collect()) == list(range(2, 31, 3))
     assert warc.read_archives(spark, path, payload=False).where("payload is not null").count() == 0
     assert not [x for x in os.listdir(path) if x.startswith("_")]
+
+
+def test_files_are_read_once(spark, tmp_path):
+    """Many small records: hardly more bytes than the file has, and every payload is verified though none is returned."""
+    df = spark.range(6000).selectExpr("id as page_id", "'u' as url", "concat(id, repeat(hex(id * 7919), 40)) as html").coalesce(1)
+    warc.write_archives(warc.to_records(df), str(tmp_path / "w"))
+    (name,) = [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".warc.gz")]
+    read = [0]
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n):
+            got = self.f.read(n)
+            read[0] += len(got)
+            return got
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def size(self):
+            return os.path.getsize(name)
+
+    reader = warc.WarcReader(str(tmp_path / "w"), False, True, 1 << 30, True)
+    with open(name, "rb") as f:
+        rows = list(reader._records(Counted(f)))
+    assert len(rows) == 6000 and all(r["payload"] is None for r in rows) and read[0] <= 1.2 * os.path.getsize(name)
+
+
+def test_unreturned_payloads_are_verified(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+    bad = warc.gzip_member(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("Content-Type", "application/http"), ("WARC-Payload-Digest", "sha1:none")], http))
+    (tmp_path / "a.warc.gz").write_bytes(bad)
+    assert warc.read_archives(spark, str(tmp_path), payload=False).count() == 1
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_archives(spark, str(tmp_path), payload=False, verify_all=True).count()

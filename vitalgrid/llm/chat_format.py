@@ -78,6 +78,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     """Format conversations (conv_id, turn, role, text), one row per conv_id.
 
     Result: conv_id, formatted string, turns array<struct<role,text>> as read back from formatted,
+    pieces array<struct<text, runs>>: formatted cut by turn, each with its part of the mask;
     loss_mask array<struct<chars int, loss boolean>>: runs of code points that cover formatted.
     A null text or role is empty; an empty role stays one; rows are taken by turn, then role, then
     text (null turns first, repeated rows each count); rows with a null conv_id form one conversation;
@@ -108,6 +109,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     return df.select(
         "conv_id",
         "formatted",
+        F.transform("parsed", lambda t: F.struct(t["turn_text"].alias("text"), runs(t).alias("runs"))).alias("pieces"),
         F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
         F.flatten(F.transform("parsed", runs)).alias("loss_mask"),
     )
@@ -126,10 +128,25 @@ def loss_text(formatted: Column, loss_mask: Column) -> Column:
     return F.aggregate(loss_mask, zero, step, lambda acc: F.array_join(acc["parts"], ""))
 
 
+def loss_of_pieces(pieces: Column) -> Column:
+    """The same from the pieces of the formatted text, one a turn, that it is the sequence of: work in proportion to the text."""
+
+    def cut(piece: Column) -> Column:
+        def one(run: Column, k: Column) -> Column:
+            at = F.aggregate(F.slice(piece["runs"], F.lit(1), k), F.lit(0), lambda a, r: a + r["chars"])
+            body = F.substring(piece["text"], at + 1, run["chars"])
+            mark = F.substring(piece["text"], at - 2, F.lit(1)) == "!"
+            return F.when(run["loss"], F.when(mark, unescape(body)).otherwise(body)).otherwise("")
+
+        return F.array_join(F.transform(piece["runs"], one), "")
+
+    return F.array_join(F.transform(pieces, cut), "")
+
+
 def digests(rows: DataFrame) -> DataFrame:
     """Digests of what is read back from the formatted text: the turns by the grammar, the loss text under the loss mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return format_chats(rows).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_mask"))).select(
+    return format_chats(rows).withColumn("loss", loss_of_pieces(F.col("pieces"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),

@@ -60,6 +60,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIXED_DATE = "1970-01-01T00:00:00Z"
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 16 << 20
+AHEAD_BYTES = 2 << 20  # read at once
 FIRST_BYTES = 2 << 10  # of a record, inflated at once until its headers end
 GZIP_HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<H", 8)
 
@@ -137,9 +138,27 @@ class Files(InputPartition):
         super().__init__(paths)
 
 
+class _Ahead:
+    """A file read in large pieces, of which small ones are cut."""
+
+    def __init__(self, f):
+        self.f, self.at, self.data = f, 0, b""
+
+    def cut(self, at: int, n: int) -> bytes:
+        """The bytes [at, at + n), as far as there are any."""
+        skip = at - self.at
+        if not 0 <= skip <= len(self.data) - n:
+            self.data = self.data[skip:] if 0 <= skip < len(self.data) else b""
+            self.at = at
+            self.f.seek(at + len(self.data))
+            self.data += self.f.read(max(n - len(self.data), AHEAD_BYTES))
+            skip = 0
+        return self.data[skip : skip + n]
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool, verify: bool, partition_bytes: int):
-        self.path, self.payload, self.verify, self.partition_bytes = path, payload, verify, partition_bytes
+    def __init__(self, path: str, payload: bool, verify: bool, partition_bytes: int, verify_all: bool = False):
+        self.path, self.payload, self.verify, self.partition_bytes, self.verify_all = path, payload, verify, partition_bytes, verify_all
         self.wanted: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -197,10 +216,9 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def _records(self, f) -> Iterator[dict]:
-        at, end = 0, f.size()
+        at, end, ahead = 0, f.size(), _Ahead(f)
         while at < end:
-            f.seek(at)
-            start = f.read(64 << 10)
+            start = ahead.cut(at, 64 << 10)
             member = self._stated_length(start)
             if member is None:  # written elsewhere: find the member's end by inflating it
                 plain, member = self._inflate_unstated(f, at)
@@ -216,8 +234,8 @@ class WarcReader(DataSourceReader):
                 k, _, v = line.partition(":")
                 head[k.strip().lower()] = v.strip()
             if self._wants(head):
-                if more and (self.payload or not self._told_by_headers(head, block, more)):
-                    rest = f.read(member - len(start)) if member > len(start) else b""
+                if more and (self.payload or self.verify_all or not self._told_by_headers(head, block, more)):
+                    rest = ahead.cut(at + len(start), member - len(start)) if member > len(start) else b""
                     block += more.decompress(more.unconsumed_tail + rest) if not more.eof else b""
                 yield self._row(head, block[: int(head.get("content-length", 0))])
             at += member
@@ -261,7 +279,7 @@ class WarcReader(DataSourceReader):
             row["payload_length"] = int(stated) if stated.isdigit() else len(payload)
         if row["record_type"] == "revisit":
             return row
-        if self.payload and self.verify and row["payload_digest"] and row["payload_digest"] != "sha1:" + sha1_base32(payload):
+        if (self.verify_all or self.payload and self.verify) and row["payload_digest"] and row["payload_digest"] != "sha1:" + sha1_base32(payload):
             raise ValueError(f"payload of {row['record_id']} does not match its digest")
         row["payload"] = payload if self.payload else None
         return row
@@ -279,7 +297,7 @@ class WarcDataSource(DataSource):
 
     def reader(self, schema) -> WarcReader:
         o = self.options
-        return WarcReader(o["path"], o.get("payload", "true") == "true", o.get("verify", "true") == "true", int(o.get("partitionBytes", PARTITION_BYTES)))
+        return WarcReader(o["path"], o.get("payload", "true") == "true", o.get("verify", "true") == "true", int(o.get("partitionBytes", PARTITION_BYTES)), o.get("verifyall", o.get("verifyAll", "false")) == "true")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], int(self.options.get("level", 6)))
@@ -363,17 +381,19 @@ def write_archives(records: DataFrame, path: str) -> None:
     records.write.format("warc").mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True, verify: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, verify: bool = True, verify_all: bool = False) -> DataFrame:
+    """Records of the archives.  ``verify``: payloads that are returned must have their digests; ``verify_all``: so must those that are not."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
+    options = {"payload": payload, "verify": verify, "verifyAll": verify_all}
+    return spark.read.format("warc").options(**{k: str(v).lower() for k, v in options.items()}).load(path)
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write the pages as archives in the shared folder and describe each from what is read back."""
+    """Write the pages as archives in the shared folder and describe each from what is read back; every payload is inflated and its digest verified."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(to_records(pages, min_revisit_bytes), path)
-    back = read_archives(spark, path, payload=False)
+    back = read_archives(spark, path, payload=False, verify_all=True)
     return back.select(
         F.when(F.col("record_id").startswith("<urn:uuid:"), page_id_of(F.col("record_id"))).alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
