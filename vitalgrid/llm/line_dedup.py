@@ -214,7 +214,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = Written(signed_lines(docs), "lines-all").df
     buckets = every.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
     met = Written(buckets.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "lines-met")
-    members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g", "left_semi").distinct()
+    # inner joins with distinct keys: Spark would move a semi join below the filter, and shuffle all rows
+    members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g").distinct()
     members_kept = Written(members, "lines-members")
     met.drop()
     members = members_kept.df
@@ -223,7 +224,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.join(several, "g")
     ids = Written(members.groupBy(F.col("id").alias("key")).agg(F.max("of").alias("of")), "lines-wanted")
     texts = likely_among(lines(docs).select("key", "line"), "key", ids.df, ids.df.count())
-    near_kept = Written(texts.join(ids.df, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
+    near_kept = Written(texts.join(ids.df.select("key"), "key").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
     near = near_kept.df
     counts = Written(crowd_counts(ids.df.where(F.col("of") > CROWD).select(F.col("key").alias("id")), near), "lines-counts")
     members = members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked")).join(counts.df, "id", "left")
