@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.times import to_us, window_us
 from vitalgrid.operators.grid import Plain, Run, Segments
-from vitalgrid.operators.skew import any_null, heavy, row_salt, salts
+from vitalgrid.operators.skew import HOT_SHARE, any_null, heavy, row_salt, salts
 from vitalgrid.sources.shared import written
 
 SMALL_ROWS = 1_000_000
+HOT_ROWS = 100_000  # of one key
 
 
 def _broadcast(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -59,13 +60,14 @@ def join_many(
     how: str = "full",
     suffixes: list[str] | None = None,
     drop_right_only: bool = False,
-    hot_share: float | None = None,
+    hot_share: float | None = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The rows of ``join_concepts`` applied to all tables from left to right (full, left or inner), with one shuffle for all of them.
 
     The tables are put under one another and shuffled once, by key; each key's rows are collected by table and multiplied out.  Rows with a null
-    in a key match nothing and are dealt evenly.  A key's rows must fit into a task; with ``hot_share`` the rows of keys above that share
-    of all rows are joined pair by pair instead, where Spark can split them.
+    in a key match nothing and are dealt evenly.  Keys with more than ``hot_rows`` rows and more than ``hot_share`` of all are found by a sketch
+    (None: not looked for) and joined pair by pair instead, where Spark can split them, so what a task collects for a key is bounded by these two.
     """
     if how not in ("full", "left", "inner"):
         raise ValueError(f"tables can be joined at once in full, left and inner joins, not {how}")
@@ -80,7 +82,7 @@ def join_many(
         every = tables[0].select(*key)
         for table in tables[1:]:
             every = every.unionByName(table.select(*key))
-        hot = heavy(every, key, hot_share)
+        hot = heavy(every, key, hot_share, hot_rows)
     cold = [t.where(any_null(key) | ~F.xxhash64(*key).isin(hot)) for t in tables] if hot else tables
 
     def tagged(i: int, table: DataFrame) -> DataFrame:

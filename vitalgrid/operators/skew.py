@@ -18,15 +18,15 @@ def any_null(columns: list[Column]) -> Column:
     return out
 
 
-def heavy(df: DataFrame, keys: list[Column], share: float = HOT_SHARE) -> list[int]:
-    """xxhash64 of the keys (without nulls) that may hold more than ``share`` of the rows: at most 2 / share of them.
+def heavy(df: DataFrame, keys: list[Column], share: float = HOT_SHARE, least: int = 0) -> list[int]:
+    """xxhash64 of the keys (without nulls) that may hold more than ``share`` of the rows, and more than ``least``: at most 2 / share of them.
 
     One pass with a frequent-items sketch, which names every key above the share; a rarer key that it names too does no harm.
     """
     most = math.ceil(2 / share)
     hashed = df.where(~any_null(keys)).select(F.xxhash64(*keys).alias("h"))
     row = hashed.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {most}, {min(1_000_000, 8 * most)})").alias("top")).first()
-    return [x["item"] for x in row["top"] or [] if x["count"] > share * row["n"]]
+    return [x["item"] for x in row["top"] or [] if x["count"] > max(least, share * row["n"])]
 
 
 def salts(df: DataFrame) -> int:
