@@ -25,6 +25,7 @@ from vitalgrid.sources.shared import written
 
 MAX_CUTS = 100_000  # segments of all subjects, which every task may hold
 SUBJECT_CUTS = 1000  # of one subject
+_COARSE = 32
 
 
 @dataclass(frozen=True)
@@ -79,12 +80,15 @@ class Segments:
         # as many of the quantiles as give segments of about the wanted size
         step = F.greatest(F.lit(1), F.floor(F.lit(SUBJECT_CUTS) * self.rows / F.col("n")).cast("int"))
         cuts = every.select("subject_id", F.array_distinct(F.filter("at", lambda x, i: F.pmod(i + 1, step) == 0)).alias("cuts"))
-        self.cuts = written(cuts, "grid-cuts")
+        # every 32nd cut besides, so that a row finds its segment in two short searches
+        self.cuts = written(cuts.withColumn("coarse", F.filter("cuts", lambda x, i: F.pmod(i + 1, F.lit(_COARSE)) == 0)), "grid-cuts")
 
     def place(self, df: DataFrame) -> DataFrame:
         """Rows with their segment, dealt by it and written, so that they can be gone through twice."""
         out = df.drop("segment", "cut").join(F.broadcast(self.cuts), "subject_id", "left").withColumn("cut", F.col("cuts").isNotNull())
-        out = out.withColumn("segment", F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("t"))), F.lit(0))).drop("cuts")
+        before = lambda cuts: F.size(F.filter(cuts, lambda x: x < F.col("t")))
+        out = out.withColumn("coarse", before("coarse") * _COARSE)
+        out = out.withColumn("segment", F.coalesce(F.col("coarse") + before(F.slice("cuts", F.col("coarse") + 1, F.lit(_COARSE))), F.lit(0))).drop("cuts", "coarse")
         return written(out.repartition("subject_id", "segment"), "grid-segments")
 
     def run(self, df: DataFrame, runs: dict[str, Run]) -> DataFrame:
