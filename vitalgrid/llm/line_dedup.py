@@ -213,15 +213,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = Written(signed_lines(docs), "lines-all").df
     buckets = every.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
-    met = Written(buckets.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "lines-met")
+    # buckets of two lines or more; those that hold but one line, repeated, are none
+    met = Written(buckets.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g"), "lines-met")
     # inner joins with distinct keys: Spark would move a semi join below the filter, and shuffle all rows
     members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g").distinct()
     members_kept = Written(members, "lines-members")
     met.drop()
     members = members_kept.df
-    # buckets that hold but one line, repeated, go
-    several = members.groupBy("g").agg(F.count("*").alias("of")).where("of > 1")
-    members = members.join(several, "g")
+    members = members.join(members.groupBy("g").agg(F.count("*").alias("of")), "g")
     ids = Written(members.groupBy(F.col("id").alias("key")).agg(F.max("of").alias("of")), "lines-wanted")
     texts = likely_among(lines(docs).select("key", "line"), "key", ids.df, ids.df.count())
     near_kept = Written(texts.join(ids.df.select("key"), "key").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
