@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of documents.
+
+What every stage does with odd input: texts are taken whole, however long; repeated rows are rows like others (equal texts fall to
+line dedup, or to the n-gram join); a null doc_id is kept, takes no part in the n-gram join and counts as one id in line dedup; other columns pass through with their
+values, whatever their names (but two leading underscores are the library's own); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,25 +20,35 @@ from vitalgrid.llm.common import Written
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names that no operator uses, and these names by the old ones."""
+    names = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose language cannot be told; fill in a language that is missing."""
-    told = langid.predict(docs, langid.fit(docs)).where(~F.col("rejected"))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Drop the documents whose language cannot be told (null, empty and letterless texts are among them); fill in a language that is missing."""
+    rows, names = apart(docs)
+    told = langid.predict(rows, langid.fit(docs), names["text"]).where(~F.col("rejected"))
+    values = {c: F.col(n) for c, n in names.items()} | {"lang": F.coalesce(names["lang"], "lang_pred")}
+    return told.select(*[v.alias(c) for c, v in values.items()])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one line of each group of near lines."""
+    """Keep one line of each group of near lines; a document goes when it loses its last line, and null and blank texts stay."""
     return line_dedup.rebuild(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that links by word shingles."""
+    """Keep one document of each group that links by word shingles, that with the smallest doc_id; texts without words link with none."""
     return ngram_join.keep_first(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixing schedule: files of rising number, each in schedule order."""
-    return mixing.mix(docs).orderBy("mix_slot", "mix_offset").select(*docs.columns)
+    """All documents in the order of the mixing schedule: files of rising number, each in schedule order.  A null source is one of its own."""
+    rows, names = apart(docs)
+    mixed = mixing.mix(rows, id_col=names["doc_id"], source_col=names["source"]).orderBy("mix_slot", "mix_offset")
+    return mixed.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -57,7 +71,7 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, digests of the ids and of what they decode to, and its position in the mixing schedule."""
+    """Token ids of every document (null: none), digests of the ids and of what they decode to, and its position in the mixing schedule."""
     docs = in_order(docs)
     kept = [c for c in ("doc_id", "lang", "source", "position") if c in docs.columns]
     both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, PIECE_MODEL, keep=kept), PIECE_MODEL)
