@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vitalgrid.llm import langid, line_dedup, mixing, ngram_join, sentencepiece_bpe
 from vitalgrid.llm.common import Written
@@ -37,3 +39,20 @@ def test_positions_follow_the_schedule(spark):
     for frame in (reread, mixed):
         out = sorted((r.position, r.doc_id) for r in corpus_pipeline.tokens(spark, frame, SF).select("doc_id", "position").collect())
         assert out == list(enumerate(schedule))
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    long = "some words of the text that are enough to tell its language, and a line that is long enough"
+    rows = [(i, f"{long} number {i * 7919} of them " + " ".join(f"w{i}x{k}" for k in range(12)), None, ("s", None)[i % 2], i, f"k{i}", i, i) for i in range(12)]
+    rows += [(None, None, None, None, 100, "none", 1, 1), (50, "", "en", "s", 101, "empty", 1, 1), (51, "z " * 20000, "en", "s", 102, "long", 1, 1), rows[3], (3, rows[4][1], "en", "s", 103, "same id", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, rejected string, mix_slot int, later_id int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df.withColumn("lang", F.coalesce("lang", F.lit("en"))), SF)
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert got and {(r.score, r.rejected) for r in got} <= {(r[4], r[5]) for r in rows}, name
+        assert all(r.mix_slot == r.later_id for r in got), name
+        assert stage(spark, df.limit(0), SF).count() == 0, name
+    assert len(corpus_pipeline.mixture(spark, df, SF).collect()) == len(rows)
+    tokens = corpus_pipeline.tokens(spark, df, SF).collect()
+    assert len(tokens) == len(rows) and sorted(r.position for r in tokens) == list(range(len(rows)))

@@ -251,7 +251,11 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: lis
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Per document the length and digest of its ids and the digest of the text decoded from them."""
+    """Per document the length and digest of its ids and the digest of the text decoded from them.
+
+    Null and empty texts have no ids and decode to an empty text; texts are encoded whole; repeated rows are repeated, a null doc_id
+    stays null; other columns are ignored; an empty table gives an empty table.
+    """
     both = decode(encode(docs, model_path, "text", keep=["doc_id"]), model_path)
     return both.select(
         F.col("doc_id").cast("long").alias("doc_id"),
