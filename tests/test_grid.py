@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import grid, scores
@@ -133,3 +134,19 @@ def test_scores_together_equal_scores_one_by_one(spark, tmp_path):
         assert sorted(tuple(r) for r in one.collect()) == want
         plan = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
+
+
+def test_rows_of_one_instant_by_the_largest(spark):
+    twice = concept(spark, (0, 0), (24, 150), (24, 120), (27, 300), (27, None))
+    sums = {at_once: grid.align({"a": twice}, {"x": grid.SegmentedRollingSum("a", "24h")}, at_once=at_once) for at_once in (None, "max", "min")}
+    got = {k: {(r.time - START).total_seconds() / 3600: r.x for r in df.collect()} for k, df in sums.items()}
+    assert got[None] == {0: None, 24: 270.0, 27: 570.0} and got["max"] == {0: None, 24: 150.0, 27: 450.0} and got["min"] == {0: None, 24: 120.0, 27: 420.0}
+    assert series(scores.sofa_renal({"urine_output": twice}, at_once="max")) == {24: 4.0, 27: 3.0}
+    assert series(scores.sofa_renal({"urine_output": twice})) == {24: 3.0, 27: 0.0}
+    with pytest.raises(ValueError):
+        grid.align({"a": twice}, {"x": grid.Locf("a")}, at_once="first")
+
+
+def test_urine_limits_are_32_bit(spark):
+    volume = concept(spark, (0, 0), (20, 66.7), (22, 66.7), (24, 66.6))  # 199.99999 in 64 bits, 200 in 32
+    assert series(scores.sofa_renal({"urine_output": volume})) == {24: 3.0}

@@ -43,15 +43,15 @@ def over(score: Callable[..., Score]) -> Callable[..., DataFrame]:
     """The score as a function of its sources and options."""
 
     @wraps(score)
-    def run(sources: Sources, *args, hot_rows: int | None = None, **options) -> DataFrame:
-        return score(*args, **options).over(sources, hot_rows)
+    def run(sources: Sources, *args, hot_rows: int | None = None, at_once: str | None = None, **options) -> DataFrame:
+        return score(*args, **options).over(sources, hot_rows, at_once)
 
     return run
 
 
 def renal_score(window: str = DAY, urine_output_gap: str | None = None) -> Score:
     inputs = {"creatinine": WindowedLocf(window=window), "urine_output": SegmentedRollingSum(window=window, gap=urine_output_gap or window)}
-    return graded(inputs, F.greatest(at_least(F.col("creatinine"), CREATININE), below(F.col("urine_output"), URINE)))
+    return graded(inputs, F.greatest(at_least(F.col("creatinine"), CREATININE), below(F.col("urine_output").cast("float"), URINE)))
 
 
 def coagulation_score(window: str = DAY) -> Score:
@@ -114,10 +114,10 @@ SOFA = {
 sofa_renal, sofa_coagulation, sofa_liver, sofa_cns, sofa_cardiovascular, sofa_respiratory = (over(s) for s in SOFA.values())
 
 
-def sofa_total(sources: Sources, window: str = DAY, hot_rows: int | None = None) -> DataFrame:
-    """Sum of the organ scores' current values; one that is missing counts as 0.  All from one grid; ``hot_rows`` as in ``grid.align``."""
+def sofa_total(sources: Sources, window: str = DAY, hot_rows: int | None = None, at_once: str | None = None) -> DataFrame:
+    """Sum of the organ scores' current values; one that is missing counts as 0.  All from one grid; ``hot_rows`` and ``at_once`` as in ``grid.align``."""
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(n), f32(0)) for n in SOFA])
-    return evaluate_together(sources, {name: score(window) for name, score in SOFA.items()}, window, total, hot_rows)
+    return evaluate_together(sources, {name: score(window) for name, score in SOFA.items()}, window, total, hot_rows, at_once)
 
 
 def aki_creatinine_score(window: str = DAY, baseline_window: str = "7d", acute_window: str = "48h", require_acute_rise: bool = True) -> Score:
@@ -142,8 +142,9 @@ def aki_urine_output_score(urine_output_gap: str | None = None, weight_concept:
     inputs: dict[str, Input] = {n: SegmentedRollingSum("urine_output", f"{h}h", gap=urine_output_gap) for h, n in hours.items()}
     inputs["weight"] = Locf(weight_concept)
     weight = F.col("weight") if default_weight_kg is None else F.coalesce("weight", f32(default_weight_kg))
-    rate = {h: F.when(weight > 0, (F.col(n) / (weight * h)).cast("float")) for h, n in hours.items()}
-    stage = F.when((F.col("urine_12h") <= 0) | (rate[24] < f32(0.3)), 3).when(rate[12] < f32(0.5), 2).when(rate[6] < f32(0.5), 1).otherwise(0)
+    volume = {h: F.col(n).cast("float") for h, n in hours.items()}
+    rate = {h: F.when(weight > 0, (v / (weight * f32(h))).cast("float")) for h, v in volume.items()}
+    stage = F.when((volume[12] <= 0) | (rate[24] < f32(0.3)), 3).when(rate[12] < f32(0.5), 2).when(rate[6] < f32(0.5), 1).otherwise(0)
     seen = reduce(lambda a, b: a | b, [r.isNotNull() for r in rate.values()])
     return graded(inputs, stage, observed=seen, triggers={"urine_6h"}, needs=frozenset() if default_weight_kg is not None else frozenset({weight_concept}))
 
@@ -151,7 +152,7 @@ def aki_urine_output_score(urine_output_gap: str | None = None, weight_concept:
 aki_creatinine, aki_urine_output = over(aki_creatinine_score), over(aki_urine_output_score)
 
 
-def aki_stage(sources: Sources, window: str = DAY, urine_output_gap: str | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Larger of the current stages by creatinine and by urine output.  Both from one grid; ``hot_rows`` as in ``grid.align``."""
+def aki_stage(sources: Sources, window: str = DAY, urine_output_gap: str | None = None, hot_rows: int | None = None, at_once: str | None = None) -> DataFrame:
+    """Larger of the current stages by creatinine and by urine output.  Both from one grid; ``hot_rows`` and ``at_once`` as in ``grid.align``."""
     parts = {"by_creatinine": aki_creatinine_score(window), "by_urine": aki_urine_output_score(urine_output_gap)}
-    return evaluate_together(sources, parts, window, F.greatest(*parts), hot_rows)
+    return evaluate_together(sources, parts, window, F.greatest(*parts), hot_rows, at_once)
