@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixing schedule: files of rising number, each in schedule order.  A null source is one of its own."""
     rows, names = apart(docs)
-    mixed = mixing.mix(rows, id_col=names["doc_id"], source_col=names["source"]).orderBy("mix_slot", "mix_offset")
+    mixed = mixing.mix(rows, id_col=names["doc_id"], source_col=names["source"], block_docs=mixing.BLOCK_DOCS).orderBy("mix_slot", "mix_offset")
     return mixed.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
@@ -74,7 +74,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (null: none), digests of the ids and of what they decode to, and its position in the mixing schedule."""
     docs = in_order(docs)
     kept = [c for c in ("doc_id", "lang", "source", "position") if c in docs.columns]
-    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, PIECE_MODEL, keep=kept), PIECE_MODEL)
+    both = sentencepiece_bpe.round_trip(docs, PIECE_MODEL, keep=kept)
     return both.select(
         *kept,
         F.size("token_ids").cast("long").alias("n_tokens"),

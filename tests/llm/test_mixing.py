@@ -121,3 +121,20 @@ def test_weights_for_some_sources(spark):
     assert abs(got["s0"] - 100) <= 1 and abs(got["s1"] - 300) <= 1 and abs(got["s2"] - 200) <= 1 and abs(got["s3"] - 200) <= 1
     none = mixing.mix(df, {"s0": 0.0, "s1": 1.0}, block_docs=1).groupBy("source").agg(F.count("*").alias("n")).collect()
     assert all(r.n == 1000 for r in none)
+
+
+def test_size_switches_change_no_result(spark, monkeypatch):
+    source = F.when(F.col("id") % 2 == 0, "big").when(F.col("id") % 9 == 0, F.concat(F.lit("tiny"), F.floor(F.col("id") / 60))).otherwise("mid")
+    df = spark.range(5000).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("doc_id"), source.alias("source"))
+    df = df.union(spark.range(900).select(F.lit(7).cast("long"), F.lit("big")))
+    made = lambda: sorted((r.doc_id or -1, r.mix_slot, r.mix_offset) for r in mixing.mix(df, block_docs=4).where("doc_id is not null or source = 'big'").collect())
+    plain = made()
+    for name, value in (("MAX_BLOCKS", 50), ("ROWS_PER_BUCKET", 10), ("MAX_SOURCES", 3), ("PIECE_BLOCKS", 100), ("HOT_ROWS", 20)):
+        monkeypatch.setattr(mixing, name, value)
+        assert made() == plain, name
+
+
+def test_small_tables_are_ordered_as_large_ones(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"))
+    order = lambda d: [r.doc_id for r in mixing.mix(d).orderBy("mix_slot", "mix_offset").collect()]
+    assert [i for i in order(df) if i < 300] == order(df.where("doc_id < 300"))

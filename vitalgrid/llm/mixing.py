@@ -4,12 +4,12 @@ Each source's documents, in a fixed pseudo-random order, are cut into blocks.  A
 releases its block j at slot floor(j / w) and must have it placed before slot ceil((j + 1) / w);
 each slot takes the released block with the earliest deadline.  Then, at every slot, no source
 is a whole block ahead of or behind its weight.  Weights are whole shares of ``RESOLUTION``, so that rounding
-moves no source by a thousandth of a block in a billion slots.  Blocks grow with the data, so that there are ``MAX_BLOCKS`` or
-little more at most, however many rows: the driver lays out the schedule of the blocks, one step for each, and a document finds its slot by
-its source and block.  Sources of less than a block are scheduled in pools of many, whose weights add up.
+moves no source by a thousandth of a block in a billion slots.  The driver lays out the schedule of the blocks, one step for each, in
+pieces, and a document finds its slot by its source and block.  Sources of less than a block are scheduled in pools of many, whose weights add up.
 
-Ranks inside a source come from bucket counts and ranks inside hash buckets, so that a source
-with a third of all rows is dealt over as many tasks as it needs.
+Ranks inside a source come from bucket counts and ranks inside ranges of the hash, so that a source
+with a third of all rows is dealt over as many tasks as it needs.  How many ranges there are, and how the schedule is joined, goes by the
+input's size and changes no result; the size of a block does only where the caller names none.
 """
 
 from __future__ import annotations
@@ -22,18 +22,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import Written, new_path
-from vitalgrid.operators.skew import heavy
+from vitalgrid.operators.skew import MAX_SALTS, heavy, row_salt
 
 PERIOD_SLOTS = 1000
 BLOCK_DOCS = 8
 ROWS_PER_BUCKET = 100_000
 MIN_BUCKETS = 64
-MAX_SOURCES = 20_000  # each with a schedule of its own; beyond them those of less than a block are pooled
+HOT_ROWS = 10_000  # of one id, dealt over several tasks
+MAX_SOURCES = 20_000  # no limit any more; a test sets it
 POOLS = 1024
 SIZE_POWER = 0.5
 RESOLUTION = 1 << 40
 PIECE_BLOCKS = 500_000  # laid out at once on the driver
-MAX_BLOCKS = 2_000_000  # at 24 bytes each in every task
+MAX_BLOCKS = 2_000_000  # at 24 bytes each in every task; more are joined by a shuffle
 
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
@@ -118,7 +119,7 @@ def _weighed(found: DataFrame, weights: dict[str | None, float] | None) -> DataF
 def mix(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
-    block_docs: int = BLOCK_DOCS,
+    block_docs: int | None = None,
     slots: int = PERIOD_SLOTS,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -126,10 +127,10 @@ def mix(
     """All rows with mix_block, mix_release, mix_deadline, mix_slot (long) and mix_offset (int); order by (mix_slot, mix_offset).
 
     ``weights`` by source: finite, not negative, one above 0 (else ValueError).  All sources weigh (their rows) ** 0.5 when it is None; a source
-    without one weighs as much, at the scale of the given ones; one of weight 0 comes when the others leave slots.  ``block_docs``: rows of a block, at
-    least; beyond ``MAX_BLOCKS`` blocks they grow.  ``slots``: blocks of a source in a row of the layout.  No row is dropped or repeated: once a
+    without one weighs as much, at the scale of the given ones; one of weight 0 comes when the others leave slots.  ``block_docs``: rows of a block, whatever
+    the input's size; None: ``BLOCK_DOCS``, or as many as make ``MAX_BLOCKS`` blocks.  ``slots``: blocks of a source in a row of the layout.  No row is dropped or repeated: once a
     source has run out, others' released blocks take its slots or they stay empty, and the bound on the deviation holds up to there.  A null source
-    is a source of its own; beyond ``MAX_SOURCES`` sources those of less than a block are pooled.  Null ids and repeated rows are
+    is a source of its own; sources of less than a block are pooled, those of weight 0 apart.  Null ids and repeated rows are
     ordinary rows (equal ids follow each other in no fixed order); an empty table gives an empty table;
     input columns with the names of the new ones are replaced.
     """
@@ -138,40 +139,47 @@ def mix(
     rows = docs.drop(*new)
     key = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     rows = rows.withColumn("__source", key)
-    # ids that many rows share, and null ones, are spread over buckets by row; the rows are written first, so that this happens once
-    shared = heavy(rows, [F.col(f"`{id_col}`")])
-    nulls = not rows.where(F.col(f"`{id_col}`").isNull()).isEmpty()
-    own = F.xxhash64(F.col(f"`{id_col}`"))
-    if shared or nulls:
-        rows = Written(rows.withColumn("__hash", F.when(F.col(f"`{id_col}`").isNull() | own.isin(shared), F.xxhash64(F.monotonically_increasing_id(), F.spark_partition_id())).otherwise(own)), "mixing-rows").df
-    else:
-        rows = rows.withColumn("__hash", own)
+    rows = rows.withColumn("__hash", F.xxhash64(F.col(f"`{id_col}`")))
+    # rows that share an id lie together in their source; those of ids with very many are dealt by row, and are written first, so that this happens once
+    shared = heavy(rows, [F.col(f"`{id_col}`")], least=HOT_ROWS)
+    if rows.where(F.col(f"`{id_col}`").isNull()).count() > HOT_ROWS:
+        shared.append(rows.sparkSession.range(1).select(F.xxhash64(F.lit(None).cast(docs.schema[id_col].dataType))).first()[0])
+    part, salt = F.lit(0), F.lit(0)
+    if shared:
+        hot = F.col("__hash").isin(shared)
+        part = 2 * F.size(F.filter(F.array(*[F.lit(h) for h in sorted(set(shared))]), lambda h: h < F.col("__hash"))) + hot.cast("int")
+        salt = F.when(hot, row_salt(MAX_SALTS)).otherwise(0)
+    rows = rows.withColumn("__part", part).withColumn("__salt", salt)
+    if shared:
+        rows = Written(rows, "mixing-rows").df
     sizes = _weighed(rows.groupBy("__source").agg(F.count("*").alias("n")), weights)
-    total, n_sources = sizes.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    block_docs = max(block_docs, -(-total // MAX_BLOCKS))
-    if n_sources > MAX_SOURCES:
-        pool = F.concat(F.lit("p"), F.pmod(F.xxhash64("__source"), F.lit(POOLS)))
-        names = Written(sizes.withColumn("__pool", F.when(F.col("n") < block_docs, pool).otherwise(F.col("__source"))), "mixing-sources").df
-        rows = rows.join(names.where("n < %d" % block_docs).select("__source", "__pool"), "__source", "left").withColumn("__source", F.coalesce("__pool", "__source")).drop("__pool")
-        sizes = names.groupBy(F.col("__pool").alias("__source")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    block_docs = block_docs or max(BLOCK_DOCS, -(-total // MAX_BLOCKS))
+    small = F.col("n") < block_docs
+    pool = F.concat(F.when(F.col("w") > 0, "z").otherwise("zz"), F.pmod(F.xxhash64("__source"), F.lit(POOLS)))
+    names = Written(sizes.withColumn("__pool", F.when(small, pool).otherwise(F.col("__source"))), "mixing-sources").df
+    pooled = names.where(small).select("__source", "__pool")
+    if not pooled.isEmpty():
+        rows = rows.join(pooled, "__source", "left").withColumn("__source", F.coalesce("__pool", "__source")).drop("__pool")
+    sizes = names.groupBy(F.col("__pool").alias("__source")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     found = {r["__source"]: (r["n"], r["w"]) for r in sizes.collect()}  # pools and sources of a block or more: no more than blocks
     given = shares({k: w for k, (_, w) in sorted(found.items())}, RESOLUTION) if found else {}
     blocks = {k: -(-n // block_docs) for k, (n, _) in found.items()}
     layout = _layout(spark, given, blocks, slots)
-    buckets = max(MIN_BUCKETS, total // ROWS_PER_BUCKET)
-    rows = rows.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
-    in_order = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bits = (max(MIN_BUCKETS, total // ROWS_PER_BUCKET) - 1).bit_length()
+    rows = rows.withColumn("__bucket", F.shiftright("__hash", 64 - bits))  # ranges of the hash: their number changes no order
+    at = ["__bucket", "__part", "__salt"]
+    in_order = Window.partitionBy("__source").orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        rows.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
-        .select("__source", "__bucket", F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"))
+        rows.groupBy("__source", *at).agg(F.count("*").alias("__n"))
+        .select("__source", *at, F.coalesce(F.sum("__n").over(in_order), F.lit(0)).alias("__before"))
     )
-    in_bucket = Window.partitionBy("__source", "__bucket").orderBy("__hash", id_col)
-    ranked = rows.withColumn("__row", F.row_number().over(in_bucket)).join(before, ["__source", "__bucket"])
+    in_bucket = Window.partitionBy("__source", *at).orderBy("__hash", id_col)
+    ranked = rows.withColumn("__row", F.row_number().over(in_bucket)).join(before, ["__source", *at])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__row") - 1)
     ranked = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block_docs))
     ranked = ranked.withColumn("__run", F.floor(F.col("mix_block") / slots))
-    placed = ranked.join(F.broadcast(layout), ["__source", "__run"])
+    placed = ranked.join(F.broadcast(layout) if sum(blocks.values()) <= MAX_BLOCKS else layout, ["__source", "__run"])
     at = lambda c: F.get(F.col(c), (F.col("mix_block") % slots).cast("int"))
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in new],
@@ -184,4 +192,4 @@ def mix(
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source"))
+    return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source"), block_docs=BLOCK_DOCS)
