@@ -52,3 +52,12 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "words of a text", 1, "en", 2.0)], "doc_id long, text string, __text int, lang_pred string, score double")
     row = langid.predict(df, langid.fit(df.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")))).first()
     assert row["__text"] == 1 and 0 <= row.score <= 1
+
+
+def test_a_kept_text_travels_once(spark):
+    df = docs(spark, 30).withColumn("at", F.monotonically_increasing_id())
+    out = langid.predict(df, langid.fit(df))
+    assert out.columns == ["doc_id", "text", "lang", "at", "lang_pred", "score", "rejected"]
+    plan = out._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1]
+    assert "__text" not in plan
+    assert {r.at: r.text for r in out.collect()} == {r.at: r.text for r in df.collect()}

@@ -51,3 +51,12 @@ def test_table(spark, both):
     assert out[3].n_tokens == len(ids) and out[3].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert out[4].n_tokens == len(both[1].encode("long " * 20000))
     assert bpe.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_one_worker_for_both_ways(spark):
+    df = spark.createDataFrame([(1, None), (2, "Hello  world"), (None, "日本 x")], "decoded long, text string")
+    got = bpe.round_trip(df, MODEL)
+    apart = bpe.decode(bpe.encode(df.drop("decoded"), MODEL), MODEL)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, apart.select("text", "token_ids", "decoded").collect()), key=str)
+    plan = bpe.digests(df.withColumnRenamed("decoded", "doc_id"), MODEL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -28,6 +28,7 @@ CLUSTERS = 3
 LEAST_EACH = 4  # sampled of each language, however many there are
 REJECT_SHARE = 0.25  # of the low end of the sample's cosines
 UNKNOWN = "und"
+ROWS_PER_BATCH = 1024  # given back at once
 NOT_LETTERS = re.compile(r"[\W\d_]+")  # all but letters and number forms, as ½
 
 
@@ -162,15 +163,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     new = ["lang_pred", "score", "rejected"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in new]
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x clusters x DIMS numbers
-    src = docs.select(F.col(f"`{text_col}`").alias(free_name(keep, "__text")), *[F.col(f"`{c}`") for c in keep])
+    # a text that is kept travels once
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`").alias(free_name(keep, "__text"))]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column(0)]
-            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*keep, *new])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_PER_BATCH):
+                batch = whole.slice(start, ROWS_PER_BATCH)
+                got = [m.predict(t.as_py()) for t in batch.column(at)]
+                cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *new])
 
     return src.mapInArrow(run, schema)
 

@@ -17,16 +17,19 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.llm.common import free_name
+
 MARK = "▁"
 CACHE_ENTRIES = 300_000
 PAIR_ENTRIES = 500_000
@@ -215,6 +218,11 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[st
     model = df.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
     src = df.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)])
+    return src.mapInArrow(_encoder(model, keep), schema)
+
+
+def _encoder(model: Broadcast, keep: list[str], decoded: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From a text and the columns ``keep`` to these and its ids, and, where asked for, the text that the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
@@ -226,9 +234,20 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: list[st
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 field = pa.field("element", pa.int32(), nullable=False)
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat, type=pa.list_(field))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], names=[*keep, "token_ids"])
+                back = [pa.array([codec.decode(x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], lists, *back], names=[*keep, "token_ids"] + ["decoded"] * decoded)
 
-    return src.mapInArrow(run, schema)
+    return run
+
+
+def round_trip(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode``, then ``decode``, with one Python worker a task, not two that hold the model's tables each."""
+    new = ["token_ids", "decoded"]
+    keep = [c for c in (keep if keep is not None else df.columns) if c not in new]
+    model = df.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
+    src = df.select(F.col(f"`{text_col}`").alias(free_name(keep, "__text")), *[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)])
+    return src.mapInArrow(_encoder(model, keep, True), schema)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
@@ -256,7 +275,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     Null and empty texts have no ids and decode to an empty text; texts are encoded whole; repeated rows are repeated, a null doc_id
     stays null; other columns are ignored; an empty table gives an empty table.
     """
-    both = decode(encode(docs, model_path, "text", keep=["doc_id"]), model_path)
+    both = round_trip(docs, model_path, "text", keep=["doc_id"])
     return both.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("token_ids").cast("long").alias("n_tokens"),
