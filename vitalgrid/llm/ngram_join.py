@@ -53,9 +53,13 @@ U = np.uint64
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (constants of splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 _STEP = [U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WORDS)]
@@ -68,16 +72,18 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, U)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=U)
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(U)
     if len(h) < WORDS:
         s = _mix((h * np.array(_STEP[: len(h)], dtype=U)).sum(keepdims=True) + U(len(h)))
     else:
         n = len(h) - WORDS + 1
         s = h[:n] * _STEP[0]
         for k in range(1, WORDS):
-            s = s + h[k : k + n] * _STEP[k]
+            s += h[k : k + n] * _STEP[k]
         s = _mix(s)
-    return np.unique(s)
+    s.sort()
+    new = s[1:] != s[:-1]
+    return s if new.all() else s[np.concatenate(([True], new))]
 
 
 def class_of(s: np.ndarray) -> int:
@@ -111,14 +117,15 @@ def _tag(value: np.ndarray, segment: np.ndarray, k: int, kind: int) -> np.ndarra
 class Segments:
     """A set's segments under the scheme of band k."""
 
-    def __init__(self, s: np.ndarray, k: int):
+    def __init__(self, s: np.ndarray, k: int, token: np.ndarray | None = None):
         self.k = k
         _, _, m = band(k)
         seg = ((s >> U(32)) * U(m)) >> U(32)  # rises with s, so that segments are runs
-        self.at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+        ends = np.append(np.flatnonzero(seg[1:] != seg[:-1]) + 1, len(s))
+        self.at = np.concatenate(([0], ends[:-1]))
         self.segment = seg[self.at]
-        self.length = np.diff(np.r_[self.at, len(s)])
-        self.token = _mix(s)
+        self.length = ends - self.at
+        self.token = _mix(s) if token is None else token
         self.value = np.add.reduceat(self.token, self.at)
         self.deletable = (self.segment % U(1 if band(k)[1] <= SMALL_SET else DELETION_STEP)) == 0
 
@@ -185,15 +192,14 @@ def entries(s: np.ndarray, hot: np.ndarray, hot_cost: np.ndarray, crowded: np.nd
     if len(hot):
         place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
         often = np.where(hot[place] == s, hot_cost[place], 0)
-    bands = []
+    bands, token = [], _mix(s)
     for k in _bands_of(n):
-        x = Segments(s, k)
+        x = Segments(s, k, token)
         bands.append((k, x, *x.allocate(_need(n, k), np.minimum.reduceat(often, x.at))))
     short = any(len(one) + 2 * len(two) < _need(n, k) for k, _, one, two in bands)
     if short and crowded is None:
         raise ValueError("a set falls short that was not found beforehand")
     if crowded is not None:
-        token = _mix(s)
         at = token & U(8 * len(crowded) - 1)
         met = ((crowded[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).astype(bool)
         if met.any():
@@ -276,13 +282,13 @@ def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, crowded: np.
         def flush() -> Iterator[pa.RecordBatch]:
             e = np.concatenate(values)
             ids = np.repeat(np.array(names, np.int64), lengths)
-            part = ((e >> U(2)) % U(parts)).astype(np.int64)
+            part = ((e >> U(2)) % U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers sort by radix
             order = np.argsort(part, kind="stable")
             e, ids, part = e[order], ids[order], part[order]
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.r_[at[1:], len(e)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[at]), pa.array([e[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())],
+                [pa.array(part[at].astype(np.int64)), pa.array([e[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())],
                 names=["part", "entries", "classes"],
             )
 
@@ -306,20 +312,19 @@ def _groups(docs: DataFrame, hot: np.ndarray, hot_cost: np.ndarray, crowded: np.
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         e = np.frombuffer(b"".join(pdf["entries"]), U)
         ids = np.frombuffer(b"".join(pdf["classes"]), np.int64)
-        order = np.lexsort((ids, e >> U(2)))
+        order = np.argsort(e >> U(2))
         e, ids = e[order], ids[order]
         v = e >> U(2)
         start = np.r_[True, v[1:] != v[:-1]]
         at = np.flatnonzero(start)
         size = np.diff(np.r_[at, len(e)])
         asked = np.add.reduceat((e & U(1)).astype(np.int64), at) if len(at) else at
-        many = np.flatnonzero((size > 1) & (asked > 0))
+        several = np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at) if len(at) else at > 0  # not all the same class
+        many = np.flatnonzero(several & (asked > 0))
         found: dict[bytes, tuple[list[int], list[int]]] = {}
         for g in many:
             i, j = at[g], at[g] + size[g]
             c, f = ids[i:j], e[i:j] & U(3)
-            if c[0] == c[-1]:  # sorted: all the same class
-                continue
             have, ask = np.unique(c[f >= 2]), np.unique(c[(f & U(1)) == 1])
             if len(have) and len(ask) and not (len(have) == 1 and len(ask) == 1 and have[0] == ask[0]):
                 found[have.tobytes() + b"|" + ask.tobytes()] = (have.tolist(), ask.tolist())
