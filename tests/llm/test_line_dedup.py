@@ -108,3 +108,19 @@ def test_counts_do_not_rule_out_lines_beyond_the_crowd(spark, monkeypatch):
     got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in line_dedup.mark(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = expected(docs)
     assert sum(got[n] == want[n] for n in want) >= len(want) - 1
+
+
+def test_all_steps_are_native(spark):
+    """Signatures, verification, counts and blocks are plans without Python, and blocks give the same links as pairs."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh é😀") for _ in range(200))
+    texts = [base, base[:150] + "x" + base[151:], base[:20] + base[90:], "short", "", base[::-1]]
+    near = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t], "key long, line string")
+    pairs = near.selectExpr("key a").crossJoin(near.selectExpr("key b")).where("a < b")
+    rows = near.selectExpr("1 kind", "7L unit", "0 p", "0 q", "0 own", "key id", "key component")
+    steps = [line_dedup.bands(near), line_dedup.verify(pairs, near), line_dedup.crowd_counts(near.selectExpr("key id"), near), line_dedup.verify_blocks(rows, near)]
+    for df in steps:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), plan
+    assert {tuple(r) for r in steps[1].collect()} == {tuple(r) for r in steps[3].collect()} == {(0, 1)}
+    assert {r.key for r in steps[0].collect()} == {0, 1, 2, 5}

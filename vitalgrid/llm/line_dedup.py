@@ -6,23 +6,17 @@ is the least value of its upper 32 bits XOR c(p).  Lines that agree in all place
 candidates; the exact Jaccard similarity of their shingle sets decides; links are joined to components; and the first
 line (by doc_id, then line number) of each component stays.
 
-Signatures are made where the texts are read, many lines at once, and only their bands are kept; lines are fetched
-again for candidates alone.  Candidates of a bucket are tested against changing hubs, so near copies are not expanded
-into all pairs.  Signatures and verification are numpy inside Arrow batches; all joins, groups and components are DataFrame functions.
+Lines are fetched again for candidates alone.  Candidates of a bucket are tested against changing hubs, so near copies
+are not expanded into all pairs.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.blocks import links_in_blocks
 from vitalgrid.llm.common import Written, likely_among
 from vitalgrid.llm.components import link_groups
 
@@ -31,10 +25,6 @@ BANDS = 8
 ROWS = 3
 PERCENT = 80
 BLANKS = " \t\n\x0b\f\r"
-PIECE_UNITS = 1 << 15  # hashed at once, so that arrays stay in the cache
-
-U = np.uint64
-_STEP = [U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 3)]  # odd multipliers
 
 
 def _constants(n: int) -> list[int]:
@@ -42,147 +32,65 @@ def _constants(n: int) -> list[int]:
     return [made.getrandbits(32) for _ in range(n)]
 
 
-_PLACES = np.array(_constants(BANDS * ROWS), np.uint32)
+_PLACES = [c - (c >> 31 << 32) for c in _constants(BANDS * ROWS)]  # as 32-bit integers with a sign
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, line, key) of all lines of the texts that are not blank; key is a 64-bit hash of the line."""
+    """The rows' other columns, line_no (from 1), line and key of all lines of the texts that are not blank; key is a 64-bit hash of the line."""
     at = F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")
-    out = docs.where(F.col("text").isNotNull()).select("doc_id", at)
-    out = out.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANKS)).alias("line"))
+    rest = [c for c in docs.columns if c != "text"]
+    out = docs.where(F.col("text").isNotNull()).select(*rest, at)
+    out = out.select(*rest, (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANKS)).alias("line"))
     return out.where(F.length("line") > 0).withColumn("key", F.xxhash64("line"))
 
 
-def line_key(line: str) -> int:
-    """The same hash as ``lines`` gives."""
-    return int(np.array(xxhash.xxh64_intdigest(line.encode(), seed=42), U).astype(np.int64))
-
-
-def _runs(units: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE units: four units fit in 64 bits, so a run is two such words and one of two units."""
-    x = units.astype(U)
-    two = (x[:-1] << U(16)) | x[1:]
-    four = (two[:-2] << U(32)) | two[2:]
-    n = len(units) - SHINGLE + 1
-    h = four[:n] * _STEP[0]
-    h ^= h >> U(31)
-    h += four[4 : 4 + n]
-    h *= _STEP[1]
-    h ^= h >> U(29)
-    h += two[8 : 8 + n]
-    h *= _STEP[2]
-    h ^= h >> U(32)
-    return h
-
-
-def shingle_hashes(line: str) -> np.ndarray:
-    """Sorted distinct hashes of the line's shingles."""
-    units = np.frombuffer(line.encode("utf-16-le"), np.uint16)
-    if len(units) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(line.encode())], U)
-    h = _runs(units)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-
-def _bands(some: list[str]) -> np.ndarray:
-    """The bands of each line, one row of BANDS hashes a line; lines may be of any length."""
-    units = [np.frombuffer(x.encode("utf-16-le"), np.uint16) for x in some]
-    least = np.empty((len(some), BANDS * ROWS), np.uint32)
-    piece, owners, held = [], [], 0
-
-    def reduce() -> None:
-        h = (_runs(np.concatenate(piece)) >> U(32)).astype(np.uint32)
-        n = np.array([len(x) for x in piece])
-        start = np.cumsum(n) - n
-        # runs across the border of two lines belong to none
-        edges = np.stack([start, start + n - SHINGLE + 1], 1).ravel()
-        edges = edges if edges[-1] < len(h) else edges[:-1]
-        for p, c in enumerate(_PLACES):
-            least[owners, p] = np.minimum(least[owners, p], np.minimum.reduceat(h ^ c, edges)[::2])
-
-    for i, x in enumerate(units):
-        if len(x) < SHINGLE:
-            least[i] = np.uint32(xxhash.xxh32_intdigest(some[i].encode())) ^ _PLACES
-            continue
-        least[i] = 0xFFFFFFFF
-        for at in range(0, len(x) - SHINGLE + 1, PIECE_UNITS):
-            part = x[at : at + PIECE_UNITS + SHINGLE - 1]
-            if owners and owners[-1] == i:
-                reduce()
-                piece, owners, held = [], [], 0
-            piece.append(part)
-            owners.append(i)
-            held += len(part)
-            if held >= PIECE_UNITS:
-                reduce()
-                piece, owners, held = [], [], 0
-    if piece:
-        reduce()
-    out = np.zeros((len(some), BANDS), U)
-    for r in range(ROWS):
-        out = (out ^ least[:, r::ROWS].astype(U)) * U(0x9E3779B97F4A7C15)
-        out ^= out >> U(31)
-    return out + np.arange(BANDS, dtype=U) * U(0xC2B2AE3D27D4EB4F)
-
-
-def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, key, bands array<long>) of all lines that are not blank; text_key: a hash of the whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list[tuple[int | None, int, int, str]]) -> pa.RecordBatch:
-            where: dict[str, int] = {}
-            at = [where.setdefault(line, len(where)) for _, _, _, line in rows]
-            names = list(where)
-            keys = np.array([xxhash.xxh64_intdigest(x.encode(), seed=42) for x in names], U).astype(np.int64)[at]
-            bands = _bands(names).astype(np.int64)[at]
-            offsets = pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32))
-            texts = np.array([r[1] for r in rows], U).astype(np.int64)
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(texts), pa.array([r[2] for r in rows], pa.int32()), pa.array(keys), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "line_no", "key", "bands"])
-
-        rows, held = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = text.as_py() or ""
-                text_key = xxhash.xxh64_intdigest(whole.encode(), seed=42)
-                for k, raw in enumerate(whole.split("\n"), 1):
-                    if line := raw.strip(BLANKS):
-                        rows.append((doc_id, text_key, k, line))
-                        held += len(line)
-                if held >= 4 << 20:
-                    yield made(rows)
-                    rows, held = [], 0
-        if rows:
-            yield made(rows)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key long, line_no int, key long, bands array<long>")
+def shingles(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``h long``, one row for each shingle of ``line`` (repeated ones too), instead of the line."""
+    rest = [c for c in texts.columns if c != "line"]
+    units = texts.select(*rest, F.encode("line", "UTF-16BE").alias("units"))
+    at = units.select(*rest, "units", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("units") - (2 * SHINGLE - 1)), F.lit(2))).alias("at"))
+    return at.select(*rest, F.xxhash64(F.substring("units", F.col("at"), F.lit(2 * SHINGLE))).alias("h"))
+
+
+def shingle_set(line: Column) -> Column:
+    """The line's distinct shingles as an array of the hashes that ``shingles`` gives."""
+    # the units are a variable of the outer lambda, as a column of bytes would be copied for each shingle
+    starts = lambda u: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(u) - (2 * SHINGLE - 1)), F.lit(2))
+    made = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * SHINGLE)))))
+    return F.array_distinct(F.get(made, F.lit(0)))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether two sets' Jaccard similarity is enough."""
+    return (100 + PERCENT) * F.size(F.array_intersect(a, b)) >= PERCENT * (F.size(a) + F.size(b))
+
+
+def bands(texts: DataFrame) -> DataFrame:
+    """(key, bands array<long>) of the distinct lines that have SHINGLE units or more; a shorter one is like no other line."""
+    long = texts.where(F.length(F.encode("line", "UTF-16BE")) >= 2 * SHINGLE)
+    each = shingles(long.select("key", "line")).select("key", F.shiftright("h", 32).cast("int").alias("h"))
+    least = each.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"p{i}") for i, c in enumerate(_PLACES)])
+    return least.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"p{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose lines' shingle sets are similar enough."""
     side = lambda end: texts.select(F.col("key").alias(end), F.col("line").alias(f"line_{end}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    # explode keeps the sets apart from the filter, which would make them again for each mention
+    sets = both.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("line_a")).alias("a"), shingle_set(F.col("line_b")).alias("b")))).alias("sets"))
+    return sets.where(_near(F.col("sets.a"), F.col("sets.b"))).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            ok = []
-            for a, la, lb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, held = a, shingle_hashes(la.as_py())
-                other = shingle_hashes(lb.as_py())
-                small, large = sorted((len(held), len(other)))
-                common = 0
-                if 100 * small >= PERCENT * large:
-                    both = np.concatenate((held, other))
-                    both.sort(kind="stable")  # two sorted runs: a merge
-                    common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= PERCENT * (small + large - common))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "line_a", "line_b")
-    return both.mapInArrow(run, "a long, b long")
+
+def verify_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components among the rows of components.blocks, of which each pair of blocks is a key of its own."""
+    unit = ["kind", "unit", "p", "q"]
+    made = rows.join(texts.select(F.col("key").alias("id"), shingle_set(F.col("line")).alias("set")), "id")
+    x, y = made.where("own = p").alias("x"), made.where("own = q").alias("y")
+    meet = (F.col("x.component") != F.col("y.component")) & ((F.col("x.p") != F.col("x.q")) | (F.col("x.id") < F.col("y.id")))
+    for c in unit:
+        meet = (F.col(f"x.{c}") == F.col(f"y.{c}")) & meet
+    return x.join(y, meet & _near(F.col("x.set"), F.col("y.set"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 CROWD = 16  # a bucket with more lines
@@ -194,33 +102,28 @@ def crowd_counts(ids: DataFrame, texts: DataFrame) -> DataFrame:
     Shingles that no other line has are in no intersection, so a pair's common shingles are no more than the lesser c.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(x.as_py()).astype(np.int64) for x in batch.column(1)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets], dtype=np.int64))).astype(np.int32)
-            values = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "shingles"])
-
-    sets = texts.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select("key", "line").mapInArrow(run, "id long, shingles array<long>")
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    alone = each.groupBy("h").agg(F.count("*").alias("of"), F.any_value("id").alias("id"), F.any_value("n").alias("n"))
-    # a line without a shingle of its own is missing here, so it has none
-    return alone.groupBy("id").agg(F.any_value("n").alias("n"), F.count(F.when(F.col("of") == 1, 1)).alias("own")).select("id", "n", (F.col("n") - F.col("own")).alias("c"))
+    wanted = texts.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select(F.col("key").alias("id"), "line")
+    each = shingles(wanted).distinct()
+    alone = each.groupBy("h").agg(F.count("*").alias("of"), F.any_value("id").alias("id")).where("of = 1").groupBy("id").agg(F.count("*").alias("own"))
+    size = each.groupBy("id").agg(F.count("*").cast("int").alias("n"))
+    return size.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, text_key, line_no, key), and (key, component, n, first) of the keys that do not stand alone; n: their lines."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = Written(signed_lines(docs), "lines-all").df
-    buckets = every.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
-    # buckets of two lines or more; those that hold but one line, repeated, are none
-    met = Written(buckets.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g"), "lines-met")
-    # inner joins with distinct keys: Spark would move a semi join below the filter, and shuffle all rows
-    members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g").distinct()
+    found = lines(docs.withColumn("text_key", F.xxhash64("text")))
+    every = Written(found.select("doc_id", "text_key", "line_no", "key"), "lines-all").df
+    signed = Written(bands(found), "lines-signed")
+    buckets = signed.df.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
+    # buckets of two lines or more
+    met = Written(buckets.groupBy("g").agg(F.count("*").alias("of")).where("of > 1"), "lines-met")
+    # an inner join with distinct keys: Spark would move a semi join below the filter, and shuffle all rows
+    members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g")
     members_kept = Written(members, "lines-members")
     met.drop()
+    signed.drop()
     members = members_kept.df
-    members = members.join(members.groupBy("g").agg(F.count("*").alias("of")), "g")
     ids = Written(members.groupBy(F.col("id").alias("key")).agg(F.max("of").alias("of")), "lines-wanted")
     texts = likely_among(lines(docs).select("key", "line"), "key", ids.df, ids.df.count())
     near_kept = Written(texts.join(ids.df.select("key"), "key").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
@@ -229,7 +132,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked")).join(counts.df, "id", "left")
     found = link_groups(
         members, lambda pairs: verify(pairs, near), "lines-links", percent=PERCENT,
-        verify_blocks=lambda rows: links_in_blocks(rows, near.select(F.col("key").alias("id"), F.col("line").alias("text")), shingle_hashes, PERCENT),
+        verify_blocks=lambda rows: verify_blocks(rows, near),
     )
     for t in (near_kept, members_kept, ids, counts):
         t.drop()
