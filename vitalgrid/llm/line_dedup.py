@@ -12,9 +12,11 @@ are not expanded into all pairs.  All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import functools
+import operator
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import Written, likely_among
@@ -40,8 +42,11 @@ def lines(docs: DataFrame) -> DataFrame:
     at = F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")
     rest = [c for c in docs.columns if c != "text"]
     out = docs.where(F.col("text").isNotNull()).select(*rest, at)
-    out = out.select(*rest, (F.col("pos") + 1).alias("line_no"), F.btrim("raw", F.lit(BLANKS)).alias("line"))
-    return out.where(F.length("line") > 0).withColumn("key", F.xxhash64("line"))
+    # btrim goes through all of a line, so it sees only those with a blank at an end
+    edged = [F.startswith("raw", F.lit(c)) | F.endswith("raw", F.lit(c)) for c in BLANKS]
+    line = F.when(functools.reduce(operator.or_, edged), F.btrim("raw", F.lit(BLANKS))).otherwise(F.col("raw"))
+    out = out.select(*rest, (F.col("pos") + 1).alias("line_no"), line.alias("line"))
+    return out.where(F.col("line") != "").withColumn("key", F.xxhash64("line"))
 
 
 def shingles(texts: DataFrame) -> DataFrame:
@@ -60,21 +65,57 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.get(made, F.lit(0)))
 
 
-def _near(a: Column, b: Column) -> Column:
-    """Whether two sets' Jaccard similarity is enough."""
-    return (100 + PERCENT) * F.size(F.array_intersect(a, b)) >= PERCENT * (F.size(a) + F.size(b))
+RUN = 16  # shingles to a row: an aggregate costs by the row
+
+
+def runs(texts: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """(key, n and the hashes of RUN shingles in a row) for all shingles of ``line``, n in the line; the last row repeats the last one.  And the hashes."""
+    units = texts.select("key", F.coalesce(F.encode("line", "UTF-16BE"), F.lit(b"")).alias("units"))
+    units = units.withColumn("last", F.greatest(F.lit(1), F.length("units") - (2 * SHINGLE - 1)))
+    at = units.select("key", "units", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(2 * RUN))).alias("at"))
+    place = lambda k: F.least(F.col("at") + F.lit(2 * k), "last") if k else F.col("at")
+    hashes = [F.xxhash64(F.substring("units", place(k), F.lit(2 * SHINGLE))).alias(f"h{k}") for k in range(RUN)]
+    return at.select("key", F.expr("(last + 1) div 2").alias("n"), *hashes), [F.col(f"h{k}") for k in range(RUN)]
 
 
 def bands(texts: DataFrame) -> DataFrame:
     """(key, bands array<long>) of the distinct lines that have SHINGLE units or more; a shorter one is like no other line."""
-    long = texts.where(F.length(F.encode("line", "UTF-16BE")) >= 2 * SHINGLE)
-    each = shingles(long.select("key", "line")).select("key", F.shiftright("h", 32).cast("int").alias("h"))
-    least = each.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"p{i}") for i, c in enumerate(_PLACES)])
+    each, hashes = runs(texts.where(F.length(F.encode("line", "UTF-16BE")) >= 2 * SHINGLE))
+    each = each.select("key", *[F.shiftright(h, 32).cast("int").alias(f"h{k}") for k, h in enumerate(hashes)])
+    least = each.groupBy("key").agg(*[F.min(F.least(*[h.bitwiseXOR(F.lit(c)) for h in hashes])).alias(f"p{i}") for i, c in enumerate(_PLACES)])
     return least.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"p{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose lines' shingle sets are similar enough."""
+WORDS = 16  # of 64 bits, for a line's shingles
+
+
+def prints(texts: DataFrame) -> DataFrame:
+    """(key, n, w0, w1, ...): how many shingles each line has, repeated ones too, and a bit for the hash of each, in WORDS words."""
+    each, hashes = runs(texts)
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    each = each.select("key", "n", *[word(h).alias(f"w{k}") for k, h in enumerate(hashes)], *[bit(h).alias(f"b{k}") for k, h in enumerate(hashes)])
+    some = lambda w: [F.expr(f"if(w{k} = {w}, b{k}, 0L)") for k in range(RUN)]
+    return each.groupBy("key").agg(F.max("n").alias("n"), *[F.bit_or(functools.reduce(Column.bitwiseOR, some(w))).alias(f"w{w}") for w in range(WORDS)])
+
+
+def _may_be_near(a: str, b: str) -> Column:
+    """False only for lines that are not similar enough, by their ``prints`` a and b.
+
+    A bit of one alone stands for a shingle of one alone at least.  If so many (d) are in one of the sets alone, and s in both together,
+    one of two times, their similarity is (s - d) / (s + d); and s is no more than the shingles with repeated ones.
+    """
+    alone = functools.reduce(operator.add, [F.bit_count(F.col(f"{a}.w{w}").bitwiseXOR(F.col(f"{b}.w{w}"))) for w in range(WORDS)])
+    return (100 + PERCENT) * alone <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Whether two sets' Jaccard similarity is enough."""
+    return (100 + PERCENT) * F.size(F.array_intersect(a, b)) >= PERCENT * (F.size(a) + F.size(b))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose lines' shingle sets are similar enough."""
     side = lambda end: texts.select(F.col("key").alias(end), F.col("line").alias(f"line_{end}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     # explode keeps the sets apart from the filter, which would make them again for each mention
@@ -82,15 +123,25 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.where(_near(F.col("sets.a"), F.col("sets.b"))).select("a", "b")
 
 
-def verify_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of keys whose lines' shingle sets are similar enough.  ``known``: the prints of ``texts``."""
+    known = prints(texts) if known is None else known
+    side = lambda end: known.select(F.col("key").alias(end), F.struct("n", *[f"w{w}" for w in range(WORDS)]).alias(f"of_{end}"))
+    open_pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(_may_be_near("of_a", "of_b"))
+    return _verified(open_pairs.select("a", "b"), texts)
+
+
+def verify_blocks(rows: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between components among the rows of components.blocks, of which each pair of blocks is a key of its own."""
+    known = prints(texts) if known is None else known
     unit = ["kind", "unit", "p", "q"]
-    made = rows.join(texts.select(F.col("key").alias("id"), shingle_set(F.col("line")).alias("set")), "id")
+    made = rows.join(known.withColumnRenamed("key", "id"), "id")
     x, y = made.where("own = p").alias("x"), made.where("own = q").alias("y")
     meet = (F.col("x.component") != F.col("y.component")) & ((F.col("x.p") != F.col("x.q")) | (F.col("x.id") < F.col("y.id")))
     for c in unit:
         meet = (F.col(f"x.{c}") == F.col(f"y.{c}")) & meet
-    return x.join(y, meet & _near(F.col("x.set"), F.col("y.set"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    open_pairs = x.join(y, meet & _may_be_near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return _verified(open_pairs.distinct(), texts)
 
 
 CROWD = 16  # a bucket with more lines
@@ -103,10 +154,11 @@ def crowd_counts(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     wanted = texts.join(ids.select(F.col("id").alias("key")), "key", "left_semi").select(F.col("key").alias("id"), "line")
-    each = shingles(wanted).distinct()
-    alone = each.groupBy("h").agg(F.count("*").alias("of"), F.any_value("id").alias("id")).where("of = 1").groupBy("id").agg(F.count("*").alias("own"))
-    size = each.groupBy("id").agg(F.count("*").cast("int").alias("n"))
-    return size.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    sets = wanted.select("id", shingle_set(F.col("line")).alias("set"))
+    # and a hash of the id, which no other line has, so that each line has something of its own
+    each = sets.select("id", F.size("set").alias("n"), F.explode(F.concat("set", F.array(F.xxhash64("id", F.lit("id"))))).alias("h"))
+    alone = each.groupBy("h").agg(F.count("*").alias("of"), F.any_value("id").alias("id"), F.any_value("n").alias("n")).where("of = 1")
+    return alone.groupBy("id").agg(F.any_value("n").alias("n"), F.count("*").alias("own")).select("id", "n", (F.col("n") - F.col("own") + 1).alias("c"))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,27 +166,22 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = lines(docs.withColumn("text_key", F.xxhash64("text")))
     every = Written(found.select("doc_id", "text_key", "line_no", "key"), "lines-all").df
-    signed = Written(bands(found), "lines-signed")
-    buckets = signed.df.select(F.explode("bands").alias("g"), F.col("key").alias("id"))
     # buckets of two lines or more
-    met = Written(buckets.groupBy("g").agg(F.count("*").alias("of")).where("of > 1"), "lines-met")
-    # an inner join with distinct keys: Spark would move a semi join below the filter, and shuffle all rows
-    members = likely_among(buckets, "g", met.df, met.df.count()).join(met.df, "g")
-    members_kept = Written(members, "lines-members")
-    met.drop()
-    signed.drop()
+    buckets = bands(found).select(F.explode("bands").alias("g"), F.col("key").alias("id"))
+    members_kept = Written(buckets.withColumn("of", F.count("*").over(Window.partitionBy("g"))).where("of > 1"), "lines-members")
     members = members_kept.df
     ids = Written(members.groupBy(F.col("id").alias("key")).agg(F.max("of").alias("of")), "lines-wanted")
     texts = likely_among(lines(docs).select("key", "line"), "key", ids.df, ids.df.count())
     near_kept = Written(texts.join(ids.df.select("key"), "key").groupBy("key").agg(F.any_value("line").alias("line")), "lines-near")
     near = near_kept.df
+    known = Written(prints(near), "lines-prints")
     counts = Written(crowd_counts(ids.df.where(F.col("of") > CROWD).select(F.col("key").alias("id")), near), "lines-counts")
     members = members.select("g", "id", F.lit(True).alias("indexed"), F.lit(True).alias("asked")).join(counts.df, "id", "left")
     found = link_groups(
-        members, lambda pairs: verify(pairs, near), "lines-links", percent=PERCENT,
-        verify_blocks=lambda rows: verify_blocks(rows, near),
+        members, lambda pairs: verify(pairs, near, known.df), "lines-links", percent=PERCENT,
+        verify_blocks=lambda rows: verify_blocks(rows, near, known.df),
     )
-    for t in (near_kept, members_kept, ids, counts):
+    for t in (near_kept, members_kept, ids, known, counts):
         t.drop()
     one = every.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
     place = one.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
