@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalgrid.llm import components, line_dedup
 
@@ -124,3 +125,46 @@ def test_all_steps_are_native(spark):
         assert not re.search("Python|Pandas|Arrow", plan), plan
     assert {tuple(r) for r in steps[1].collect()} == {tuple(r) for r in steps[3].collect()} == {(0, 1)}
     assert {r.key for r in steps[0].collect()} == {0, 1, 2, 5}
+
+
+def test_prints_rule_out_only_far_pairs(spark):
+    """Pairs are ruled out by bits of their shingles: none that is near, and most of those that are far."""
+    rng = random.Random(8)
+    texts = ["short", "ab" * 300, "ab" * 301, "é😀" * 8]
+    for _ in range(12):
+        base = [rng.choice("abcdefghij ") for _ in range(rng.choice((60, 150, 400, 900)))]
+        for edits in (0, 1, 1, 2, 4, 8):
+            line = list(base)
+            for _ in range(edits):
+                line[rng.randrange(len(line))] = "z"
+            texts.append("".join(line))
+    known = line_dedup.prints(spark.createDataFrame(list(enumerate(texts)), "key long, line string"))
+    x, y = known.alias("x"), known.alias("y")
+    may = {(r.a, r.b) for r in x.join(y, F.expr("x.key < y.key") & line_dedup._may_be_near("x", "y")).selectExpr("x.key a", "y.key b").collect()}
+    units = [t.encode("utf-16-be") for t in texts]
+    sets = [{u[i : i + 20] for i in range(0, max(1, len(u) - 19), 2)} for u in units]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    near = {(i, j) for i, j in pairs if 180 * len(sets[i] & sets[j]) >= 80 * (len(sets[i]) + len(sets[j]))}
+    assert len(near) > 20 and near <= may
+    assert len(may - near) < 0.05 * len(pairs)
+    assert {r.key: r.n for r in known.collect()} == {i: max(1, len(u) // 2 - 9) for i, u in enumerate(units)}
+
+
+def test_signatures_take_shingles_by_runs(spark):
+    """An aggregate's row holds RUN shingles, and bands are those of all shingles, across the borders of runs."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdé😀") for _ in range(n)) for n in (*range(10, 60), 500)] + ["xy" * 20, "xy" * 33]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, line string")
+    each, _ = line_dedup.runs(df)
+    n = {i: len(t.encode("utf-16-be")) // 2 - 9 for i, t in enumerate(texts)}
+    assert {r.key: r["count"] for r in each.groupBy("key").count().collect()} == {i: -(-k // line_dedup.RUN) for i, k in n.items()}
+    hashes: dict[int, set[int]] = {}
+    for r in line_dedup.shingles(df).collect():
+        hashes.setdefault(r.key, set()).add(r.h >> 32)
+    places = {k: tuple(min(h ^ c for h in some) for c in line_dedup._PLACES) for k, some in hashes.items()}
+    rows = line_dedup.ROWS
+    want = spark.createDataFrame([(k, *p) for k, p in places.items()], "key long, " + ", ".join(f"p{i} int" for i in range(len(line_dedup._PLACES))))
+    want = want.selectExpr("key", "array(" + ", ".join(f"xxhash64({b}, " + ", ".join(f"p{b * rows + r}" for r in range(rows)) + ")" for b in range(line_dedup.BANDS)) + ") bands")
+    got = {r.key: r.bands for r in line_dedup.bands(df).collect()}
+    assert got == {r.key: r.bands for r in want.collect()}
+    assert got[len(texts) - 1] == got[len(texts) - 2]

@@ -114,34 +114,30 @@ def _near(a: Column, b: Column) -> Column:
     return (100 + PERCENT) * F.size(F.array_intersect(a, b)) >= PERCENT * (F.size(a) + F.size(b))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose lines' shingle sets are similar enough."""
-    side = lambda end: texts.select(F.col("key").alias(end), F.col("line").alias(f"line_{end}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    # explode keeps the sets apart from the filter, which would make them again for each mention
-    sets = both.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("line_a")).alias("a"), shingle_set(F.col("line_b")).alias("b")))).alias("sets"))
-    return sets.where(_near(F.col("sets.a"), F.col("sets.b"))).select("a", "b")
-
-
 def verify(pairs: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of keys whose lines' shingle sets are similar enough.  ``known``: the prints of ``texts``."""
     known = prints(texts) if known is None else known
     side = lambda end: known.select(F.col("key").alias(end), F.struct("n", *[f"w{w}" for w in range(WORDS)]).alias(f"of_{end}"))
-    open_pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(_may_be_near("of_a", "of_b"))
-    return _verified(open_pairs.select("a", "b"), texts)
+    open_pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(_may_be_near("of_a", "of_b")).select("a", "b")
+    line = lambda end: texts.select(F.col("key").alias(end), F.col("line").alias(f"line_{end}"))
+    both = open_pairs.join(line("b"), "b").join(line("a"), "a")
+    # explode keeps the sets apart from the filter, which would make them again for each mention
+    sets = both.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("line_a")).alias("a"), shingle_set(F.col("line_b")).alias("b")))).alias("sets"))
+    return sets.where(_near(F.col("sets.a"), F.col("sets.b"))).select("a", "b")
 
 
 def verify_blocks(rows: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between components among the rows of components.blocks, of which each pair of blocks is a key of its own."""
     known = prints(texts) if known is None else known
     unit = ["kind", "unit", "p", "q"]
-    made = rows.join(known.withColumnRenamed("key", "id"), "id")
+    lines_of = texts.join(rows.select(F.col("id").alias("key")).distinct(), "key")
+    sets = lines_of.select(F.col("key").alias("id"), shingle_set(F.col("line")).alias("set"))
+    made = rows.join(known.withColumnRenamed("key", "id"), "id").join(sets, "id")
     x, y = made.where("own = p").alias("x"), made.where("own = q").alias("y")
     meet = (F.col("x.component") != F.col("y.component")) & ((F.col("x.p") != F.col("x.q")) | (F.col("x.id") < F.col("y.id")))
     for c in unit:
         meet = (F.col(f"x.{c}") == F.col(f"y.{c}")) & meet
-    open_pairs = x.join(y, meet & _may_be_near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return _verified(open_pairs.distinct(), texts)
+    return x.join(y, meet & _may_be_near("x", "y") & _near(F.col("x.set"), F.col("y.set"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 CROWD = 16  # a bucket with more lines
@@ -184,7 +180,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for t in (near_kept, members_kept, ids, known, counts):
         t.drop()
     one = every.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
-    place = one.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # a line that occurs once and has no link stands alone
+    place = one.join(found.withColumnRenamed("id", "key"), "key", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
     place = Written(place, "lines-place").df
     several = place.groupBy("component").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     return every.select("doc_id", "text_key", "line_no", "key"), place.select("key", "component", "n").join(several.drop("of"), "component")
